@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its queries."""
 
-from tilth.catalog import cleaning
+from tilth.catalog import cleaning, statistics, summaries
 from tilth.catalog.registry import INVENTORY, ORACLES, QUERIES
 
-__all__ = ["INVENTORY", "ORACLES", "QUERIES", "cleaning"]
+__all__ = ["INVENTORY", "ORACLES", "QUERIES", "cleaning", "statistics", "summaries"]
