@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilth.catalog.registry import CLEAN, PANEL, PARCELS, query
-from tilth.functions.columns import seeded_hash
+from tilth.functions.columns import safe_corr, seeded_hash
 from tilth.operators import aggregates, clean, sampling, stats
+from tilth.operators.joins import enrich_left
 from tilth.sources import views
 from tilth.sources.views import BOOLEANS, NUMERICS, PARCEL_KEY, TARGET
 
@@ -185,9 +186,6 @@ def corr_with_yield_by_item(spark, sf_dir):
 )
 def safe_corr_constant(spark, sf_dir):
     """A profile column is constant within its crop; its correlation there is NULL."""
-    from tilth.functions.columns import safe_corr
-    from tilth.operators.joins import enrich_left
-
     df = views.clean_parcels(spark, sf_dir)
     ref = df.groupBy("crop").agg(F.round(F.avg("rainfall_mm")).alias("ref"))
     return enrich_left(df, ref, "crop").groupBy("crop").agg(
@@ -238,8 +236,6 @@ def standardize_check(spark, sf_dir):
 )
 def paired_ttest(spark, sf_dir):
     """Fold scores of two features (their correlations with yield) compared."""
-    from tilth.functions.columns import safe_corr
-
     folds = sampling.assign_folds(views.clean_parcels(spark, sf_dir), 5, PARCEL_KEY)
     y = F.col(TARGET)
     scores = folds.groupBy("fold").agg(
@@ -308,7 +304,7 @@ def overfit_gap(spark, sf_dir):
         "crop", F.col("fold").alias("model"), ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("p")
     )
     every = folds.withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(k)])))
-    scored = every.join(model, ["crop", "model"]).withColumn("held", F.col("fold") == F.col("model"))
+    scored = enrich_left(every, model, ["crop", "model"]).withColumn("held", F.col("fold") == F.col("model"))
     m = stats.regression_metrics(scored, TARGET, "p", ["model", "held"])
     wide = m.groupBy(F.col("model").alias("fold")).agg(
         F.max(F.when(~F.col("held"), F.col("r2"))).alias("train_r2"),
