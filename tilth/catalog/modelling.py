@@ -22,7 +22,7 @@ PAIR = FeatureSpec(numerics=("rainfall_mm", "temperature_c"), target=TARGET)
 
 # A hand-written model for the scoring queries, so that their oracle is plain arithmetic.
 MODEL = LinearModel(
-    2.3141592,
+    2.31416,
     {"rainfall_mm": (1.2817, 348.617, 197.313), "temperature_c": (0.28113, 27.731, 7.2171), "days_to_harvest": (-0.0173, 85.37, 14.411)},
     {"fertilizer_used": 1.49317, "irrigation_used": 1.20713},
     {
@@ -265,15 +265,13 @@ def random_search(spark, sf_dir):
     return clean.round_columns(trials, {"alpha": 6, "mean_val_r2": 6, "std_val_r2": 6, "mean_val_mae": 6})
 
 
-REF_SQL = (
-    f"{CROP_MAP}, ref AS (SELECT item, avg(avg_temp) AS ref_avg_temp FROM panel GROUP BY item), "
-    "rich AS (SELECT f.*, ref.ref_avg_temp FROM f JOIN crop_map USING (crop) JOIN ref USING (item))"
-)
-
-
 def _arm_sql(tag, x1, x2):
-    """Fold scores of one arm, its tables named with a tag."""
-    body = _pair_sql(x1, x2, "1.0", "f.fold <> k.m", "rich") + "," + SCORED_SQL.format(x1=x1, x2=x2, source="rich")
+    """Fold scores of one arm, its tables named with a tag; without x2 the second slope
+    is zero."""
+    body = _pair_sql(x1, x2 or x1, "1.0", "f.fold <> k.m", "f") + "," + SCORED_SQL.format(x1=x1, x2=x2 or x1, source="f")
+    if x2 is None:
+        body = body.replace("covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)) AS r", "0.0 AS r")
+        body = body.replace("covar_pop(x2, y) / stddev_pop(x2) AS c2", "0.0 AS c2")
     for name in ("g", "b", "e", "sc"):
         for before, after in ((f" {name} AS (", f" {name}{tag} AS ("), (f"FROM {name})", f"FROM {name}{tag})"),
                               (f"FROM {name} ", f"FROM {name}{tag} "), (f", {name})", f", {name}{tag} {name})")):
@@ -281,44 +279,27 @@ def _arm_sql(tag, x1, x2):
     return body
 
 
+P_SQL = "2 * (1 - (0.5 + 0.375 * abs(u) * (1 - w / 12)))"
+
+
 @query(
     "ablate",
-    "L8",
-    f"WITH {CLEAN}, {PANEL}, {FOLD_SQL}, {REF_SQL}, {FOLD_KEYS}, {_arm_sql('n', 'rainfall_mm', 'temperature_c')}, "
-    f"{_arm_sql('x', 'rainfall_mm', 'ref_avg_temp')}, "
+    "L8 M8",
+    f"WITH {CLEAN}, {FOLD_SQL}, {FOLD_KEYS}, {_arm_sql('n', 'rainfall_mm', None)}, "
+    f"{_arm_sql('x', 'rainfall_mm', 'temperature_c')}, "
     "d AS (SELECT n.m, n.r2 AS native, x.r2 AS enriched FROM scn n JOIN scx x USING (m) WHERE n.held AND x.held), "
     "t AS (SELECT avg(enriched - native) AS diff, avg(native) AS nat, avg(enriched) AS enr, "
     " avg(enriched - native) / (stddev_samp(enriched - native) / sqrt(count(*))) AS t FROM d), "
     "v AS (SELECT *, t / sqrt(1 + t * t / 4) AS u, (t * t) / (1 + t * t / 4) AS w FROM t) "
-    "SELECT 'ridge' AS model, round(t, 4) AS t, round(2 * (1 - (0.5 + 0.375 * abs(u) * (1 - w / 12))), 6) AS p, round(diff, 6) AS difference, "
-    "2 * (1 - (0.5 + 0.375 * abs(u) * (1 - w / 12))) < 0.05 AS significant, round(nat, 6) AS native_r2, round(enr, 6) AS enriched_r2, "
-    "CASE WHEN 2 * (1 - (0.5 + 0.375 * abs(u) * (1 - w / 12))) < 0.05 THEN 'statistically significant difference' "
+    f"SELECT 'ridge' AS model, round(t, 4) AS t, round({P_SQL}, 6) AS p, round(diff, 6) AS difference, "
+    f"{P_SQL} < 0.05 AS significant, round(nat, 6) AS native_r2, round(enr, 6) AS enriched_r2, "
+    f"CASE WHEN {P_SQL} < 0.05 THEN 'statistically significant difference' "
     "ELSE 'no statistically significant improvement' END AS conclusion FROM v",
 )
-def ablate_pair(spark, sf_dir):
-    """Closed-form form of the ablation: rainfall with the parcel's own temperature
-    against rainfall with the reference temperature of its crop, on matched rows."""
-    merged = enrichment.forward_merge(
-        _folds(spark, sf_dir), views.panel(spark, sf_dir), CROP_TO_ITEM, "crop", "item",
-        {"avg_temp": "ref_avg_temp"}, "hg_ha_yield", "ref_yield",
-    ).na.drop(subset=["ref_avg_temp"])
+def ablate(spark, sf_dir):
+    """Rainfall alone against rainfall and temperature, on identical rows and folds."""
     one = FeatureSpec(numerics=("rainfall_mm",), target=TARGET)
-    scores = {}
-    for arm, extra in (("native", "temperature_c"), ("enriched", "ref_avg_temp")):
-        fitted = gram.collect_gram(merged, one.with_numerics([extra]), "fold")
-        scores[arm] = experiments.linear_cv_from_gram(spark, fitted, 1.0).select("fold", F.col("val_r2").alias(arm))
-    both = scores["native"].join(scores["enriched"], "fold")
-    test = stats.paired_ttest(both, "enriched", "native")
-    from tilth.functions.columns import label_if
-
-    means = both.agg(F.avg("native").alias("n"), F.avg("enriched").alias("e"))
-    out = test.select(
-        F.lit("ridge").alias("model"), "t", "p", "difference", "significant",
-        means.select("n").scalar().alias("native_r2"), means.select("e").scalar().alias("enriched_r2"),
-        label_if(
-            F.col("significant"), "statistically significant difference", "no statistically significant improvement"
-        ).alias("conclusion"),
-    )
+    out = experiments.ablate(_folds(spark, sf_dir), one, ["temperature_c"])
     return clean.round_columns(out, {"t": 4, "p": 6, "difference": 6, "native_r2": 6, "enriched_r2": 6})
 
 
@@ -498,12 +479,12 @@ TERMS_SQL = (
 @query(
     "contributions",
     "E5",
-    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, count(*) AS rows, round(sum(contribution), 5) AS total FROM o GROUP BY feature, position",
+    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, count(*) AS rows, round(sum(contribution), 6) AS total FROM o GROUP BY feature, position",
 )
 def contributions(spark, sf_dir):
     df = explain.explain(_parcels(spark, sf_dir), MODEL).select(F.posexplode("contributions").alias("position", "c"))
     out = df.groupBy("c.feature", "position").agg(F.count(F.lit(1)).alias("rows"), F.sum("c.contribution").alias("total"))
-    return clean.round_columns(out, {"total": 5})
+    return clean.round_columns(out, {"total": 6})
 
 
 @query(
@@ -524,13 +505,13 @@ def contribution_identity(spark, sf_dir):
 @query(
     "running_contributions",
     "W3",
-    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, round(sum(start), 4) AS start, round(sum(contribution), 4) AS height FROM o GROUP BY feature, position",
+    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, round(sum(start), 6) AS start, round(sum(contribution), 6) AS height FROM o GROUP BY feature, position",
 )
 def running_contributions(spark, sf_dir):
     explained = explain.explain(_parcels(spark, sf_dir), MODEL)
     bars = explained.select(F.posexplode(ranking.running_start(F.col("base_value"), F.col("contributions"))).alias("position", "b"))
     out = bars.groupBy("b.feature", "position").agg(F.sum("b.start").alias("start"), F.sum("b.height").alias("height"))
-    return clean.round_columns(out, {"start": 4, "height": 4})
+    return clean.round_columns(out, {"start": 6, "height": 6})
 
 
 # ---- scoring ------------------------------------------------------------------------
@@ -548,8 +529,8 @@ def predict(spark, sf_dir):
 @query(
     "predict_explained",
     "V3",
-    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, count(*) AS rows, round(sum(round(contribution, 4)), 3) AS total, "
-    f"round(sum(round(greatest(0.0, raw), 3)), 2) AS predicted, round({MODEL.intercept}, 4)::DOUBLE AS base_value FROM o GROUP BY feature, position",
+    f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, count(*) AS rows, round(sum(round(contribution, 4)), 4) AS total, "
+    f"round(sum(round(greatest(0.0, raw), 3)), 3) AS predicted, round({MODEL.intercept}, 4)::DOUBLE AS base_value FROM o GROUP BY feature, position",
 )
 def predict_explained(spark, sf_dir):
     df = scoring.predict_explained(_parcels(spark, sf_dir), MODEL)
@@ -557,7 +538,7 @@ def predict_explained(spark, sf_dir):
     out = rows.groupBy("c.feature", "position", "base_value").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("c.contribution").alias("total"), F.sum("predicted").alias("predicted")
     )
-    return clean.round_columns(out, {"total": 3, "predicted": 2})
+    return clean.round_columns(out, {"total": 4, "predicted": 3})
 
 
 RAW_FOR_CROP = RAW_SQL.replace(_term_sql("crop"), _term_sql("crop", "v.candidate"))
@@ -570,13 +551,13 @@ RAW_FOR_CROP = RAW_SQL.replace(_term_sql("crop"), _term_sql("crop", "v.candidate
     f"s AS (SELECT {KEYS}, c.region, v.candidate, pos, greatest(0.0, {RAW_FOR_CROP.replace(_term_sql('region'), _term_sql('region', 'c.region'))}) AS p FROM clean c, v), "
     f"r AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY p DESC, pos) AS rank FROM s) "
     "SELECT region, candidate AS crop, CAST(rank AS INT) AS rank, CASE WHEN rank = 1 THEN 'best' ELSE 'other' END AS label, count(*) AS rows, "
-    "round(sum(round(p, 3)), 2) AS predicted FROM r GROUP BY region, candidate, rank",
+    "round(sum(round(p, 3)), 3) AS predicted FROM r GROUP BY region, candidate, rank",
 )
 def recommend(spark, sf_dir):
     contexts = _parcels(spark, sf_dir).drop("crop")
     rows = scoring.recommended_rows(scoring.recommend(contexts, MODEL, CROPS, "crop"))
     out = rows.groupBy("region", "crop", "rank", "label").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 2).alias("predicted")
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 3).alias("predicted")
     )
     return out
 
@@ -609,7 +590,7 @@ def validate_records(spark, sf_dir):
     "score_stream",
     "V5 V1 V3",
     f"WITH {PARCELS}, c AS (SELECT *, len({REASONS_SQL}) = 0 AS ok FROM parcels) SELECT 'scored' AS outcome, crop, count(*) AS rows, "
-    f"round(sum(round(greatest(0.0, {RAW_SQL}), 3)), 2) AS predicted FROM c WHERE ok GROUP BY crop UNION ALL "
+    f"round(sum(round(greatest(0.0, {RAW_SQL}), 3)), 3) AS predicted FROM c WHERE ok GROUP BY crop UNION ALL "
     "SELECT 'rejected', crop, count(*), NULL FROM c WHERE NOT ok GROUP BY crop",
 )
 def score_stream(spark, sf_dir):
@@ -623,7 +604,7 @@ def score_stream(spark, sf_dir):
     f"v AS (SELECT unnest({CROPS}) AS candidate, unnest(range({len(CROPS)})) AS pos), "
     f"s AS (SELECT {KEYS}, v.candidate, pos, greatest(0.0, {RAW_FOR_CROP}) AS p FROM c, v WHERE ok), "
     f"r AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY p DESC, pos) AS rank FROM s) "
-    "SELECT 'scored' AS outcome, candidate AS crop, count(*) AS rows, round(sum(round(p, 3)), 2) AS predicted FROM r WHERE rank = 1 GROUP BY candidate "
+    "SELECT 'scored' AS outcome, candidate AS crop, count(*) AS rows, round(sum(round(p, 3)), 3) AS predicted FROM r WHERE rank = 1 GROUP BY candidate "
     "UNION ALL SELECT 'rejected', crop, count(*), NULL FROM c WHERE NOT ok GROUP BY crop",
 )
 def recommend_stream(spark, sf_dir):
@@ -644,7 +625,7 @@ def _streamed(spark, sf_dir, mode):
         best = F.element_at("recommendations", 1)
         scored = scored.select(best["crop"].alias("crop"), best["predicted"].alias("predicted"))
     good = scored.groupBy(F.lit("scored").alias("outcome"), "crop").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 2).alias("predicted")
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 3).alias("predicted")
     )
     bad = spark.read.parquet(f"{base}/rejected").groupBy(F.lit("rejected").alias("outcome"), "crop").agg(
         F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("predicted")
@@ -658,12 +639,12 @@ def _streamed(spark, sf_dir, mode):
 @query(
     "save_and_load_model",
     "S4 V2",
-    f"WITH {CLEAN} SELECT crop, count(*) AS rows, round(sum(round(greatest(0.0, {RAW_SQL}), 3)), 2) AS predicted FROM clean GROUP BY crop",
+    f"WITH {CLEAN} SELECT crop, count(*) AS rows, round(sum(round(greatest(0.0, {RAW_SQL}), 3)), 3) AS predicted FROM clean GROUP BY crop",
 )
 def save_and_load_model(spark, sf_dir):
     path = models.save_model(spark, MODEL, fresh_path(spark, "model"))
     scored = scoring.predict(_parcels(spark, sf_dir), models.load_model(spark, path))
-    return scored.groupBy("crop").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 2).alias("predicted"))
+    return scored.groupBy("crop").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("predicted"), 3).alias("predicted"))
 
 
 RUN_SQL = (

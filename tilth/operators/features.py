@@ -93,7 +93,7 @@ def feature_stages(df: DataFrame, spec: FeatureSpec, kind: str, scale: bool) ->
         out = indexed
         if kind == "one_hot":
             out = [f"{c}__h" for c in names]
-            stages.append(OneHotEncoder(inputCols=indexed, outputCols=out, dropLast=True, handleInvalid="keep"))
+            stages.append(OneHotEncoder(inputCols=indexed, outputCols=out, dropLast=True))
         elif kind == "target":
             out = [f"{c}__t" for c in names]
             stages.append(

@@ -6,7 +6,7 @@ Python worker, one codegen stage over the rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -168,10 +168,51 @@ def linear_regression(df: DataFrame, spec: FeatureSpec) -> LinearModel:
     return solve(collect_gram(df, spec), 0.0)
 
 
+def _coefficient_rows(models: Mapping[tuple, LinearModel], levels: Mapping[str, list[str]]) -> list[tuple]:
+    """One row per model: its key, the constant of the unscaled features, and arrays of
+    coefficients for numerics, booleans and the levels of every category."""
+    rows = []
+    for key, m in models.items():
+        constant = m.intercept - sum(c * mean / s for c, mean, s in m.numerics.values())
+        slopes = [c / s for c, _, s in m.numerics.values()]
+        by_level = [[m.levels[c].get(k, 0.0) for k in known] + [0.0] for c, known in levels.items()]
+        rows.append((*key, constant, slopes, list(m.booleans.values()), by_level))
+    return rows
+
+
+def score_joined(
+    df: DataFrame, models: Mapping[tuple, LinearModel], keys: Mapping[str, str], on: Sequence[str], into: str = "predicted"
+) -> DataFrame:
+    """Rows scored by every model whose key columns ``on`` equal theirs.
+
+    ``keys`` names the parts of a model key with their types.  All models share one
+    expression: a level is looked up once per row as a position, and each model brings
+    its coefficients as arrays.  The broadcast side has one row per model of a list that
+    was made on the driver.
+    """
+    first = next(iter(models.values()))
+    levels = {
+        c: sorted({k for m in models.values() for k in m.levels[c]}) for c in first.levels
+    }
+    shape = ", ".join(f"{k} {t}" for k, t in keys.items())
+    shape += ", _one double, _num array<double>, _bool array<double>, _lev array<array<double>>"
+    table = df.sparkSession.createDataFrame(_coefficient_rows(models, levels), shape)
+    places = {}
+    for i, (c, known) in enumerate(levels.items()):
+        lookup = F.create_map(*[F.lit(x) for j, k in enumerate(known) for x in (k, j)])
+        places[f"_at{i}"] = F.coalesce(lookup[col(c).cast("string")], F.lit(len(known)))
+    total = F.col("_one")
+    for i, n in enumerate(first.numerics):
+        total = total + F.col("_num")[i] * col(n).cast("double")
+    for i, b in enumerate(first.booleans):
+        total = total + F.col("_bool")[i] * col(b).cast("int")
+    for i in range(len(levels)):
+        total = total + F.col("_lev")[i][F.col(f"_at{i}")]
+    joined = df.withColumns(places).join(F.broadcast(table), list(on))
+    return joined.withColumn(into, total).drop("_one", "_num", "_bool", "_lev", *places)
+
+
 def score_models(df: DataFrame, models: Mapping[int, LinearModel], into: str = "predicted") -> DataFrame:
-    """Every row scored by every model of a short list, as rows (..., model, predicted):
-    expressions and a generator, neither a join nor a shuffle."""
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("model"), m.raw().alias(into)) for k, m in models.items()]
-    )
-    return df.select("*", F.inline(pairs))
+    """Every row scored by every model of a short list, as rows (..., model, predicted)."""
+    every = df.withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in models])))
+    return score_joined(every, {(int(k),): m for k, m in models.items()}, {"model": "int"}, ["model"], into)

@@ -18,8 +18,8 @@ from tilth.functions.columns import col, label_if
 from tilth.operators import explain, sampling, stats, trees
 from tilth.operators.gram import FeatureSpec, Gram, collect_gram
 from tilth.operators.joins import stack_results
-from tilth.operators.linear import LinearModel, gram_scores, score_models, solve
-from tilth.session import staged
+from tilth.operators.linear import LinearModel, gram_scores, score_joined, score_models, solve
+from tilth.session import gather_small, staged
 
 METRICS = ("r2", "mae", "rmse")
 LINEAR = {"ridge": 1.0, "linear_regression": 0.0}
@@ -56,7 +56,8 @@ def linear_cv(df: DataFrame, spec: FeatureSpec, fold: str = "fold", alpha: float
     models = {k: solve(gram, alpha, leave_out=k) for k in gram.folds}
     rows = df.select(col(fold).alias("_fold"), *[col(c) for c in spec.columns])
     scored = score_models(rows, models).withColumn("held", F.col("model") == F.col("_fold"))
-    return FoldRun(_wide(stats.regression_metrics(scored, spec.target, "predicted", ["model", "held"])), models)
+    metrics, _ = gather_small(_wide(stats.regression_metrics(scored, spec.target, "predicted", ["model", "held"])))
+    return FoldRun(metrics, models)
 
 
 def linear_cv_from_gram(spark: SparkSession, gram: Gram, alpha: float = 1.0) -> DataFrame:
@@ -79,7 +80,8 @@ def tree_cv(df: DataFrame, spec: FeatureSpec, fit: Callable, fold: str, folds: S
             F.lit(k).alias("model"), (col(fold) == k).alias("held"),
             col(spec.target).alias("_y"), F.col("prediction").alias("predicted"),
         )
-        parts.append(stats.regression_metrics(scored, "_y", "predicted", ["model", "held"]))
+        metrics, _ = gather_small(stats.regression_metrics(scored, "_y", "predicted", ["model", "held"]))
+        parts.append(metrics)
     return FoldRun(_wide(stack_results(parts)), {})
 
 
@@ -102,9 +104,8 @@ def compare_models(
         for k in kinds
     ]
     names = [f"{side}_{m}" for side in ("train", "val") for m in METRICS]
-    table = stats.fold_summary(stack_results(parts), names, ["model"])
-    gap = stack_results(parts).groupBy("model").agg(F.avg("overfit_gap_r2").alias("mean_overfit_gap_r2"))
-    return table.join(gap, "model").orderBy(F.col("mean_val_r2").desc_nulls_last(), "model")
+    table = stats.fold_summary(stack_results(parts), [*names, "overfit_gap_r2"], ["model"])
+    return table.drop("std_overfit_gap_r2").orderBy(F.col("mean_val_r2").desc_nulls_last(), "model")
 
 
 def ablate(
@@ -167,27 +168,16 @@ def random_search(
     """
     alphas = list(alphas if alphas is not None else alpha_draws())
     gram = gram or collect_gram(df, spec, fold)
-    solved = {(t, k): solve(gram, a, leave_out=k) for t, a in enumerate(alphas) for k in gram.folds}
+    solved = {(t, int(k)): solve(gram, a, leave_out=k) for t, a in enumerate(alphas) for k in gram.folds}
     scores = []
     for (t, k), model in solved.items():
         s = gram_scores(gram, model, gram.parts[k])
-        scores.append((t, float(alphas[t]), int(k), s["r2"]))
+        scores.append((t, float(alphas[t]), k, s["r2"]))
     spark = df.sparkSession
     r2 = spark.createDataFrame(scores, "trial int, alpha double, fold int, r2 double")
-    held_out = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("trial"),
-                F.coalesce(*[F.when(col(fold) == k, solved[t, k].raw()) for k in gram.folds]).alias("p"),
-            )
-            for t in range(len(alphas))
-        ]
-    )
-    errors = (
-        df.select(col(fold).alias("fold"), col(spec.target).alias("_y"), F.inline(held_out))
-        .groupBy("trial", "fold")
-        .agg(F.avg(F.abs(F.col("_y") - F.col("p"))).alias("mae"))
-    )
+    rows = df.select(col(fold).cast("int").alias("fold"), *[col(c) for c in spec.columns])
+    scored = score_joined(rows, solved, {"trial": "int", "fold": "int"}, ["fold"], "_p")
+    errors = scored.groupBy("trial", "fold").agg(F.avg(F.abs(col(spec.target) - F.col("_p"))).alias("mae"))
     joined = r2.join(errors, ["trial", "fold"])
     return (
         joined.groupBy("trial", "alpha")
