@@ -11,7 +11,7 @@ from tilth.operators.gram import FeatureSpec
 from tilth.operators.linear import LinearModel
 from tilth.operators.validation import Contract, validate
 from tilth.plans import enrichment, experiments
-from tilth.session import fresh_path
+from tilth.session import fresh_path, staged
 from tilth.sources import models, runs, views
 from tilth.sources.views import BOOLEANS, CATEGORICALS, CROP_TO_ITEM, NUMERICS, PARCEL_KEY, TARGET
 from tilth.streaming import scoring_stream
@@ -50,8 +50,14 @@ def _parcels(spark, sf_dir):
     return views.clean_parcels(spark, sf_dir)
 
 
+def _saved(spark, sf_dir, names=None):
+    return views.saved_parcels(spark, sf_dir, names)
+
+
 def _folds(spark, sf_dir):
-    return sampling.assign_folds(_parcels(spark, sf_dir), 5, PARCEL_KEY)
+    """Clean parcels with folds, written once: fitting and scoring read them again."""
+    folds = sampling.assign_folds(_parcels(spark, sf_dir), 5, PARCEL_KEY)
+    return staged(folds.select("fold", *SPEC.columns), "folds")
 
 
 # ---- features -----------------------------------------------------------------------
@@ -65,7 +71,7 @@ def _folds(spark, sf_dir):
     + ", count(*) FILTER (weather = 'A') AS weather_A, count(*) FILTER (weather = 'N') AS weather_N, count(*) FILTER (weather = 'R') AS weather_R FROM clean",
 )
 def one_hot(spark, sf_dir):
-    df = features.one_hot(_parcels(spark, sf_dir).select("crop", "weather"), ["crop", "weather"])
+    df = features.one_hot(_saved(spark, sf_dir).select("crop", "weather"), ["crop", "weather"])
     return df.agg(*[F.sum(c).alias(c) for c in df.columns if c not in ("crop", "weather")])
 
 
@@ -76,7 +82,7 @@ def one_hot(spark, sf_dir):
     "count(*) FILTER (weather = 'N') AS weather_N, count(*) FILTER (weather = 'R') AS weather_R FROM clean GROUP BY region",
 )
 def dummies(spark, sf_dir):
-    df = features.dummies(_parcels(spark, sf_dir).select("region", "crop", "weather"), ["crop", "weather"])
+    df = features.dummies(_saved(spark, sf_dir).select("region", "crop", "weather"), ["crop", "weather"])
     names = ["crop_LARGE", "crop_SMALL", "weather_N", "weather_R"]
     return df.groupBy("region").agg(*[F.sum(c).alias(c) for c in names])
 
@@ -88,7 +94,7 @@ def dummies(spark, sf_dir):
 )
 def build_features(spark, sf_dir):
     """Scaled numerics, raw booleans and all levels: one level per category is 1."""
-    df = _parcels(spark, sf_dir)
+    df = _saved(spark, sf_dir)
     encoded = features.build_features(df, SPEC).transform(df)
     from pyspark.ml.functions import vector_to_array
 
@@ -105,7 +111,7 @@ def build_features(spark, sf_dir):
     f"WITH {CLEAN} SELECT crop, round(avg(yield_t), 6) AS encoded FROM clean GROUP BY crop",
 )
 def target_encode(spark, sf_dir):
-    df = features.target_encode(_parcels(spark, sf_dir).select("crop", TARGET), ["crop"], TARGET)
+    df = features.target_encode(_saved(spark, sf_dir).select("crop", TARGET), ["crop"], TARGET)
     return df.groupBy("crop").agg(F.round(F.first("crop__t"), 6).alias("encoded"))
 
 
@@ -169,12 +175,12 @@ def _pair_rows(alpha):
 
 @query("linear_regression", "L1", _pair_rows("0.0"))
 def linear_regression(spark, sf_dir):
-    return _pair_table(linear.linear_regression(_parcels(spark, sf_dir), PAIR), spark)
+    return _pair_table(linear.linear_regression(_saved(spark, sf_dir), PAIR), spark)
 
 
 @query("ridge", "L2", _pair_rows("25.0"))
 def ridge(spark, sf_dir):
-    return _pair_table(linear.ridge(_parcels(spark, sf_dir), PAIR, 25.0), spark)
+    return _pair_table(linear.ridge(_saved(spark, sf_dir), PAIR, 25.0), spark)
 
 
 @query(
@@ -189,7 +195,7 @@ def ridge(spark, sf_dir):
 def ridge_stationarity(spark, sf_dir):
     """The full model: for every encoded feature, sum(z * residual) = alpha * coefficient,
     checked by a second aggregation over the rows."""
-    alpha, df = 1.0, _parcels(spark, sf_dir)
+    alpha, df = 1.0, _saved(spark, sf_dir)
     model = linear.ridge(df, SPEC, alpha)
     scored = df.withColumn("_e", F.col(TARGET) - model.raw())
     z = [((p, None), (F.col(p) - m) / s, c) for p, (c, m, s) in model.numerics.items()]
@@ -307,12 +313,13 @@ def ablate(spark, sf_dir):
 def ablate_enrichment(spark, sf_dir):
     """All native features against the same with three reference columns."""
     merged = enrichment.forward_merge(
-        _parcels(spark, sf_dir), views.panel(spark, sf_dir), CROP_TO_ITEM, "crop", "item",
+        _saved(spark, sf_dir), views.panel(spark, sf_dir), CROP_TO_ITEM, "crop", "item",
         {"rain_mm": "ref_rainfall", "pesticides_t": "ref_pesticides", "avg_temp": "ref_avg_temp"},
         "hg_ha_yield", "ref_yield",
     )
     extra = ["ref_rainfall", "ref_pesticides", "ref_avg_temp"]
-    drawn = experiments.stratified_folds(merged.na.drop(subset=extra), ["crop"], 100_000, PARCEL_KEY)
+    matched = staged(merged.na.drop(subset=extra), "matched")
+    drawn = experiments.stratified_folds(matched, ["crop"], 100_000, PARCEL_KEY)
     return experiments.ablate(drawn, SPEC, extra, ("ridge", "linear_regression"))
 
 
@@ -328,7 +335,7 @@ def ablate_enrichment(spark, sf_dir):
     "SELECT split, rows, round(r2, 6) AS r2, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(g1, 6) AS overfit_gap_r2, round(g2, 6) AS generalization_gap_r2 FROM sc, gp",
 )
 def fit_final(spark, sf_dir):
-    parts = sampling.stratified_split(_parcels(spark, sf_dir), ["crop"], PARCEL_KEY)
+    parts = staged(sampling.stratified_split(_saved(spark, sf_dir), ["crop"], PARCEL_KEY), "split")
     _, table = experiments.fit_final(parts, PAIR, 1.0)
     return clean.round_columns(
         table, {"r2": 6, "mae": 6, "rmse": 6, "overfit_gap_r2": 6, "generalization_gap_r2": 6}
@@ -338,7 +345,7 @@ def fit_final(spark, sf_dir):
 @query("refit_best", "L12 K2 L10 S4")
 def refit_best(spark, sf_dir):
     """Sample, search, refit on the whole sample, save, load, and list the coefficients."""
-    drawn = experiments.stratified_folds(_parcels(spark, sf_dir), ["crop"], 100_000, PARCEL_KEY)
+    drawn = experiments.stratified_folds(_saved(spark, sf_dir), ["crop"], 100_000, PARCEL_KEY)
     trials = experiments.random_search(drawn, SPEC)
     model, best = experiments.refit_best(drawn, SPEC, trials)
     path = models.save_model(spark, model, fresh_path(spark, "tuned"))
@@ -356,7 +363,7 @@ def _tree_metrics(df, model):
 
 def _split_rows(spark, sf_dir):
     parts = sampling.random_split(_parcels(spark, sf_dir), 0.2, PARCEL_KEY, exact=False)
-    return parts.select("split", *SPEC.columns)
+    return staged(parts.select("split", *SPEC.columns), "split")
 
 
 @query("random_forest", "L4 K4")
@@ -379,7 +386,7 @@ def boosted_trees_categorical(spark, sf_dir):
 
 @query("tree_importances", "E4")
 def tree_importances(spark, sf_dir):
-    df = _parcels(spark, sf_dir).select(*SPEC.columns)
+    df = _saved(spark, sf_dir).select(*SPEC.columns)
     model = trees.random_forest(df, SPEC, trees=10, depth=6)
     return trees.tree_importances(spark, model, df, SPEC)
 
@@ -387,7 +394,7 @@ def tree_importances(spark, sf_dir):
 @query("ridge_by_rows", "L2")
 def ridge_by_rows(spark, sf_dir):
     """The row-based solver agrees with the sufficient statistics on every row."""
-    df = _parcels(spark, sf_dir).select(*SPEC.columns)
+    df = _saved(spark, sf_dir).select(*SPEC.columns)
     by_rows = trees.ridge_by_rows(df, SPEC, 1.0).transform(df)
     direct = linear.ridge(df, SPEC, 1.0)
     gap = F.abs(F.col("prediction") - direct.raw())
@@ -396,7 +403,7 @@ def ridge_by_rows(spark, sf_dir):
 
 @query("compare_models", "L9 L4 L5 L6 S6")
 def compare_models(spark, sf_dir):
-    drawn = experiments.stratified_folds(_parcels(spark, sf_dir), ["crop"], 200_000, PARCEL_KEY, folds=3)
+    drawn = experiments.stratified_folds(_saved(spark, sf_dir), ["crop"], 200_000, PARCEL_KEY, folds=3)
     params = {
         "random_forest": {"trees": 5, "depth": 6},
         "boosted_trees": {"rounds": 5, "rate": 0.5},
@@ -411,7 +418,7 @@ def compare_models(spark, sf_dir):
 
 @query("coefficient_table", "E1")
 def coefficient_table(spark, sf_dir):
-    model = linear.ridge(_parcels(spark, sf_dir), SPEC, 1.0)
+    model = linear.ridge(_saved(spark, sf_dir), SPEC, 1.0)
     return clean.round_columns(explain.coefficient_table(spark, model), {"coef": 6})
 
 
@@ -451,7 +458,7 @@ def _effects_sql(by):
     "CASE WHEN count(*) = 1 THEN 'coefficient' ELSE 'range' END AS type FROM c GROUP BY parent",
 )
 def grouped_coefficients(spark, sf_dir):
-    coefs = _effects(_parcels(spark, sf_dir))
+    coefs = _effects(_saved(spark, sf_dir))
     return clean.round_columns(explain.grouped_coefficients(coefs), {"value": 6})
 
 
@@ -494,7 +501,7 @@ def contributions(spark, sf_dir):
 )
 def contribution_identity(spark, sf_dir):
     """Base value plus contributions is the raw prediction, for a model fitted on the data."""
-    df = _parcels(spark, sf_dir)
+    df = _saved(spark, sf_dir)
     explained = explain.explain(df, linear.ridge(df, SPEC, 1.0))
     total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["contribution"])
     return explained.agg(
@@ -743,7 +750,7 @@ EIGEN_SQL = (
     "round(sum(100 * v / 3) OVER (ORDER BY component), 5) AS cumulative FROM s",
 )
 def pca_variance(spark, sf_dir):
-    axes = multivariate.pca(views.panel(spark, sf_dir), PCA_COLUMNS)
+    axes = multivariate.pca(views.saved_panel(spark, sf_dir), PCA_COLUMNS)
     return clean.round_columns(axes.variance_table(spark), {"eigenvalue": 6, "percent": 5, "cumulative": 5})
 
 
@@ -754,7 +761,7 @@ def pca_variance(spark, sf_dir):
     "round(unnest([sg * u1, sg * u2, sg * u3]), 5) AS loading FROM s",
 )
 def pca_loadings(spark, sf_dir):
-    axes = multivariate.pca(views.panel(spark, sf_dir), PCA_COLUMNS)
+    axes = multivariate.pca(views.saved_panel(spark, sf_dir), PCA_COLUMNS)
     return clean.round_columns(axes.loading_table(spark).drop("level"), {"loading": 5})
 
 
@@ -765,7 +772,7 @@ def pca_loadings(spark, sf_dir):
     "SELECT a.parent, a.q AS x, b.q AS y FROM r a JOIN r b USING (parent) WHERE a.component = 1 AND b.component = 2",
 )
 def pca_circle(spark, sf_dir):
-    axes = multivariate.pca(views.panel(spark, sf_dir), PCA_COLUMNS)
+    axes = multivariate.pca(views.saved_panel(spark, sf_dir), PCA_COLUMNS)
     return clean.round_columns(axes.circle_table(spark, 1, 2).drop("level"), {"x": 5, "y": 5})
 
 
@@ -776,7 +783,7 @@ def pca_circle(spark, sf_dir):
 )
 def pca_scores(spark, sf_dir):
     """Scores of all rows on five axes: mean 0, and their variance is the eigenvalue."""
-    df = _parcels(spark, sf_dir)
+    df = _saved(spark, sf_dir)
     axes = multivariate.pca(df, ["rainfall_mm", "temperature_c", *BOOLEANS, "days_to_harvest"])
     scored = axes.transform(df)
     cells = [
@@ -802,7 +809,7 @@ MIXED = [*CATEGORICALS, *BOOLEANS]
 )
 def famd(spark, sf_dir):
     """Total inertia is numerics plus levels minus categories, and all axes add up to it."""
-    df = _parcels(spark, sf_dir)
+    df = _saved(spark, sf_dir)
     axes = multivariate.famd(df, NUMERICS, MIXED, 5)
     every = multivariate.famd(df, NUMERICS, MIXED, 1000)
     rows = [(round(axes.inertia, 6), bool(abs(every.values.sum() - axes.inertia) < 1e-8), axes.k)]
@@ -811,7 +818,7 @@ def famd(spark, sf_dir):
 
 @query("famd_eigenvalues", "M6")
 def famd_eigenvalues(spark, sf_dir):
-    axes = multivariate.famd(_parcels(spark, sf_dir), NUMERICS, MIXED, 5)
+    axes = multivariate.famd(_saved(spark, sf_dir), NUMERICS, MIXED, 5)
     return clean.round_columns(axes.variance_table(spark), {"eigenvalue": 6, "percent": 4, "cumulative": 4})
 
 
@@ -821,7 +828,7 @@ def famd_eigenvalues(spark, sf_dir):
     "SELECT CAST(unnest(range(1, 6)) AS INT) AS component, 9::BIGINT AS variables, 1.0::DOUBLE AS total",
 )
 def famd_contributions(spark, sf_dir):
-    axes = multivariate.famd(_parcels(spark, sf_dir), NUMERICS, MIXED, 5)
+    axes = multivariate.famd(_saved(spark, sf_dir), NUMERICS, MIXED, 5)
     return axes.contribution_table(spark).groupBy("component").agg(
         F.count(F.lit(1)).alias("variables"), F.round(F.sum("contribution"), 6).alias("total")
     )
@@ -830,7 +837,7 @@ def famd_contributions(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Clean, split, fit, validate and recommend a crop for every parcel of the test part,
     with the contributions behind the first choice."""
-    parts = sampling.stratified_split(_parcels(spark, sf_dir), ["crop"], PARCEL_KEY)
+    parts = staged(sampling.stratified_split(_saved(spark, sf_dir), ["crop"], PARCEL_KEY), "split")
     model, _ = experiments.fit_final(parts, SPEC, 1.0)
     contexts = parts.where("split = 'test'")
     ranked = scoring.recommended_rows(scoring.recommend(contexts.drop("crop"), model, CROPS, "crop"))

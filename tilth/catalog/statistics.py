@@ -8,6 +8,7 @@ from tilth.catalog.registry import CLEAN, PANEL, PARCELS, query
 from tilth.functions.columns import safe_corr, seeded_hash
 from tilth.operators import aggregates, clean, sampling, stats
 from tilth.operators.joins import enrich_left
+from tilth.session import staged
 from tilth.sources import views
 from tilth.sources.views import BOOLEANS, NUMERICS, PARCEL_KEY, TARGET
 
@@ -31,7 +32,7 @@ def sample_n(spark, sf_dir):
     "<= 3000 // (SELECT count(DISTINCT crop) FROM clean)",
 )
 def stratified_sample(spark, sf_dir):
-    df = views.clean_parcels(spark, sf_dir).select(*PARCEL_KEY, "crop")
+    df = views.saved_parcels(spark, sf_dir, [*PARCEL_KEY, "crop"])
     return sampling.stratified_sample(df, ["crop"], 3000, PARCEL_KEY)
 
 
@@ -56,7 +57,7 @@ def _split_sql(source, stratum, key, names):
     f"WITH {CLEAN} {_split_sql('clean', 'crop', KEY_SQL, KEYS)} SELECT {KEYS}, g AS crop, split FROM split",
 )
 def stratified_split(spark, sf_dir):
-    df = views.clean_parcels(spark, sf_dir).select(*PARCEL_KEY, "crop")
+    df = views.saved_parcels(spark, sf_dir, [*PARCEL_KEY, "crop"])
     return sampling.stratified_split(df, ["crop"], PARCEL_KEY)
 
 
@@ -109,8 +110,8 @@ def assign_folds_exact(spark, sf_dir):
     "round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM split GROUP BY split, g",
 )
 def split_balance(spark, sf_dir):
-    df = views.clean_parcels(spark, sf_dir).select(*PARCEL_KEY, "crop")
-    parts = sampling.stratified_split(df, ["crop"], PARCEL_KEY)
+    df = views.saved_parcels(spark, sf_dir, [*PARCEL_KEY, "crop"])
+    parts = staged(sampling.stratified_split(df, ["crop"], PARCEL_KEY).select("split", "crop"), "split")
     return clean.round_columns(aggregates.value_counts(parts, "crop", ["split"]), {"share": 6})
 
 
@@ -122,7 +123,7 @@ def split_balance(spark, sf_dir):
 )
 def sample_with_copies(spark, sf_dir):
     """A sample of exactly n rows from a table in which most rows are exact copies."""
-    df = views.temp_raw(spark, sf_dir)
+    df = staged(views.temp_raw(spark, sf_dir), "temperatures")
     drawn = sampling.sample_n(df, 20_000, ["country", "yr", "avg_temp"])
     enough = df.agg(F.count(F.lit(1)) >= 20_000).scalar()
     return drawn.agg(F.count(F.lit(1)).alias("rows")).withColumn("enough", enough)
@@ -146,7 +147,7 @@ def _corr_sql(source, exprs, by, digits):
 
 @query("corr_matrix", "M1", f"WITH {CLEAN} " + _corr_sql("clean", NUM, "", 6))
 def corr_matrix(spark, sf_dir):
-    return stats.corr_matrix(views.clean_parcels(spark, sf_dir), list(NUM), digits=6)
+    return stats.corr_matrix(views.saved_parcels(spark, sf_dir), list(NUM), digits=6)
 
 
 PANEL_NUM = {c: c for c in ("hg_ha_yield", "rain_mm", "avg_temp", "pesticides_t")}
@@ -154,7 +155,7 @@ PANEL_NUM = {c: c for c in ("hg_ha_yield", "rain_mm", "avg_temp", "pesticides_t"
 
 @query("corr_matrix_panel", "M1", f"WITH {PANEL} " + _corr_sql("panel", PANEL_NUM, "", 6))
 def corr_matrix_panel(spark, sf_dir):
-    return stats.corr_matrix(views.panel(spark, sf_dir), list(PANEL_NUM), digits=6)
+    return stats.corr_matrix(views.saved_panel(spark, sf_dir), list(PANEL_NUM), digits=6)
 
 
 CROP_NUM = {c: c for c in ("rainfall_mm", "temperature_c", "yield_t")}
@@ -162,7 +163,7 @@ CROP_NUM = {c: c for c in ("rainfall_mm", "temperature_c", "yield_t")}
 
 @query("corr_by_crop", "M2", f"WITH {CLEAN} " + _corr_sql("clean", CROP_NUM, "crop", 3))
 def corr_by_crop(spark, sf_dir):
-    return stats.corr_matrix(views.clean_parcels(spark, sf_dir), list(CROP_NUM), by=["crop"], digits=3)
+    return stats.corr_matrix(views.saved_parcels(spark, sf_dir, ["crop", *CROP_NUM]), list(CROP_NUM), by=["crop"], digits=3)
 
 
 @query(
@@ -186,7 +187,7 @@ def corr_with_yield_by_item(spark, sf_dir):
 )
 def safe_corr_constant(spark, sf_dir):
     """A profile column is constant within its crop; its correlation there is NULL."""
-    df = views.clean_parcels(spark, sf_dir)
+    df = views.saved_parcels(spark, sf_dir)
     ref = df.groupBy("crop").agg(F.round(F.avg("rainfall_mm")).alias("ref"))
     return enrich_left(df, ref, "crop").groupBy("crop").agg(
         safe_corr(F.col("ref"), F.col(TARGET)).alias("r_constant"),
@@ -201,7 +202,7 @@ def safe_corr_constant(spark, sf_dir):
     "round((days_to_harvest - avg(days_to_harvest) OVER ()) / stddev_pop(days_to_harvest) OVER (), 5) AS days_to_harvest FROM clean",
 )
 def standardize(spark, sf_dir):
-    df = views.clean_parcels(spark, sf_dir).select(*PARCEL_KEY, "rainfall_mm", "days_to_harvest")
+    df = views.saved_parcels(spark, sf_dir, [*PARCEL_KEY, "rainfall_mm", "days_to_harvest"])
     return clean.round_columns(
         stats.standardize(df, ["rainfall_mm", "days_to_harvest"]), {"rainfall_mm": 5, "days_to_harvest": 5}
     )
@@ -214,7 +215,7 @@ def standardize(spark, sf_dir):
 )
 def standardize_check(spark, sf_dir):
     """Centred and reduced: mean 0 and population deviation 1 in every column."""
-    df = stats.standardize(views.clean_parcels(spark, sf_dir), NUMERICS)
+    df = stats.standardize(views.saved_parcels(spark, sf_dir), NUMERICS)
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -296,7 +297,7 @@ def regression_metrics(spark, sf_dir):
 def overfit_gap(spark, sf_dir):
     """A model that answers with the mean yield of the crop, over five folds."""
     k = 5
-    folds = sampling.assign_folds(views.clean_parcels(spark, sf_dir), k, PARCEL_KEY).select("fold", "crop", TARGET)
+    folds = staged(sampling.assign_folds(views.clean_parcels(spark, sf_dir), k, PARCEL_KEY).select("fold", "crop", TARGET), "folds")
     # means of the other folds = totals minus the fold's own, all from one aggregate
     per = folds.groupBy("crop", "fold").agg(F.sum(TARGET).alias("s"), F.count(F.lit(1)).alias("n"))
     total = per.groupBy("crop").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))

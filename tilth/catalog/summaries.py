@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilth.catalog.registry import CLEAN, CROP_MAP, PANEL, PARCELS, query
 from tilth.operators import aggregates, clean, distribution, joins, ranking
+from tilth.session import staged
 from tilth.sources import views
 from tilth.sources.views import BOOLEANS, CATEGORICALS, CROP_TO_ITEM, NUMERICS, TARGET
 
@@ -18,7 +19,7 @@ from tilth.sources.views import BOOLEANS, CATEGORICALS, CROP_TO_ITEM, NUMERICS,
 )
 def reference_profile(spark, sf_dir):
     means = {"rain_mm": "ref_rainfall", "avg_temp": "ref_temp", "pesticides_t": "ref_pesticides"}
-    df = aggregates.reference_profile(views.panel(spark, sf_dir), "item", means, "hg_ha_yield", "ref_yield", 10_000)
+    df = aggregates.reference_profile(views.saved_panel(spark, sf_dir), "item", means, "hg_ha_yield", "ref_yield", 10_000)
     return clean.round_columns(df, {c: 6 for c in [*means.values(), "ref_yield"]})
 
 
@@ -48,7 +49,7 @@ def parcel_profile(spark, sf_dir):
     "round(min(yield_t), 6) AS min, round(max(yield_t), 6) AS max, count(*) AS count FROM clean GROUP BY region",
 )
 def summarize_by_region(spark, sf_dir):
-    df = aggregates.summarize(views.clean_parcels(spark, sf_dir), ["region"], TARGET)
+    df = aggregates.summarize(views.saved_parcels(spark, sf_dir, ["region", TARGET]), ["region"], TARGET)
     return clean.round_columns(df, {c: 6 for c in ("mean", "median", "min", "max")})
 
 
@@ -59,7 +60,7 @@ def summarize_by_region(spark, sf_dir):
     "round(min(yield_t), 6) AS min, round(max(yield_t), 6) AS max, count(*) AS count FROM clean GROUP BY ALL",
 )
 def summarize_by_both_flags(spark, sf_dir):
-    df = aggregates.summarize(views.clean_parcels(spark, sf_dir), BOOLEANS, TARGET)
+    df = aggregates.summarize(views.saved_parcels(spark, sf_dir, [*BOOLEANS, TARGET]), BOOLEANS, TARGET)
     return clean.round_columns(df, {c: 6 for c in ("mean", "median", "min", "max")})
 
 
@@ -109,7 +110,7 @@ def _describe_sql(names, source, digits):
 
 @query("describe_parcels", "A6", f"WITH {PARCELS} " + _describe_sql([*NUMERICS, TARGET], "parcels", 5))
 def describe_parcels(spark, sf_dir):
-    df = aggregates.describe(views.parcels(spark, sf_dir), [*NUMERICS, TARGET])
+    df = aggregates.describe(staged(views.parcels(spark, sf_dir).select(*NUMERICS, TARGET), "parcels"), [*NUMERICS, TARGET])
     return clean.round_columns(df, {c: 5 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
@@ -117,7 +118,7 @@ def describe_parcels(spark, sf_dir):
     "describe_panel", "A6", f"WITH {PANEL} " + _describe_sql(["rain_mm", "pesticides_t", "avg_temp", "hg_ha_yield"], "panel", 4)
 )
 def describe_panel(spark, sf_dir):
-    df = aggregates.describe(views.panel(spark, sf_dir), ["rain_mm", "pesticides_t", "avg_temp", "hg_ha_yield"])
+    df = aggregates.describe(views.saved_panel(spark, sf_dir), ["rain_mm", "pesticides_t", "avg_temp", "hg_ha_yield"])
     return clean.round_columns(df, {c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
@@ -150,7 +151,7 @@ def n_unique(spark, sf_dir):
     f"WITH {CLEAN} SELECT crop, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM clean GROUP BY crop",
 )
 def value_counts_crop(spark, sf_dir):
-    return clean.round_columns(aggregates.value_counts(views.clean_parcels(spark, sf_dir), "crop"), {"share": 6})
+    return clean.round_columns(aggregates.value_counts(views.saved_parcels(spark, sf_dir, ["crop"]), "crop"), {"share": 6})
 
 
 @query(
@@ -173,7 +174,7 @@ def value_counts_documents(spark, sf_dir):
 )
 def group_compare(spark, sf_dir):
     means = {"rain_mm": "ref_rainfall"}
-    profile = aggregates.reference_profile(views.panel(spark, sf_dir), "item", means, "hg_ha_yield", "ref_yield", 10_000)
+    profile = aggregates.reference_profile(views.saved_panel(spark, sf_dir), "item", means, "hg_ha_yield", "ref_yield", 10_000)
     fact = clean.map_values(views.clean_parcels(spark, sf_dir), "crop", CROP_TO_ITEM, "item")
     merged = joins.enrich_left(fact, profile, "item")
     df = aggregates.group_compare(merged, "crop", {TARGET: "simulated_yield", "ref_yield": "reference_yield"})
@@ -219,7 +220,7 @@ def skewness(spark, sf_dir):
     "GROUP BY bin, lo, hi",
 )
 def quantile_trend(spark, sf_dir):
-    df = distribution.quantile_trend(views.panel(spark, sf_dir), "pesticides_t", "hg_ha_yield")
+    df = distribution.quantile_trend(views.saved_panel(spark, sf_dir), "pesticides_t", "hg_ha_yield")
     return clean.round_columns(df, {"lo": 4, "hi": 4, "mean": 6, "mid": 4})
 
 
@@ -237,13 +238,13 @@ def _histogram_sql(source, name, bins, digits):
 
 @query("histogram_yield", "A14", f"WITH {CLEAN}" + _histogram_sql("clean", "yield_t", 30, 5))
 def histogram_yield(spark, sf_dir):
-    df = distribution.histogram(views.clean_parcels(spark, sf_dir), TARGET, 30)
+    df = distribution.histogram(views.saved_parcels(spark, sf_dir, [TARGET]), TARGET, 30)
     return clean.round_columns(df, {"lo": 5, "hi": 5, "mean": 5, "median": 5})
 
 
 @query("histogram_panel", "A14", f"WITH {PANEL}" + _histogram_sql("panel", "hg_ha_yield", 50, 3))
 def histogram_panel(spark, sf_dir):
-    df = distribution.histogram(views.panel(spark, sf_dir), "hg_ha_yield", 50)
+    df = distribution.histogram(views.saved_panel(spark, sf_dir), "hg_ha_yield", 50)
     return clean.round_columns(df, {"lo": 3, "hi": 3, "mean": 3, "median": 3})
 
 
@@ -267,13 +268,13 @@ BOX_DIGITS = ("q1", "median", "q3", "whisker_low", "whisker_high")
 
 @query("box_stats", "A15", f"WITH {CLEAN}" + _box_sql("clean", "yield_t", "", 6))
 def box_stats(spark, sf_dir):
-    df = distribution.box_stats(views.clean_parcels(spark, sf_dir), TARGET)
+    df = distribution.box_stats(views.saved_parcels(spark, sf_dir, [TARGET]), TARGET)
     return clean.round_columns(df, {c: 6 for c in BOX_DIGITS})
 
 
 @query("box_stats_by_item", "A15", f"WITH {PANEL}" + _box_sql("panel", "hg_ha_yield", "item", 3))
 def box_stats_by_item(spark, sf_dir):
-    df = distribution.box_stats(views.panel(spark, sf_dir), "hg_ha_yield", ["item"])
+    df = distribution.box_stats(views.saved_panel(spark, sf_dir), "hg_ha_yield", ["item"])
     return clean.round_columns(df, {c: 3 for c in BOX_DIGITS})
 
 
@@ -288,7 +289,7 @@ def box_stats_by_item(spark, sf_dir):
     "FROM b, s, (SELECT unnest(range(0, 200)) AS point) GROUP BY point, lo, span, h, n",
 )
 def kde_grid(spark, sf_dir):
-    return clean.round_columns(distribution.kde_grid(views.clean_parcels(spark, sf_dir), TARGET), {"x": 6, "density": 6})
+    return clean.round_columns(distribution.kde_grid(views.saved_parcels(spark, sf_dir, [TARGET]), TARGET), {"x": 6, "density": 6})
 
 
 @query(
@@ -301,7 +302,7 @@ def kde_grid(spark, sf_dir):
     "FROM panel, s, (SELECT unnest(range(0, 200)) AS point) GROUP BY point, lo, span, h, n",
 )
 def kde_exact(spark, sf_dir):
-    df = distribution.kde_grid(views.panel(spark, sf_dir), "pesticides_t", bins=None)
+    df = distribution.kde_grid(views.saved_panel(spark, sf_dir), "pesticides_t", bins=None)
     return df.select("point", F.round("x", 4).alias("x"), F.round(1000 * F.col("density"), 6).alias("density_per_1000"))
 
 
@@ -322,7 +323,7 @@ def _bounds_sql(name, whole):
     f"WITH {CLEAN} " + " UNION ALL ".join(_bounds_sql(n, n == "days_to_harvest") for n in NUMERICS),
 )
 def bounds_profile(spark, sf_dir):
-    doc = aggregates.bounds_profile(views.clean_parcels(spark, sf_dir), NUMERICS, CATEGORICALS)
+    doc = aggregates.bounds_profile(views.saved_parcels(spark, sf_dir), NUMERICS, CATEGORICALS)
     fields = ["valid_min", "valid_max", "suggested_min", "suggested_max", "suggested_default"]
     rows = F.array(
         *[
@@ -341,7 +342,7 @@ def bounds_profile(spark, sf_dir):
     + ") SELECT column_name, CAST(row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS INT) AS position, value FROM v",
 )
 def bounds_vocabulary(spark, sf_dir):
-    doc = aggregates.bounds_profile(views.clean_parcels(spark, sf_dir), ["days_to_harvest"], CATEGORICALS)
+    doc = aggregates.bounds_profile(views.saved_parcels(spark, sf_dir), ["days_to_harvest"], CATEGORICALS)
     parts = [
         doc.select(F.lit(c).alias("column_name"), F.posexplode(f"categorical.{c}").alias("position", "value"))
         for c in CATEGORICALS
@@ -392,7 +393,7 @@ def rank_candidates(spark, sf_dir):
     "SELECT days_to_harvest, round(share, 6) AS share, round(sum(share) OVER (ORDER BY days_to_harvest), 6) AS cumulative FROM c",
 )
 def cumulative_share(spark, sf_dir):
-    shares = aggregates.value_counts(views.clean_parcels(spark, sf_dir), "days_to_harvest").drop("count")
+    shares = aggregates.value_counts(views.saved_parcels(spark, sf_dir, ["days_to_harvest"]), "days_to_harvest").drop("count")
     df = ranking.cumulative_share(shares, "days_to_harvest", "share")
     return clean.round_columns(df, {"share": 6, "cumulative": 6})
 

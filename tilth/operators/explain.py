@@ -51,18 +51,19 @@ def contributions(model: LinearModel | None, digits: int | None = None) -> Colum
     if model is None or not model.parents:
         return F.array().cast(CONTRIBUTION)
     shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    items = F.array(
-        *[
-            F.struct(
-                (-F.abs(model.term(p))).alias("k"), F.lit(i).alias("i"),
-                F.lit(p).alias("feature"), shown(model.term(p)).alias("contribution"),
-            )
-            for i, p in enumerate(model.parents)
-        ]
-    )
-    return F.transform(
-        F.sort_array(items), lambda s: F.struct(s["feature"].alias("feature"), s["contribution"].alias("contribution"))
+    items = F.sort_array(
+        F.array(
+            *[
+                F.struct(
+                    (-F.abs(model.term(p))).alias("k"), F.lit(i).alias("i"),
+                    F.lit(p).alias("feature"), shown(model.term(p)).alias("contribution"),
+                )
+                for i, p in enumerate(model.parents)
+            ]
+        )
     )
+    # zipping the sorted fields stays in generated code, a lambda would not
+    return F.arrays_zip(items["feature"], items["contribution"]).cast(CONTRIBUTION)
 
 
 def explain(df: DataFrame, model: LinearModel | None) -> DataFrame:

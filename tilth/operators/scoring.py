@@ -47,21 +47,21 @@ def recommendations(model: LinearModel | None, candidates: Sequence[str], candid
     model = require_model(model)
     shared = model.raw(without=(candidate,))
     own = (lambda c: model.term(candidate, F.lit(c))) if candidate in model.parents else (lambda c: F.lit(0.0))
-    scored = F.array(
-        *[
-            F.struct(
-                (-clamp_lower(shared + own(c))).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("c")
-            )
-            for i, c in enumerate(candidates)
-        ]
+    scored = F.sort_array(
+        F.array(
+            *[
+                F.struct(
+                    (-p).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("c"),
+                    F.round(p, SHOWN_DIGITS).alias("p"),
+                )
+                for i, (c, p) in enumerate((c, clamp_lower(shared + own(c))) for c in candidates)
+            ]
+        )
     )
-    return F.transform(
-        F.sort_array(scored),
-        lambda s, i: F.struct(
-            s["c"].alias(candidate),
-            (F.round(-s["k"], SHOWN_DIGITS) + F.lit(0.0)).alias("predicted"),
-            (i + 1).cast("int").alias("rank"),
-        ),
+    ranks = F.array(*[F.lit(i + 1) for i in range(len(candidates))])
+    # zipping the sorted fields stays in generated code, a lambda would not
+    return F.arrays_zip(scored["c"], scored["p"], ranks).cast(
+        f"array<struct<`{candidate}`: string, predicted: double, rank: int>>"
     )
 
 

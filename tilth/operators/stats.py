@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilth.functions.columns import col, safe_corr, two_sided_p
+from tilth.functions.columns import col, two_sided_p
 from tilth.session import one_row
 
 
@@ -23,37 +23,79 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return v.cast("int").cast("double") if dict(df.dtypes)[name] == "boolean" else v.cast("double")
 
 
+def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) -> DataFrame:
+    """Correlations of the given pairs from plain sums, as struct columns _r0, _r1, ...
+
+    A first pass finds means (subtracted before multiplying, so large offsets cost no
+    digits) and which columns have missing values.  Pairs of complete columns share their
+    sums; a pair with missing values has its own over its complete rows.  A side whose
+    smallest and largest value agree is constant and gives NULL.
+    """
+    first = one_row(
+        df.agg(
+            *[F.avg(_as_number(df, n)).alias(f"m{i}") for i, n in enumerate(names)],
+            *[F.count_if(col(n).isNull()).alias(f"n{i}") for i, n in enumerate(names)],
+        )
+    )
+    v = [_as_number(df, n) - F.lit(float(first[f"m{i}"] or 0.0)) for i, n in enumerate(names)]
+    holes = [bool(first[f"n{i}"]) for i in range(len(names))]
+    sums: dict[str, Column] = {}
+
+    def add(label: str, value: Column) -> Column:
+        sums.setdefault(label, value.alias(label))
+        return F.col(label)
+
+    cells = []
+    for i, j in pairs:
+        if holes[i] or holes[j]:
+            both = v[i].isNotNull() & v[j].isNotNull()
+            x, y, tag = F.when(both, v[i]), F.when(both, v[j]), f"{i}_{j}"
+            n = add(f"_n{tag}", F.count_if(both))
+            side = lambda s, value: (f"_{s}{tag}", value)
+            xs, ys = side("x", x), side("y", y)
+        else:
+            x, y, tag = v[i], v[j], f"{i}_{j}"
+            n = add("_n", F.count(F.lit(1)))
+            xs, ys = (f"_c{i}", x), (f"_c{j}", y)
+        n = n.cast("double")
+        mean, var, flat = [], [], F.lit(False)
+        for label, value in (xs, ys):
+            m = F.try_divide(add(label + "s", F.sum(value)), n)
+            mean.append(m)
+            var.append(F.try_divide(add(label + "q", F.sum(value * value)), n) - m * m)
+            flat = flat | (add(label + "lo", F.min(value)) == add(label + "hi", F.max(value)))
+        cov = F.try_divide(add(f"_p{tag}", F.sum(x * y)), n) - mean[0] * mean[1]
+        r = F.when(~flat, F.try_divide(cov, F.sqrt(F.greatest(var[0] * var[1], F.lit(0.0)))))
+        r = F.lit(1.0) if i == j else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+        cells.append(F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), F.when(~flat, r).alias("r")))
+    grouped = df.groupBy(*by) if by else df
+    return grouped.agg(*sums.values()).select(*by, F.inline(F.array(*cells)))
+
+
 def corr_matrix(
     df: DataFrame, names: Sequence[str] | None = None, by: Sequence[str] = (), digits: int | None = None
 ) -> DataFrame:
-    """Pearson matrix as rows (x, y, r), overall or per group, in one aggregation.
+    """Pearson matrix as rows (x, y, r), overall or per group.
 
     Each pair uses the rows where both values are present.  r is NULL for a constant
     column (the diagonal too).  Only the upper triangle is computed.
     """
     names = list(names or numeric_columns(df))
-    cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), safe_corr(_as_number(df, a), _as_number(df, b)).alias("r"))
-        for a, b in combinations_with_replacement(names, 2)
-    ]
     source = df.na.drop(subset=list(by)) if by else df
-    grouped = source.groupBy(*by) if by else source
-    wide = grouped.agg(F.array(*cells).alias("_m"))
-    half = wide.select(*by, F.inline("_m"))
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    half = _products(source, names, pairs, by)
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    pairs = F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)
-    full = half.select(*by, "r", F.inline(pairs)).select(*by, "x", "y", "r")
+    mirrored = F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)
+    full = half.select(*by, "r", F.inline(mirrored)).select(*by, "x", "y", "r")
     return full.withColumn("r", F.round("r", digits)) if digits is not None else full
 
 
 def corr_with_target(df: DataFrame, names: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
     """One column of the matrix: the correlation of each name with the target."""
-    cells = [
-        F.struct(F.lit(a).alias("x"), safe_corr(_as_number(df, a), _as_number(df, target)).alias("r")) for a in names
-    ]
     source = df.na.drop(subset=list(by)) if by else df
-    grouped = source.groupBy(*by) if by else source
-    return grouped.agg(F.array(*cells).alias("_m")).select(*by, F.inline("_m"))
+    every = list(dict.fromkeys([*names, target]))
+    t = every.index(target)
+    return _products(source, every, [(every.index(n), t) for n in names], by).select(*by, "x", "r")
 
 
 def moments(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:

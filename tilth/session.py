@@ -87,3 +87,13 @@ def gather_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> tuple[DataFra
 def one_row(df: DataFrame):
     """First row of a table that is one row by construction (a global aggregate)."""
     return df.limit(1).collect()[0]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input of few splits (one small file is one task otherwise).
+
+    An input with at least as many splits as the cluster has cores, which is what a large
+    table has, is returned as it is: nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.operators import clean, joins
+from tilth.session import spread, staged
 
 PARCEL_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_cents"]
 NUMERICS = ["rainfall_mm", "temperature_c", "days_to_harvest"]
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table; a single small file is spread over the cores first."""
+    return spread(table(spark, sf_dir, "lineitem").drop("l_tax"))
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation")
@@ -41,7 +47,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _lines(spark, sf_dir)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     region = table(spark, sf_dir, "region")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -83,8 +89,15 @@ def clean_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.filter_valid(parcels(spark, sf_dir), TARGET, 0.0)
 
 
+def saved_parcels(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """Clean parcels written once: for work that reads them several times, so that the
+    joins behind them run once."""
+    df = clean_parcels(spark, sf_dir)
+    return staged(df.select(*names) if names else df, "parcels")
+
+
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _lines(spark, sf_dir)
     place = _places(spark, sf_dir).select("s_suppkey", "n_nationkey", F.col("n_name").alias("area"))
     return lines.join(place, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("yr", F.year("l_shipdate"))
 
@@ -148,3 +161,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select_columns(
         joined, ["area", "item", "yr", "hg_ha_yield", "rain_mm", "pesticides_t", "avg_temp"]
     )
+
+
+def saved_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written once, as an analysis of it reads it several times."""
+    return staged(panel(spark, sf_dir), "panel")
