@@ -489,7 +489,7 @@ TERMS_SQL = (
     f"WITH {CLEAN}, {TERMS_SQL} SELECT feature, CAST(position - 1 AS INT) AS position, count(*) AS rows, round(sum(contribution), 6) AS total FROM o GROUP BY feature, position",
 )
 def contributions(spark, sf_dir):
-    df = explain.explain(_parcels(spark, sf_dir), MODEL).select(F.posexplode("contributions").alias("position", "c"))
+    df = explain.explain(_parcels(spark, sf_dir), MODEL).select(F.posexplode_outer("contributions").alias("position", "c"))
     out = df.groupBy("c.feature", "position").agg(F.count(F.lit(1)).alias("rows"), F.sum("c.contribution").alias("total"))
     return clean.round_columns(out, {"total": 6})
 
@@ -516,7 +516,7 @@ def contribution_identity(spark, sf_dir):
 )
 def running_contributions(spark, sf_dir):
     explained = explain.explain(_parcels(spark, sf_dir), MODEL)
-    bars = explained.select(F.posexplode(ranking.running_start(F.col("base_value"), F.col("contributions"))).alias("position", "b"))
+    bars = explained.select(F.posexplode_outer(ranking.running_start(F.col("base_value"), F.col("contributions"))).alias("position", "b"))
     out = bars.groupBy("b.feature", "position").agg(F.sum("b.start").alias("start"), F.sum("b.height").alias("height"))
     return clean.round_columns(out, {"start": 6, "height": 6})
 
@@ -541,7 +541,7 @@ def predict(spark, sf_dir):
 )
 def predict_explained(spark, sf_dir):
     df = scoring.predict_explained(_parcels(spark, sf_dir), MODEL)
-    rows = df.select("predicted", "base_value", F.posexplode("contributions").alias("position", "c"))
+    rows = df.select("predicted", "base_value", F.posexplode_outer("contributions").alias("position", "c"))
     out = rows.groupBy("c.feature", "position", "base_value").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("c.contribution").alias("total"), F.sum("predicted").alias("predicted")
     )

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tilth.functions.columns import col
 from tilth.session import gather_small, one_row
 
-MAX_STATES = 1_000_000
+MAX_STATES = 250_000
 BINS = 65_536
 # Passes narrow a bracket by a factor of BINS each; what is left after the last one is
 # ranked by distinct value whatever its size, so the result does not depend on it.

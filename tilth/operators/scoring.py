@@ -78,5 +78,6 @@ def recommended_rows(df: DataFrame, into: str = "recommendations") -> DataFrame:
     lists = [c for c in df.columns if c != into]
     item = df.schema[into].dataType.elementType.fieldNames()
     kept = [c for c in lists if c not in item]
-    rows = df.select(*kept, F.inline(into))
+    # outer: the list is never empty, and no emptiness test has to compute it beforehand
+    rows = df.select(*kept, F.inline_outer(into))
     return rows.withColumn("label", label_if(F.col("rank") == 1, "best", "other"))

@@ -89,11 +89,22 @@ def one_row(df: DataFrame):
     return df.limit(1).collect()[0]
 
 
-def spread(df: DataFrame) -> DataFrame:
+def local_if_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """A dimension as a local relation when a bounded look proves it small, else as it is.
+
+    Catalyst multiplies the sizes of joined dimensions and then shuffles the fact table
+    for a side of a thousand rows; a local relation has its true size.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    return df if table.num_rows > max_rows else df.sparkSession.createDataFrame(table, df.schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on an input of few splits (one small file is one task otherwise).
 
     An input with at least as many splits as the cluster has cores, which is what a large
-    table has, is returned as it is: nothing large is ever shuffled for this.
+    table has, is returned as it is: nothing large is ever shuffled for this.  Spreading by
+    the key of a later join lets that join reuse the partitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.operators import clean, joins
-from tilth.session import spread, staged
+from tilth.session import local_if_small, spread, staged
 
 PARCEL_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_cents"]
 NUMERICS = ["rainfall_mm", "temperature_c", "days_to_harvest"]
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table; a single small file is spread over the cores first."""
-    return spread(table(spark, sf_dir, "lineitem").drop("l_tax"))
+    return spread(table(spark, sf_dir, "lineitem").drop("l_tax"), "l_orderkey")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,10 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    # the dimension chains are joined first, so the fact table meets three sides only
+    # the dimension chains are joined first, so the fact table meets three sides only and
+    # is shuffled at most once, by the key of its largest partner
     place = _places(spark, sf_dir).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    place = place.select("s_suppkey", F.col("r_name").alias("region"))
+    place = local_if_small(place.select("s_suppkey", F.col("r_name").alias("region")))
     buyer = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     buyer = buyer.select("o_orderkey", F.col("c_mktsegment").alias("soil_type"))
     joined = (
@@ -96,30 +97,32 @@ def saved_parcels(spark: SparkSession, sf_dir: str, names: list[str] | None = No
     return staged(df.select(*names) if names else df, "parcels")
 
 
-def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact rows with their area and year; the raw sources aggregate it where it is read."""
+    lines = table(spark, sf_dir, "lineitem")
     place = _places(spark, sf_dir).select("s_suppkey", "n_nationkey", F.col("n_name").alias("area"))
-    return lines.join(place, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("yr", F.year("l_shipdate"))
+    joined = lines.join(local_if_small(place), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.withColumn("yr", F.year("l_shipdate"))
 
 
-def yield_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yield_raw(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("item"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return (
-        _shipments(spark, sf_dir)
+        (ship or shipments(spark, sf_dir))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("area", "item", "yr")
         .agg((F.sum(cents).cast("double") / 100).alias("hg_ha_yield"))
     )
 
 
-def rain_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rain_raw(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
     """One text value per area and year, some of them '..'; the area column carries the
     leading space its source has."""
     key = F.col("n_nationkey")
     value = (500 + 20 * key + F.col("yr") % 5).cast("string")
     return (
-        _shipments(spark, sf_dir)
+        (ship or shipments(spark, sf_dir))
         .select("area", "n_nationkey", "yr")
         .distinct()
         .select(
@@ -129,18 +132,18 @@ def rain_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pest_raw(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
     return (
-        _shipments(spark, sf_dir)
+        (ship or shipments(spark, sf_dir))
         .where(F.col("yr") >= 1997)
         .groupBy("area", "yr")
         .agg(F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("pesticides_t"))
     )
 
 
-def temp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def temp_raw(spark: SparkSession, sf_dir: str, ship: DataFrame | None = None) -> DataFrame:
     return (
-        _shipments(spark, sf_dir)
+        (ship or shipments(spark, sf_dir))
         .where(F.col("yr") <= 2000)
         .select(
             F.col("area").alias("country"), "yr",
@@ -151,12 +154,13 @@ def temp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rename, coerce, drop missing, deduplicate, then three joins on (area, yr)."""
-    rain = clean.rename_columns(rain_raw(spark, sf_dir), {" area": "area"})
+    ship = shipments(spark, sf_dir)
+    rain = clean.rename_columns(rain_raw(spark, sf_dir, ship), {" area": "area"})
     rain = clean.drop_missing(clean.coerce_numeric(rain, "rain_mm"), ["rain_mm"])
-    temp = clean.rename_columns(temp_raw(spark, sf_dir), {"country": "area"})
+    temp = clean.rename_columns(temp_raw(spark, sf_dir, ship), {"country": "area"})
     temp = clean.drop_exact_duplicates(temp)
     joined = joins.join_sources(
-        yield_raw(spark, sf_dir), rain, pest_raw(spark, sf_dir), temp, keys=["area", "yr"]
+        yield_raw(spark, sf_dir, ship), rain, pest_raw(spark, sf_dir, ship), temp, keys=["area", "yr"]
     )
     return clean.select_columns(
         joined, ["area", "item", "yr", "hg_ha_yield", "rain_mm", "pesticides_t", "avg_temp"]
