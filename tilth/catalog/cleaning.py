@@ -256,13 +256,13 @@ def clamp_at_zero(spark, sf_dir):
 @query(
     "round_columns",
     "P16",
-    f"WITH {PARCELS} SELECT l_orderkey, l_linenumber, price_cents, round(rainfall_mm + 0.00001, 2) AS rainfall_mm, "
-    "round(yield_t + 0.00001, 3) AS yield_t FROM parcels",
+    f"WITH {PARCELS} SELECT l_orderkey, l_linenumber, price_cents, round(rainfall_mm + 0.0000001, 2) AS rainfall_mm, "
+    "round(yield_t + 0.0000000001, 3) AS yield_t FROM parcels",
 )
 def round_columns(spark, sf_dir):
     df = views.parcels(spark, sf_dir).select(
         "l_orderkey", "l_linenumber", "price_cents",
-        (F.col("rainfall_mm") + 0.00001).alias("rainfall_mm"), (F.col("yield_t") + 0.00001).alias("yield_t"),
+        (F.col("rainfall_mm") + 1e-7).alias("rainfall_mm"), (F.col("yield_t") + 1e-10).alias("yield_t"),
     )
     return clean.round_columns(df, {"rainfall_mm": 2, "yield_t": 3})
 
