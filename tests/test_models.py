@@ -121,6 +121,17 @@ def test_full_ridge_on_parcels(spark, sf_dir):
     assert by_rows.select(F.max(F.abs(F.col("prediction") - model.raw()))).first()[0] < 1e-6
 
 
+def test_cells_and_entries_give_the_same_matrix(spark, sf_dir):
+    spec = FeatureSpec(("rainfall_mm", "days_to_harvest"), ("fertilizer_used",), ("crop", "weather"), views.TARGET)
+    df = views.saved_parcels(spark, sf_dir, spec.columns).withColumn("fold", (F.hash(*spec.columns) % 3 + 3) % 3)
+    few, many = collect_gram(df, spec, "fold"), collect_gram(df, spec, "fold", max_cells=5)
+    assert few.features == many.features and few.folds == many.folds
+    for k in few.folds:
+        np.testing.assert_allclose(few.parts[k], many.parts[k], rtol=1e-9, atol=1e-6)
+    with pytest.raises(ValueError, match="too many levels"):
+        collect_gram(df, spec, max_cells=5, max_entries=10)
+
+
 def test_cross_validation_routes_agree(spark, sf_dir):
     spec = FeatureSpec(("rainfall_mm",), ("fertilizer_used",), ("crop",), views.TARGET)
     df = views.saved_parcels(spark, sf_dir, spec.columns).withColumn("fold", (F.hash(*spec.columns) % 3 + 3) % 3)

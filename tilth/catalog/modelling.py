@@ -406,8 +406,8 @@ def compare_models(spark, sf_dir):
     drawn = experiments.stratified_folds(_saved(spark, sf_dir), ["crop"], 200_000, PARCEL_KEY, folds=3)
     params = {
         "random_forest": {"trees": 5, "depth": 6},
-        "boosted_trees": {"rounds": 5, "rate": 0.5},
-        "boosted_trees_categorical": {"rounds": 5, "rate": 0.5, "depth": 5},
+        "boosted_trees": {"rounds": 3, "rate": 0.5, "depth": 4},
+        "boosted_trees_categorical": {"rounds": 3, "rate": 0.5, "depth": 4},
     }
     kinds = ["linear_regression", "ridge", "boosted_trees", "boosted_trees_categorical", "random_forest"]
     return experiments.compare_models(drawn, SPEC, kinds, folds=3, params=params)

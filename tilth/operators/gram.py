@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tilth.functions.columns import col
 from tilth.operators.clean import any_missing
-from tilth.session import one_row
+from tilth.session import MAX_SMALL_ROWS, gather_small, one_row
 
 CONSTANT = ("", None)
 MAX_ENTRIES = 2_000_000
@@ -52,17 +52,18 @@ class FeatureSpec:
         )
 
 
-def gram_table(
+def _numbers(spec: FeatureSpec) -> list[str]:
+    return [*spec.numerics, *([spec.target] if spec.target else [])]
+
+
+def gram_cells(
     df: DataFrame, spec: FeatureSpec, by: str | None = None, shift: dict[str, float] | None = None
 ) -> DataFrame:
-    """Entries (by, parent_i, level_i, parent_j, level_j, value) of the upper triangle.
-
-    A feature is a (parent, level) pair: ('', NULL) is the constant, level is NULL for
-    numerics, booleans and the target.  ``shift`` is subtracted from numerics and target
-    before multiplying, which keeps digits when a mean is large beside its deviation.
-    """
+    """One row per observed combination of fold, booleans (_b0, ...) and categories
+    (_c0, ...): the count _n, the sums _s0, ... and the product sums _q0_0, ... of the
+    numerics and the target, each less its ``shift``."""
     shift = shift or {}
-    numbers = [*spec.numerics, *([spec.target] if spec.target else [])]
+    numbers = _numbers(spec)
     x = [col(n).cast("double") - F.lit(float(shift.get(n, 0.0))) for n in numbers]
     group = ([F.col(by).alias("_by")] if by else []) + [
         *[col(b).cast("int").alias(f"_b{i}") for i, b in enumerate(spec.booleans)],
@@ -71,8 +72,23 @@ def gram_table(
     sums = [F.count(F.lit(1)).cast("double").alias("_n")]
     sums += [F.sum(x[i]).alias(f"_s{i}") for i in range(len(x))]
     sums += [F.sum(x[i] * x[j]).alias(f"_q{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    cells = df.groupBy(*group).agg(*sums) if group else df.agg(*sums)
+    return df.groupBy(*group).agg(*sums) if group else df.agg(*sums)
+
+
+def gram_table(
+    df: DataFrame, spec: FeatureSpec, by: str | None = None, shift: dict[str, float] | None = None
+) -> DataFrame:
+    """Entries (by, parent_i, level_i, parent_j, level_j, value) of the upper triangle.
+
+    A feature is a (parent, level) pair: ('', NULL) is the constant, level is NULL for
+    numerics, booleans and the target.  ``shift`` is subtracted from numerics and target
+    before multiplying, which keeps digits when a mean is large beside its deviation.
+    """
+    return _entries(gram_cells(df, spec, by, shift), spec, by)
 
+
+def _entries(cells: DataFrame, spec: FeatureSpec, by: str | None) -> DataFrame:
+    numbers = _numbers(spec)
     # (parent, level, kind, index) in matrix order; the product of two entries in a cell
     # follows from their kinds
     parts = [("", F.lit(None).cast("string"), "one", 0)]
@@ -130,15 +146,17 @@ class Gram:
 
 
 def collect_gram(
-    df: DataFrame, spec: FeatureSpec, by: str | None = None, max_entries: int = MAX_ENTRIES
+    df: DataFrame, spec: FeatureSpec, by: str | None = None,
+    max_cells: int = MAX_SMALL_ROWS, max_entries: int = MAX_ENTRIES,
 ) -> Gram:
-    """Aggregate on Spark and fetch the entries, after a pass that finds the means (used
+    """Aggregate on Spark and fetch the result, after a pass that finds the means (used
     as shift) and refuses rows with missing features.
 
-    The number of entries depends on the levels, never on the rows; beyond the bound use
-    the row-based solver in ``trees_and_pipelines`` instead.
+    Few cells are fetched as they are; many are first added up to matrix entries on
+    Spark.  The number of entries depends on the levels, never on the rows; beyond the
+    bound use the row-based solver ``ridge_by_rows`` instead.
     """
-    numbers = [*spec.numerics, *([spec.target] if spec.target else [])]
+    numbers = _numbers(spec)
     first = one_row(
         df.agg(
             F.count_if(any_missing([*spec.columns, *([by] if by else [])])).alias("_missing"),
@@ -148,19 +166,59 @@ def collect_gram(
     if first["_missing"]:
         raise ValueError(f"{first['_missing']} rows lack a feature or the target; drop or impute them first")
     shift = {n: float(first[f"_m{i}"] or 0.0) for i, n in enumerate(numbers)}
-    table = gram_table(df, spec, by, shift).limit(max_entries + 1).toArrow()
+    cells, rows = gather_small(gram_cells(df, spec, by, shift), max_cells)
+    if rows is not None:
+        features, parts = _from_cells(rows, spec, bool(by))
+    else:
+        features, parts = _from_entries(_entries(cells, spec, by), spec, by, max_entries)
+    return Gram(spec, features, parts, shift)
+
+
+def _from_cells(rows: list[dict], spec: FeatureSpec, folded: bool):
+    """Matrix per fold from a short list of cells: with Z the indicators of a cell, the
+    blocks are Z'nZ, Z's and the summed products."""
+    k = len(_numbers(spec))
+    levels = [sorted({r[f"_c{i}"] for r in rows}) for i in range(len(spec.categoricals))]
+    features = [CONSTANT, *[(n, None) for n in [*_numbers(spec), *spec.booleans]]]
+    features += [(c, lv) for c, known in zip(spec.categoricals, levels) for lv in known]
+    n = np.array([r["_n"] for r in rows], float)
+    z = np.column_stack(
+        [np.ones(len(rows)), *[[float(r[f"_b{i}"]) for r in rows] for i in range(len(spec.booleans))]]
+        + [[float(r[f"_c{i}"] == lv) for r in rows] for i, known in enumerate(levels) for lv in known]
+    )
+    s = np.array([[r[f"_s{i}"] or 0.0 for i in range(k)] for r in rows], float).reshape(len(rows), k)
+    q = np.array(
+        [[[r[f"_q{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)] for r in rows], float
+    ).reshape(len(rows), k, k)
+    other = [0, *range(k + 1, len(features))]  # places of the constant, booleans and levels
+    fold = [r["_by"] if folded else None for r in rows]
+    parts = {}
+    for key in dict.fromkeys(fold):
+        own = np.array([f == key for f in fold])
+        m = np.zeros((len(features), len(features)))
+        m[np.ix_(other, other)] = (z[own] * n[own, None]).T @ z[own]
+        m[np.ix_(other, range(1, k + 1))] = z[own].T @ s[own]
+        m[np.ix_(range(1, k + 1), other)] = m[np.ix_(other, range(1, k + 1))].T
+        m[1 : k + 1, 1 : k + 1] = q[own].sum(axis=0)
+        parts[key] = m
+    return features, parts
+
+
+def _from_entries(table: DataFrame, spec: FeatureSpec, by: str | None, max_entries: int):
+    table = table.limit(max_entries + 1).toArrow()
     if table.num_rows > max_entries:
         raise ValueError(f"more than {max_entries} matrix entries: too many levels for this route")
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    order = {"": 0, **{n: 1 + i for i, n in enumerate([*numbers, *spec.booleans, *spec.categoricals])}}
+    order = {"": 0, **{n: 1 + i for i, n in enumerate([*_numbers(spec), *spec.booleans, *spec.categoricals])}}
     seen = set(zip(cols["parent_i"], cols["level_i"])) | set(zip(cols["parent_j"], cols["level_j"]))
     features = sorted(seen, key=lambda f: (order[f[0]], f[1] or ""))
     place = {f: i for i, f in enumerate(features)}
     parts: dict = {}
     bys = cols[by] if by else [None] * table.num_rows
-    entries = zip(bys, cols["parent_i"], cols["level_i"], cols["parent_j"], cols["level_j"], cols["value"])
-    for k, pi, li, pj, lj, v in entries:
+    for k, pi, li, pj, lj, v in zip(
+        bys, cols["parent_i"], cols["level_i"], cols["parent_j"], cols["level_j"], cols["value"]
+    ):
         m = parts.setdefault(k, np.zeros((len(features), len(features))))
         i, j = place[(pi, li)], place[(pj, lj)]
         m[i, j] = m[j, i] = v
-    return Gram(spec, features, parts, shift)
+    return features, parts

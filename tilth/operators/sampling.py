@@ -33,7 +33,7 @@ def _bins(rows: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
     counted = rows.groupBy(*strata, F.substring("_hash", 1, digits).alias("_bin")).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    return reliable(counted)
+    return gather_small(counted)[0]
 
 
 def _cuts(rows: DataFrame, bins: DataFrame, targets: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
