@@ -93,8 +93,8 @@ def test_strata_get_equal_quotas(spark):
     assert got == {s: min(n, 490 // 8) for s, n in sizes.items() if s is not None}
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_copies_are_split_exactly(spark, digits):
+@pytest.mark.parametrize("digits, max_hashes", [(3, 1_000_000), (1, 2)])
+def test_copies_are_split_exactly(spark, digits, max_hashes):
     """Half of the rows share one key; every size still comes out exactly."""
     df = spark.range(0, 600, 1, 6).select((F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))).alias("k"))
 
@@ -104,11 +104,23 @@ def test_copies_are_split_exactly(spark, digits):
             F.struct(F.lit(1).alias("cut"), F.lit(350).cast("bigint").alias("pos")),
         )))
 
-    parts = sampling.split_at(df, ["k"], 1, targets, digits=digits)
+    parts = sampling.split_at(df, ["k"], 1, targets, digits=digits, max_hashes=max_hashes)
     assert Counter(r["part"] for r in parts.collect()) == {0: 100, 1: 250, 2: 250}
     assert Counter(r["k"] for r in parts.collect()) == Counter(r["k"] for r in df.collect())
 
 
+def test_narrowing_changes_no_row(spark):
+    df = keyed(spark, 1500)
+
+    def targets(sizes, keys):
+        return sizes.select(*keys, F.lit(0).alias("cut"), F.expr("size div 3").alias("pos"))
+
+    def first_part(**how):
+        return {r["id"] for r in sampling.split_at(df, ["id"], 3, targets, ["s"], **how).where("part = 0").collect()}
+
+    assert first_part() == first_part(digits=1, max_hashes=1)
+
+
 def test_split_shares_and_totals(spark):
     df = keyed(spark, 997)
     parts = sampling.stratified_split(df, ["s"], ["id"])

@@ -22,7 +22,9 @@ from pyspark.sql.window import Window
 from tilth.functions.columns import col, hash_number, seeded_hash
 from tilth.session import gather_small, one_row, reliable
 
-DIGITS = 3  # leading hex digits counted first: 4096 bins per stratum
+DIGITS = 3  # hex digits counted at a time: 4096 bins per stratum
+HASH_LENGTH = 32
+MAX_HASHES = 1_000_000  # different hashes that one task ranks
 
 
 def _match(left: str, right: str, keys: Sequence[str]):
@@ -36,9 +38,45 @@ def _bins(rows: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
     return gather_small(counted)[0]
 
 
-def _cuts(rows: DataFrame, bins: DataFrame, targets: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
+def _near(rows: DataFrame, hit: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
+    """The rows in the bins that hold a wanted position, with their bin."""
+    homes = hit.select(*strata, "_bin").distinct()
+    slim = rows.select(*strata, "_hash", F.substring("_hash", 1, digits).alias("_bin"))
+    return slim.alias("r").join(homes.alias("h"), _match("r", "h", [*strata, "_bin"]), "left_semi")
+
+
+def _narrowed(rows: DataFrame, hit: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
+    """Wanted positions with their bins cut by further digits.  The size of a bin is its
+    number of different hashes, as copies of a hash are ranked as one."""
+    deeper = (
+        _near(rows, hit, strata, digits)
+        .groupBy(*strata, "_bin", F.substring("_hash", 1, digits + DIGITS).alias("_next"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.approx_count_distinct("_hash").alias("_d"))
+    )
+    upto = Window.partitionBy(*strata, "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
+    running = deeper.withColumn("_upto", F.sum("_c").over(upto))
+    found = (
+        hit.alias("t")
+        .join(running.alias("b"), _match("t", "b", [*strata, "_bin"]))
+        .where((F.col("_rank") > F.col("_upto") - F.col("_c")) & (F.col("_rank") <= F.col("_upto")))
+        .select(
+            *[F.col(f"t.`{k}`").alias(k) for k in strata],
+            "cut", F.col("_next").alias("_bin"),
+            (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"),
+            F.least("_c", "_d").alias("_size"),
+        )
+    )
+    return gather_small(found)[0]
+
+
+def _cuts(
+    rows: DataFrame, bins: DataFrame, targets: DataFrame, strata: Sequence[str], digits: int, max_hashes: int
+) -> DataFrame:
     """Targets (strata, cut, pos) -> (strata, cut, cut_hash, take, tied): the hash at that
-    position of the stratum and how many of the rows that carry it lie up to it."""
+    position of the stratum and how many of the rows that carry it lie up to it.
+
+    A bin with more hashes than one task should rank is narrowed digit by digit first.
+    """
     upto = Window.partitionBy(*strata).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     running = bins.withColumn("_upto", F.sum("_c").over(upto))
     inner = targets.where(F.col("pos") > 0)
@@ -49,13 +87,14 @@ def _cuts(rows: DataFrame, bins: DataFrame, targets: DataFrame, strata: Sequence
         .select(
             *[F.col(f"t.`{k}`").alias(k) for k in strata],
             "cut", "_bin", (F.col("pos") - F.col("_upto") + F.col("_c")).alias("_rank"),
+            F.col("_c").alias("_size"),
         )
     )
     hit, _ = gather_small(hit)
-    homes = hit.select(*strata, "_bin").distinct()
-    slim = rows.select(*strata, "_hash", F.substring("_hash", 1, digits).alias("_bin"))
-    near = slim.alias("r").join(homes.alias("h"), _match("r", "h", [*strata, "_bin"]), "left_semi")
-    hashes = near.groupBy(*strata, "_bin", "_hash").agg(F.count(F.lit(1)).alias("tied"))
+    while digits < HASH_LENGTH and (one_row(hit.agg(F.max("_size").alias("m")))["m"] or 0) > max_hashes:
+        hit = _narrowed(rows, hit, strata, digits)
+        digits += DIGITS
+    hashes = _near(rows, hit, strata, digits).groupBy(*strata, "_bin", "_hash").agg(F.count(F.lit(1)).alias("tied"))
     order = Window.partitionBy(*strata, "_bin").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
     ranked = hashes.withColumn("_upto", F.sum("tied").over(order))
     found = (
@@ -105,6 +144,7 @@ def split_at(
     strata: Sequence[str] = (),
     into: str = "part",
     digits: int = DIGITS,
+    max_hashes: int = MAX_HASHES,
 ) -> DataFrame:
     """Number the parts 0, 1, ... into which cumulative positions cut each stratum.
 
@@ -118,7 +158,7 @@ def split_at(
         hashed = hashed.withColumn("_all", F.lit(0))
     bins = _bins(hashed.select(*keys, "_hash"), keys, digits)
     sizes = bins.groupBy(*keys).agg(F.sum("_c").alias("size"))
-    cuts = _cuts(hashed.select(*keys, "_hash"), bins, targets(sizes, keys), keys, digits)
+    cuts = _cuts(hashed.select(*keys, "_hash"), bins, targets(sizes, keys), keys, digits, max_hashes)
     packed = cuts.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("cut", "cut_hash", "take", "tied"))).alias("_cuts")
     )
