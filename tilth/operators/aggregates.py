@@ -98,10 +98,14 @@ def describe(df: DataFrame, names: Sequence[str], max_states: int = MAX_STATES)
         )
     wide = df.agg(*parts)
     long = wide.select(F.inline(F.array(*[f"_c{i}" for i in range(len(names))])))
-    for n in heavy:
-        exact = quantiles(df, n, QUARTILES, max_states=max_states)
-        found = exact.scalar()
-        long = long.withColumn("q", F.when(F.col("column_name") == n, found).otherwise(F.col("q")))
+    if heavy:
+        # the heavy columns go through the refinement together, as groups of one long column
+        cells = F.array(
+            *[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("value")) for n in heavy]
+        )
+        exact = quantiles(df.select(F.inline(cells)), "value", QUARTILES, ["column_name"], max_states=max_states)
+        exact, _ = gather_small(exact)
+        long = long.join(exact, "column_name", "left").withColumn("q", F.coalesce("q", "quantiles"))
     q = F.col("q")
     return long.select(
         "column_name", "count", "mean", "std", "min",
