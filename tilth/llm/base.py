@@ -142,6 +142,11 @@ def hash_of(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mixed((prefix[ends] - prefix[starts]) * INVERSES.upto(len(prefix))[starts])
 
 
+def grams_of(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``hash_of`` for every run of ``size`` bytes."""
+    return mixed((prefix[size:] - prefix[:-size]) * INVERSES.upto(len(prefix))[: len(prefix) - size])
+
+
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without white space); no word crosses a row."""
     if len(data) == 0:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tilth.llm import minhash, mixing, quality, shards
+from tilth.llm import metric, minhash, mixing, pages, pieces, quality, repeats, shards, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,12 +59,109 @@ FROM crossed
 """
 
 
+TOP_SQL = r"""
+WITH good AS (
+ SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+ SELECT q.vec_id AS query_id, c.vec_id,
+  CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+ FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+NEAR_VECTORS_SQL = r"""
+WITH RECURSIVE good AS (
+ SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+ SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+ WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN parts USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+NEAR_TEXTS_SQL = r"""
+WITH RECURSIVE words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+ SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_have AS (
+ SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+ GROUP BY x.doc_id, y.doc_id),
+links AS (
+ SELECT a, b FROM both_have JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+ WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+REPEATS_SQL = r"""
+WITH docs AS (
+ SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes
+ FROM documents),
+heads AS (
+ SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS head
+ FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 99)) AS i FROM docs WHERE n_bytes >= 100)),
+late AS (
+ SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY head ORDER BY doc_id, i) AS line FROM heads) WHERE line > 1),
+fresh AS (SELECT *, CASE WHEN lag(i) OVER w >= i - 100 THEN 0 ELSE 1 END AS new FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+ SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi
+ FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM fresh) GROUP BY doc_id, run),
+pieces AS (
+ SELECT r.doc_id, lo, substr(h, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS piece
+ FROM runs r JOIN docs d USING (doc_id) WINDOW w AS (PARTITION BY r.doc_id ORDER BY lo)),
+gone AS (
+ SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, CAST(count(*) AS BIGINT) AS n_spans, max(hi) AS last FROM runs GROUP BY doc_id),
+heads_kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY lo) AS body FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN gone USING (doc_id) LEFT JOIN heads_kept USING (doc_id)
+"""
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op1_token_sequences")
+def token_sequences(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
+    manifest = tokens.write_sequences(table(spark, sf_dir, "documents"), vocabulary)
+    found = tokens.read_documents(spark, manifest)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "part")
+
+
 @query("op2_mix_sources", MIX_SQL)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_top_vectors", TOP_SQL)
+def top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256.0)
+
+
+@query("op4_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
+@query("op5_pieces")
+def piece_ids(spark: SparkSession, sf_dir: str, model: str = PIECE_BPE) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id"], digest=True)
+
+
 @query("op6_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,12 +172,24 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_near_duplicates")
+@query("op7_near_duplicates", NEAR_TEXTS_SQL)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+@query("op8_repeats", REPEATS_SQL)
+def repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), 100, digest=True)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op9_near_vectors", NEAR_VECTORS_SQL)
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metric.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 @query("op10_shard")
 def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)

@@ -177,3 +177,18 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
             ids.select(F.col("key").alias("component_key"), F.col("id").alias("component_id")), "component_key")
     return out.select(
         "key", "id", "n_shingles", "component_key", "component_id", (F.col("key") == F.col("component_key")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component: of rows equal in id and text one stays."""
+    found = near_duplicates(docs, width, percent, key=key, text=text)
+    kept = found.where("kept").select("id", "component_key")
+    texts, plain = keyed(docs, key, text)
+    if plain:
+        return docs.join(kept.select(F.col("id").alias(key)), key, "left_semi").select(*docs.columns)
+    # keys are places here: rows are found again by their id and text
+    chosen = kept.join(texts.select(F.col("key").alias("component_key"), F.col("text").alias("__text")), "component_key")
+    chosen = chosen.select(F.col("id").alias("__id"), "__text").distinct()
+    rows = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).dropDuplicates([key, "__text"])
+    same = F.col(key).eqNullSafe(F.col("__id"))
+    return rows.join(chosen, "__text").where(same).select(*[rows[c] for c in docs.columns])
