@@ -42,16 +42,19 @@ def positioned(df: DataFrame, order: list, name: str, label: str = "positions")
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
-    """(key, id, text) of a table of documents, a null text as empty; and whether keys are ids.
+    """(key, id, text, row) of a table of documents, a null text as empty and ``row`` with all
+    columns; and whether keys are ids.
 
     Where ids are neither null nor repeated the key is the id.  Otherwise it is the row's
     place in the order of id (null last) and text, so that keys are unique and follow ids.
     """
-    slim = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = docs.select(
+        F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct("*").alias("row"))
     odd = slim.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
     if odd.isEmpty():
-        return slim.select(F.col("id").alias("key"), "id", "text"), True
-    return positioned(slim, [F.col("id").asc_nulls_last(), F.col("text")], "key", "keys").select("key", "id", "text"), False
+        return slim.select(F.col("id").alias("key"), "id", "text", "row"), True
+    order = [F.col("id").asc_nulls_last(), F.col("text")]
+    return positioned(slim, order, "key", "keys").select("key", "id", "text", "row"), False
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -144,7 +144,7 @@ def token_sequences(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE
 @query("op2_mix_sources", MIX_SQL)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op3_top_vectors", TOP_SQL)

@@ -11,6 +11,8 @@ Documents of equal sets are one class and one row from the start.  Documents of
 not paired with each other at once: first each with the smallest of its lists, then with
 the smallest of every list, and after that only documents of one list that are still in
 different components.  Links inside a component would change nothing, so none is lost.
+Long lists are compared in blocks by bitmaps of the sets, which bound the similarity from
+above; only pairs that the bound lets through become rows.
 
 Defined results: null and empty texts, and texts of white space only, have no shingles and
 no links; repeated or null ids are told apart by their rows (the component is still named
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tilth.llm.blocks import spread_over
 from tilth.llm.base import bounded, in_tasks, keyed, lowered, mixed, segments, shingle_hashes
 from tilth.llm.components import components
 from tilth.session import staged
@@ -34,6 +37,10 @@ PERCENT = 80
 #: a pair has 25.6 collisions on average; fewer than 14 come up about once in 100,000 pairs.
 COORDINATES = 32
 MATCHES = 14
+#: Lists of more documents are compared in blocks; documents of a block; bits of a bitmap for each shingle.
+LONG_LIST = 16
+BLOCK = 256
+BITS = 16
 
 _ODD = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _PLUS = mixed(np.arange(1001, 1257, dtype=np.uint64))
@@ -93,6 +100,99 @@ def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return in_tasks(docs.select("key", "text"), work, "key long, shingles array<long>")
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the bitmap of a set of n shingles, a power of two."""
+    return 1 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) * BITS / 64)), 0).astype(np.int64)
+
+
+def bitmaps(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """(key, n, bits): a bit for each shingle's hash modulo the size of the bitmap."""
+
+    def work(batches):
+        for batch in batches:
+            for first, last, hashes, rows in _sets(batch.column(1), width):
+                sizes = np.bincount(rows, minlength=last - first)
+                words = _width(sizes)
+                starts = np.concatenate([[0], np.cumsum(words)])
+                bits = np.zeros(starts[-1], np.uint64)
+                place = hashes & (words[rows].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+                np.bitwise_or.at(bits, starts[:-1][rows] + (place >> np.uint64(6)).astype(np.int64),
+                                 np.uint64(1) << (place & np.uint64(63)))
+                raw, ends = bits.tobytes(), (starts * 8).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(sizes.astype(np.int64)),
+                     pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], ["key", "n", "bits"])
+
+    return in_tasks(docs.select("key", "text"), work, "key long, n long, bits binary")
+
+
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps brought to ``words`` words: halves of a larger one are laid over each other."""
+    rows = [np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in bits]
+    return np.array(rows).reshape(len(rows), words)
+
+
+def _close(a: tuple, b: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks that may be similar enough; a block is (part, n, bitmaps)."""
+    found = [], []
+    widths = [_width(x[1]) for x in (a, b)]
+    for wa in np.unique(widths[0]):
+        for wb in (wa // 2, wa, wa * 2):
+            at = [np.flatnonzero(w == v) for w, v in zip(widths, (wa, wb))]
+            if not len(at[0]) or not len(at[1]):
+                continue
+            words = min(wa, wb)
+            maps = [_folded([x[2][i] for i in rows], words) for x, rows in zip((a, b), at)]
+            part, n = ([x[k][rows] for x, rows in zip((a, b), at)] for k in (0, 1))
+            for i in range(len(at[0])):
+                n_a = n[0][i]
+                j = np.flatnonzero((part[1] != part[0][i]) & (100 * np.minimum(n[1], n_a) >= percent * np.maximum(n[1], n_a)))
+                if not len(j):
+                    continue
+                only_a = np.bitwise_count(maps[0][i] & ~maps[1][j]).sum(axis=1, dtype=np.int64)
+                only_b = np.bitwise_count(~maps[0][i] & maps[1][j]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n_a - only_a, n[1][j] - only_b)
+                j = j[100 * most >= percent * (n_a + n[1][j] - most)]
+                found[0].append(np.full(len(j), at[0][i]))
+                found[1].append(at[1][j])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in found)
+
+
+def close_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one list and different parts that their bitmaps do not rule out.
+
+    ``members`` has token, many (size of the list), key, part, n and bits.  A list is dealt
+    into blocks, and a task compares two blocks of a list at a time.
+    """
+    line = F.pmod(F.xxhash64("key", F.lit(5)), F.ceil(F.col("many") / BLOCK)).cast("int")
+    dealt = members.withColumn("lines", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("line", line)
+    shape = "token long, lines int, line int, keys binary, parts binary, sizes binary, bits array<binary>"
+    schema = pa.schema([("token", pa.int64()), ("lines", pa.int32()), ("line", pa.int32()), ("keys", pa.binary()),
+                        ("parts", pa.binary()), ("sizes", pa.binary()), ("bits", pa.list_(pa.binary()))])
+
+    def pack(table: pa.Table) -> pa.Table:
+        fixed = [[table.column(c)[0].as_py()] for c in ("token", "lines", "line")]
+        numbers = [[table.column(c).to_numpy().astype(np.int64).tobytes()] for c in ("key", "part", "n")]
+        return pa.table([*fixed, *numbers, [table.column("bits").to_pylist()]], schema=schema)
+
+    blocks = staged(dealt.groupBy("token", "line").applyInArrow(pack, shape), "blocks")
+    left = blocks.select("token", F.col("line").alias("to"), *[F.col(c).alias(f"l_{c}") for c in ("keys", "parts", "sizes", "bits")])
+    right = spread_over(blocks, "to", F.col("lines")).where("to <= line")
+    pairs = left.join(right, ["token", "to"]).select("l_keys", "l_parts", "l_sizes", "l_bits", "keys", "parts", "sizes", "bits")
+
+    def work(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                numbers = [np.frombuffer(batch.column(i)[row].as_buffer(), np.int64) for i in (0, 1, 2, 4, 5, 6)]
+                bits = [batch.column(i)[row].as_py() for i in (3, 7)]
+                x, y = _close((numbers[1], numbers[2], bits[0]), (numbers[4], numbers[5], bits[1]), percent)
+                a, b = numbers[0][x], numbers[3][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return in_tasks(pairs, work, "a long, b long")
+
+
 def postings(signed: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(token, key) of the lists that are joined: of each document's lists that hold others too,
     the rarest ones that its collisions cannot all avoid."""
@@ -127,10 +227,19 @@ def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, width: int,
     return staged(alike.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"), "near")
 
 
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, key, part): the postings with the component of each document so far."""
+    parts = components(links).select(F.col("node").alias("key"), "component")
+    return lists.join(parts, "key", "left").select("token", "key", F.coalesce("component", "key").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES,
                     matches: int = MATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, id, n_shingles, component_key, component_id, kept) of every row of ``docs``."""
-    texts, plain = keyed(docs, key, text)
+    return _near_duplicates(*keyed(docs, key, text), width, percent, coordinates, matches)
+
+
+def _near_duplicates(texts: DataFrame, plain: bool, width: int, percent: int, coordinates: int, matches: int) -> DataFrame:
     signed = staged(signatures(texts, width, coordinates), "signatures")
     classes = signed.where("n > 0").groupBy("mark_a", "mark_b", "n").agg(F.min("key").alias("class"))
     members = signed.select("key", "n", "mark_a", "mark_b").join(classes, ["mark_a", "mark_b", "n"], "left")
@@ -144,28 +253,28 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     links = confirmed(
         stars.groupBy("key").agg(F.min("hub").alias("a")).select("a", F.col("key").alias("b")),
         alone, texts, width, matches, percent)
-    tried = None
-    for joined in ("hubs", "lists"):
-        parts = components(links)
-        parts = staged(parts, "components")
-        placed = lists.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").select(
-            "token", "key", F.coalesce("component", "key").alias("part"))
-        if joined == "hubs":
-            hub = hubs.join(parts.select(F.col("node").alias("hub"), "component"), "hub", "left").select(
-                "token", "hub", F.coalesce("component", "hub").alias("hub_part"))
-            pairs = placed.join(hub, "token").where("hub < key AND hub_part <> part").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-        else:
-            mixed_lists = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-            split = placed.join(mixed_lists.select("token"), "token", "left_semi")
-            left = split.select("token", F.col("key").alias("a"), F.col("part").alias("part_a"))
-            right = split.select("token", F.col("key").alias("b"), F.col("part").alias("part_b"))
-            pairs = left.join(right, "token").where("a < b AND part_a <> part_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs
-        links = links.unionByName(confirmed(pairs, alone, texts, width, matches, percent))
+    # the other hubs of each list
+    placed = _placed(lists, links)
+    hub_parts = placed.select("token", F.col("key").alias("hub"), F.col("part").alias("hub_part"))
+    stars = placed.join(hubs.select("token", "hub").join(hub_parts, ["token", "hub"]), "token")
+    pairs = stars.where("hub < key AND hub_part <> part").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    tried = staged(pairs, "pairs")
+    links = links.unionByName(confirmed(tried, alone, texts, width, matches, percent))
+    # documents of one list that are still in different components
+    placed = _placed(lists, links)
+    parted = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many"))
+    parted = parted.where("low < high").select("token", "many")
+    split = staged(placed.join(parted, "token").join(alone.select("key", "n"), "key"), "parted")
+    few, many = split.where(F.col("many") <= LONG_LIST), split.where(F.col("many") > LONG_LIST)
+    left = few.select("token", F.col("key").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
+    right = few.select("token", F.col("key").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
+    fits = F.expr(f"a < b AND part_a <> part_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = left.join(right, "token").where(fits).select("a", "b")
+    named = many.select("key").distinct()
+    maps = staged(bitmaps(texts.join(bounded(named), "key", "left_semi"), width), "bitmaps")
+    pairs = pairs.unionByName(close_pairs(many.join(maps.select("key", "bits"), "key"), percent))
+    pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(confirmed(pairs, alone, texts, width, matches, percent))
     parts = components(links)
     named = members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     named = named.select("key", "n_shingles", F.coalesce("component", "class").alias("component_key"))
@@ -179,16 +288,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
         "key", "id", "n_shingles", "component_key", "component_id", (F.col("key") == F.col("component_key")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: of rows equal in id and text one stays."""
-    found = near_duplicates(docs, width, percent, key=key, text=text)
-    kept = found.where("kept").select("id", "component_key")
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES,
+             matches: int = MATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; documents without shingles all stay."""
     texts, plain = keyed(docs, key, text)
-    if plain:
-        return docs.join(kept.select(F.col("id").alias(key)), key, "left_semi").select(*docs.columns)
-    # keys are places here: rows are found again by their id and text
-    chosen = kept.join(texts.select(F.col("key").alias("component_key"), F.col("text").alias("__text")), "component_key")
-    chosen = chosen.select(F.col("id").alias("__id"), "__text").distinct()
-    rows = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).dropDuplicates([key, "__text"])
-    same = F.col(key).eqNullSafe(F.col("__id"))
-    return rows.join(chosen, "__text").where(same).select(*[rows[c] for c in docs.columns])
+    kept = _near_duplicates(texts, plain, width, percent, coordinates, matches).where("kept")
+    return texts.join(kept.select("key"), "key", "left_semi").select("row.*")

@@ -12,7 +12,7 @@ and its successor's lower end are the same expression, so rounding cannot lose a
 
 Defined results: null texts have size 0; the null source is a source and stands last; a
 source without words has target 0 and none of it is taken; repeated rows are rows of their
-own; an empty table gives an empty mix; input columns named like added ones are replaced.
+own; an empty table gives an empty mix; extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from tilth.session import staged
 WEIGHTS = (5, 2, 1)
 #: A source may be repeated so many times at most.
 MOST_REPEATS = 3
-ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: str) -> Column:
@@ -67,10 +66,9 @@ def offset(seed: int, source: Column) -> Column:
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS, seed: int = 0,
          key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default all) of every document with size, source_size, target, copies, taken."""
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    """(row, size, source_size, target, copies, taken) of every document; ``row`` has the columns ``carry`` (default all)."""
     rows = docs.select(
-        F.struct(*kept).alias("__row"), F.col(source).alias("__source"), F.col(key).alias("__key"), word_count(text).alias("size")
+        F.struct(*(docs.columns if carry is None else carry)).alias("__row"), F.col(source).alias("__source"), F.col(key).alias("__key"), word_count(text).alias("size")
     )
     order = [F.col("__source").asc_nulls_last(), F.col("size"), F.col("__key").asc_nulls_last(), F.xxhash64("__row")]
     placed = positioned(rows, order, "__place", "mix")
@@ -86,13 +84,11 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS,
     return (
         placed.join(wanted, F.col("__source").eqNullSafe(F.col("source")))
         .withColumn("copies", F.least(crossed, F.lit(repeats)).cast("int"))
-        .select("__row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("__row").alias("row"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: every row as often as it was taken, with the columns of ``docs`` alone."""
+    """The mixed documents: every row of ``docs`` as often as it was taken."""
     planned = plan(docs, **options).where("copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *[c for c in docs.columns if c not in ADDED]
-    )
+    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

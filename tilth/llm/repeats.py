@@ -270,18 +270,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     return staged(merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text",
-                    carry: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """The documents with their repeated bytes taken out.
-
-    Columns: key, id, n_bytes, n_removed, n_spans, spans and ``kept`` (binary); with
-    ``digest`` kept_sha256 in place of ``kept``, so that bytes need not travel on.
-    """
-    texts, _ = keyed(docs, key, text)
+def _with_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Documents beside their spans, as arrays lo and hi (null: none)."""
     spans = repeated_spans(texts, length)
     many = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     side = F.broadcast(spans) if many <= BROADCAST_ROWS else spans
-    rows = texts.join(side, "key", "left").select("key", "id", "text", "spans.lo", "spans.hi")
+    return texts.join(side, "key", "left").select("key", "id", "text", "row", "spans.lo", "spans.hi")
+
+
+def _kept(raw: bytes, los: list | None, his: list | None) -> tuple[list[memoryview], int]:
+    """What stays of the bytes, and how many go."""
+    view, pieces, at, gone = memoryview(raw), [], 0, 0
+    for lo, hi in zip(los or [], his or []):
+        pieces.append(view[at:lo])
+        gone += hi - lo
+        at = hi
+    pieces.append(view[at:])
+    return pieces, gone
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(key, id, n_bytes, n_removed, n_spans, kept) of every document, ``kept`` as bytes; with
+    ``digest`` kept_sha256 in its place, so that the bytes need not travel on."""
+    rows = _with_spans(keyed(docs, key, text)[0], length).select("key", "id", "text", "lo", "hi")
     last = "kept_sha256" if digest else "kept"
 
     def work(batches):
@@ -289,14 +300,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
             kept, removed, many, sizes = [], [], [], []
             los, his = batch.column(3), batch.column(4)
             for i, body in enumerate(batch.column(2).cast(pa.binary())):
-                raw = memoryview(body.as_py())
-                pieces, at, gone = [], 0, 0
-                ends = his[i].as_py() or []
-                for lo, hi in zip(los[i].as_py() or [], ends):
-                    pieces.append(raw[at:lo])
-                    gone += hi - lo
-                    at = hi
-                pieces.append(raw[at:])
+                raw, ends = body.as_py(), his[i].as_py()
+                pieces, gone = _kept(raw, los[i].as_py(), ends)
                 if digest:
                     sha = hashlib.sha256()
                     for piece in pieces:
@@ -306,7 +311,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
                     kept.append(b"".join(pieces))
                 sizes.append(len(raw))
                 removed.append(gone)
-                many.append(len(ends))
+                many.append(len(ends or ()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, many)),
                  pa.array(kept, pa.string() if digest else pa.binary())],
@@ -314,3 +319,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
 
     kind = "string" if digest else "binary"
     return in_tasks(rows, work, f"key long, id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+
+
+def stripped(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated bytes taken out of their texts.
+
+    Bytes of a character that was cut through go with it; a document of which nothing is
+    left goes; a column ``size`` is brought up to date.  Untouched rows stay as they are.
+    """
+    rows = _with_spans(keyed(docs, key, text)[0], length).select("row", "text", "lo", "hi")
+
+    def work(batches):
+        for batch in batches:
+            los, his = batch.column(2), batch.column(3)
+            texts = [
+                b"".join(_kept(body.as_py(), los[i].as_py(), his[i].as_py())[0]).decode("utf-8", "ignore") if his[i].is_valid else None
+                for i, body in enumerate(batch.column(1).cast(pa.binary()))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "left"])
+
+    schema = rows.select("row").schema.add("left", "string")
+    done = in_tasks(rows, work, schema).where("left IS NULL OR left <> ''")
+    now = F.coalesce("left", F.col("row")[text])
+    changed = {text: now, size: F.when(F.col("left").isNull(), F.col("row").getField(size)).otherwise(F.length("left"))} if size in docs.columns else {text: now}
+    kinds = dict(docs.dtypes)
+    return done.select(*[(changed[c].cast(kinds[c]) if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
