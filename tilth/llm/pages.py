@@ -274,10 +274,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     kept = [c for c in (carry or [c for c in pages.columns if c != body]) if c not in ("text", "n_chars")]
     done = staged(parsed(pages, url, body, kept), "pages")
     low = style_tree(done).where(F.col("importance") < LEAST_IMPORTANCE)
-    low = staged(low.groupBy("host").agg(F.collect_set("path").alias("low")), "style-tree")
-    paths = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    low = staged(low.groupBy(F.col("host").alias("__of")).agg(F.collect_set("path").alias("__low")), "style-tree")
+    paths = low.agg(F.sum(F.size("__low"))).first()[0] or 0
     side = F.broadcast(low) if paths <= 100_000 else low
-    joined = done.join(side, F.col("__host") == F.col("host"), "left")
-    good = F.filter("__blocks", lambda b: b["sure"] | ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False)))
+    joined = done.join(side, F.col("__host") == F.col("__of"), "left")
+    good = F.filter("__blocks", lambda b: b["sure"] | ~F.coalesce(F.array_contains("__low", b["path"]), F.lit(False)))
     text = F.concat_ws("\n", F.transform(good, lambda b: b["text"]))
     return joined.select(*kept, text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -10,7 +10,7 @@ Query blocks meet candidate blocks in a grid of cells; a cell is one row of a jo
 holds one at a time.  Each cell gives at most k rows a query, so the last step, a window by
 query, orders k rows for every candidate block and never all candidates.
 
-Defined results: vectors that are null or hold null, NaN or infinite components take no part,
+Defined results: vectors that are null or empty or hold null, NaN or infinite components take no part,
 neither do rows of null id; of rows that repeat an id the greatest vector counts; vectors of
 other lengths than the query's are no candidates of it; ties go to the smaller id.
 """
@@ -88,7 +88,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     def pack(table):
         for rows, found in quantized(table.column("vector"), scale):
-            if len(rows):
+            if found.size:
                 ids = table.column("id").to_numpy()[rows]
                 yield [int(ids[0]), found.shape[1], ids.tobytes(), np.ascontiguousarray(found.T).tobytes()]
 
