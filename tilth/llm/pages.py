@@ -248,12 +248,15 @@ def parsed(pages: DataFrame, url: str, body: str, kept: list[str]) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, presentation, content, importance) of the style nodes of hosts that can be judged."""
+    """(host, path, presentation, content, importance) of the style nodes of hosts that can be judged.
+
+    A feature counts once for each page that has it at the node.
+    """
     sizes = pages.where("__host <> ''").groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("pages"))
     sizes = sizes.where(F.col("pages") >= LEAST_PAGES)
-    content = pages.select(F.col("__host").alias("host"), F.explode("__blocks").alias("b")).select(
+    content = pages.select(F.col("__host").alias("host"), F.explode(F.array_distinct("__blocks")).alias("b")).select(
         "host", F.col("b.path").alias("path"), F.lit(0).alias("kind"), F.xxhash64("b.text").alias("feature"))
-    shown = pages.select(F.col("__host").alias("host"), F.explode("__nodes").alias("b")).select(
+    shown = pages.select(F.col("__host").alias("host"), F.explode(F.array_distinct("__nodes")).alias("b")).select(
         "host", F.col("b.path").alias("path"), F.lit(1).alias("kind"), F.xxhash64("b.children").alias("feature"))
     counts = content.unionByName(shown).groupBy("host", "path", "kind", "feature").agg(F.count("*").cast("double").alias("k"))
     each = counts.groupBy("host", "path", "kind").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
