@@ -14,7 +14,7 @@ manifest.
 
 Encoding uses the tokenizers library.  Its pre-tokenizer starts a new word at a single space
 between two characters that are no white space, so texts are cut there and each different
-piece is encoded once (``Encoder``); the ids are those of the whole text.
+word is encoded once while it is remembered (``Encoder``); the ids are those of the whole text.
 
 Defined results: null and empty texts give the end id alone; rows of null id stand last;
 rows of equal id stand in the order of their texts; an empty table writes no file.
@@ -40,19 +40,27 @@ LENGTH = 2048
 #: Sequences in a batch.
 ROWS = 64
 END = 2
-#: Pieces an encoder remembers before it starts afresh.
-REMEMBERED = 300_000
-
-# white space as Python or the tokenizer's pattern sees it
+# white space as Python or the tokenizer's pattern sees it, but for the space and the line feed
+_RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE = r"\s\x1c-\x1f\x85"
-#: Before a space that has no white space on either side; texts where a space has some.
+#: Before a space that has no white space on either side.
 _CUT = re.compile(f"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
-_ODD = re.compile(f" [{_WHITE}]|[{_WHITE}] |^ | $")
+#: Between a letter and a mark that is no apostrophe: another place where the pre-tokenizer starts a new word.
+_INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
+#: Words an encoder remembers; those that come later are put together or encoded wherever they turn up.
+REMEMBERED = 1_000_000
 _ENCODERS: dict = {}
 
 
+def _plain(text: str) -> bool:
+    """Whether every space of a text has other characters than white space on both sides."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return text.isascii() and text.isprintable() or not any(c in text for c in _RARE)
+
+
 class Encoder:
-    """Ids of whole texts as bytes, each piece of text encoded once while it is remembered."""
+    """Ids of whole texts as bytes; a word is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,32 +68,67 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        added = {i: len(t.content.encode()) for i, t in self.model.get_added_tokens_decoder().items()}
+        names = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size())]
+        # a character of a byte-level token stands for a byte
+        self.sizes = np.array([added.get(i, len(n or "")) for i, n in enumerate(names)], np.int64)
         self.pieces: dict[str, bytes] = {}  # as they stand
         self.words: dict[str, bytes] = {}  # after a space
 
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            texts = [before + x for x in some] if before else some
-            for piece, found in zip(some, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, self.kind).tobytes()
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        found = self.model.encode_batch_fast(new, add_special_tokens=False) if new else []
+        return {x: np.array(f.ids, self.kind).tobytes() for x, f in zip(new, found)}
+
+    def _compound(self, new: list[str]) -> dict[str, bytes]:
+        """Words put together from a stem after a space and what follows its letters."""
+        parts = {w: _INNER.split(w) for w in new if not any(a in w for a in self.added)}
+        stems = {p[0] for p in parts.values()}.union(w for w in new if w not in parts).difference(self.words)
+        tails = {x for p in parts.values() for x in p[1:]}.difference(self.pieces)
+        stems, tails = self._words(list(stems)), self._pieces(list(tails))
+        if len(self.words) < REMEMBERED:
+            self.words.update(stems)
+        if len(self.pieces) < REMEMBERED:
+            self.pieces.update(tails)
+        out = {}
+        for w in new:
+            first, *rest = parts.get(w) or [w]
+            ids = self.words.get(first) or stems[first]
+            out[w] = ids + b"".join([self.pieces.get(x) or tails[x] for x in rest]) if rest else ids
+        return out
+
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        """Words are encoded in a row; their bytes say where one ends, as no token crosses to the next."""
+        out, wide = {}, self.kind.itemsize
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            line = " " + " ".join(some)
+            ids = np.array(self.model.encode(line, add_special_tokens=False).ids, self.kind)
+            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in some]) + np.arange(1, len(some) + 1)
+            last = ((np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * wide).tolist()
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[x:y] for x, y in zip([0, *last], last)]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.pieces) > REMEMBERED:
-            self.words.clear()
-            self.pieces.clear()
         heads, tails = [], []
         for text in texts:
-            if _ODD.search(text):
-                heads.append(_CUT.split(text))
-                tails.append(())
-            else:
+            if _plain(text):
                 first, *rest = text.split(" ")
                 heads.append((first,))
                 tails.append(rest)
-        self._learn(self.pieces, list({p for x in heads for p in x}.difference(self.pieces)), "")
-        self._learn(self.words, list(set().union(*tails).difference(self.words)), " ")
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
+            else:
+                heads.append(_CUT.split(text))
+                tails.append(())
+        piece = self._pieces(list(set().union(*heads)))
+        found = set().union(*tails)
+        new = self._compound([w for w in found if w not in self.words])
+        if len(self.words) < REMEMBERED:
+            self.words.update(new)
+            word = self.words
+        else:
+            word = {w: self.words[w] for w in found if w in self.words} | new
+        piece, word = piece.__getitem__, word.__getitem__
         return [b"".join(map(piece, x)) + b"".join(map(word, y)) for x, y in zip(heads, tails)]
 
 
