@@ -81,12 +81,13 @@ def one_hot(spark, sf_dir):
 @query(
     "dummies",
     "F2",
-    f"WITH {CLEAN} SELECT region, count(*) FILTER (crop = 'LARGE') AS crop_LARGE, count(*) FILTER (crop = 'SMALL') AS crop_SMALL, "
-    "count(*) FILTER (weather = 'N') AS weather_N, count(*) FILTER (weather = 'R') AS weather_R FROM clean GROUP BY region",
+    f"WITH {CLEAN} SELECT region, "
+    + ", ".join(f"count(*) FILTER (crop = '{c}') AS crop_{c}" for c in sorted(CROPS)[1:])
+    + ", count(*) FILTER (weather = 'N') AS weather_N, count(*) FILTER (weather = 'R') AS weather_R FROM clean GROUP BY region",
 )
 def dummies(spark, sf_dir):
     df = features.dummies(_saved(spark, sf_dir).select("region", "crop", "weather"), ["crop", "weather"])
-    names = ["crop_LARGE", "crop_SMALL", "weather_N", "weather_R"]
+    names = [c for c in df.columns if c != "region"]
     return df.groupBy("region").agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -100,7 +101,7 @@ def build_features(spark, sf_dir):
     df = _saved(spark, sf_dir)
     encoded = features.build_features(df, SPEC).transform(df)
     vector = vector_to_array("features")
-    levels = F.aggregate(F.slice(vector, 6, 100), F.lit(0.0), lambda a, x: a + x)
+    levels = F.aggregate(F.slice(vector, F.lit(6), F.size(vector)), F.lit(0.0), lambda a, x: a + x)
     return encoded.agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("width"), F.sum(levels).cast("bigint").alias("ones")
     )
@@ -120,7 +121,7 @@ def target_encode(spark, sf_dir):
     "impute_median",
     "F5",
     f"WITH {PANEL} SELECT area, yr, round(coalesce(TRY_CAST(rain_mm AS DOUBLE), "
-    "(SELECT quantile_disc(TRY_CAST(rain_mm AS DOUBLE), 0.5) FROM rain_raw)), 6) AS rain_mm FROM rain_raw",
+    "(SELECT median(TRY_CAST(rain_mm AS DOUBLE)) FROM rain_raw)), 6) AS rain_mm FROM rain_raw",
 )
 def impute_median(spark, sf_dir):
     rain = clean.rename_columns(views.rain_raw(spark, sf_dir), {" area": "area"})
@@ -300,8 +301,8 @@ P_SQL = "2 * (1 - (0.5 + 0.375 * abs(u) * (1 - w / 12)))"
     "v AS (SELECT *, t / sqrt(1 + t * t / 4) AS u, (t * t) / (1 + t * t / 4) AS w FROM t) "
     f"SELECT 'ridge' AS model, round(t, 4) AS t, round({P_SQL}, 6) AS p, round(diff, 6) AS difference, "
     f"{P_SQL} < 0.05 AS significant, round(nat, 6) AS native_r2, round(enr, 6) AS enriched_r2, "
-    f"CASE WHEN {P_SQL} < 0.05 THEN 'statistically significant difference' "
-    "ELSE 'no statistically significant improvement' END AS conclusion FROM v",
+    f"CASE WHEN {P_SQL} < 0.05 THEN 'the arms differ' "
+    "ELSE 'the arms do not differ' END AS conclusion FROM v",
 )
 def ablate(spark, sf_dir):
     """Rainfall alone against rainfall and temperature, on identical rows and folds."""
@@ -320,8 +321,8 @@ def ablate_enrichment(spark, sf_dir):
     )
     extra = ["ref_rainfall", "ref_pesticides", "ref_avg_temp"]
     matched = staged(merged.na.drop(subset=extra), "matched")
-    drawn = experiments.stratified_folds(matched, ["crop"], 100_000, PARCEL_KEY)
-    return experiments.ablate(drawn, SPEC, extra, ("ridge", "linear_regression"))
+    folds = sampling.assign_folds(matched, 5, PARCEL_KEY)
+    return experiments.ablate(folds, SPEC, extra, ("ridge", "linear_regression"))
 
 
 @query(
@@ -345,15 +346,38 @@ def fit_final(spark, sf_dir):
 
 @query("refit_best", "L12 K2 L10 S4")
 def refit_best(spark, sf_dir):
-    """Sample, search, refit on the whole sample, save, load, and list the coefficients."""
-    drawn = experiments.stratified_folds(_saved(spark, sf_dir), ["crop"], 100_000, PARCEL_KEY)
-    trials = experiments.random_search(drawn, SPEC)
-    model, best = experiments.refit_best(drawn, SPEC, trials)
+    """Search, refit on all rows, save, load, and list the coefficients."""
+    folds = _folds(spark, sf_dir)
+    trials = experiments.random_search(folds, SPEC)
+    model, best = experiments.refit_best(folds, SPEC, trials)
     path = models.save_model(spark, model, fresh_path(spark, "tuned"))
     loaded = models.load_model(spark, path)
     return explain.coefficient_table(spark, loaded).withColumn("alpha", F.lit(best["alpha"]))
 
 
+def _refit_sql():
+    """The search's SQL, its best trial, and the closed form with that penalty on all rows."""
+    from tilth.catalog.registry import ORACLES
+
+    search = ORACLES["random_search"]
+    body, last = search.rsplit("SELECT CAST(t AS INT) AS trial", 1)
+    pair = _pair_sql("rainfall_mm", "temperature_c", "alpha", "true", "clean").replace("GROUP BY m)", "GROUP BY m), ga AS (SELECT * FROM gq, best)")
+    pair = pair.replace(" g AS (", " gq AS (").replace("FROM g)", "FROM ga)").replace(" b AS (", " bq AS (").replace("FROM (SELECT k.m,", "FROM (SELECT one.m,").replace(" f, k WHERE", " f, one WHERE")
+    return (
+        body.rstrip() + ", best AS (SELECT alpha FROM s GROUP BY t, alpha ORDER BY avg(r2) DESC, t LIMIT 1), one AS (SELECT 0 AS m), " + pair
+        + " SELECT 'intercept' AS feature, round(yb, 6) AS coef, round(alpha, 6) AS alpha FROM bq UNION ALL SELECT 'rainfall_mm', round(b1, 6), round(alpha, 6) FROM bq "
+        "UNION ALL SELECT 'temperature_c', round(b2, 6), round(alpha, 6) FROM bq"
+    )
+
+
+@query("refit_best_pair", "L12 L10", _refit_sql())
+def refit_best_pair(spark, sf_dir):
+    """The search over two numerics and its refit, which have a closed form."""
+    folds = _folds(spark, sf_dir)
+    model, best = experiments.refit_best(folds, PAIR, experiments.random_search(folds, PAIR))
+    return _pair_table(model, spark).withColumn("alpha", F.round(F.lit(best["alpha"]), 6))
+
+
 # ---- trees --------------------------------------------------------------------------
 
 
@@ -370,25 +394,25 @@ def _split_rows(spark, sf_dir):
 @query("random_forest", "L4 K4")
 def random_forest(spark, sf_dir):
     df = _split_rows(spark, sf_dir)
-    return _tree_metrics(df, trees.random_forest(df.where("split = 'train'"), SPEC, trees=20, depth=8))
+    return _tree_metrics(df, trees.random_forest(df.where("split = 'train'"), SPEC))
 
 
 @query("boosted_trees", "L5")
 def boosted_trees(spark, sf_dir):
     df = _split_rows(spark, sf_dir)
-    return _tree_metrics(df, trees.boosted_trees(df.where("split = 'train'"), SPEC, rounds=15, rate=0.3))
+    return _tree_metrics(df, trees.boosted_trees(df.where("split = 'train'"), SPEC, stop=True))
 
 
 @query("boosted_trees_categorical", "L6 F4")
 def boosted_trees_categorical(spark, sf_dir):
     df = _split_rows(spark, sf_dir)
-    return _tree_metrics(df, trees.boosted_trees_categorical(df.where("split = 'train'"), SPEC, rounds=15, rate=0.3))
+    return _tree_metrics(df, trees.boosted_trees_categorical(df.where("split = 'train'"), SPEC, stop=True))
 
 
 @query("tree_importances", "E4")
 def tree_importances(spark, sf_dir):
     df = _saved(spark, sf_dir).select(*SPEC.columns)
-    model = trees.random_forest(df, SPEC, trees=10, depth=6)
+    model = trees.random_forest(df, SPEC)
     return trees.tree_importances(spark, model, df, SPEC)
 
 
@@ -404,14 +428,10 @@ def ridge_by_rows(spark, sf_dir):
 
 @query("compare_models", "L9 L4 L5 L6 S6")
 def compare_models(spark, sf_dir):
-    drawn = experiments.stratified_folds(_saved(spark, sf_dir), ["crop"], 200_000, PARCEL_KEY, folds=3)
-    params = {
-        "random_forest": {"trees": 5, "depth": 6},
-        "boosted_trees": {"rounds": 3, "rate": 0.5, "depth": 4},
-        "boosted_trees_categorical": {"rounds": 3, "rate": 0.5, "depth": 4},
-    }
+    """Five folds of all rows; boosting stops by itself."""
+    params = {"boosted_trees": {"stop": True}, "boosted_trees_categorical": {"stop": True}}
     kinds = ["linear_regression", "ridge", "boosted_trees", "boosted_trees_categorical", "random_forest"]
-    return experiments.compare_models(drawn, SPEC, kinds, folds=3, params=params)
+    return experiments.compare_models(_folds(spark, sf_dir), SPEC, kinds, params=params)
 
 
 # ---- explanation --------------------------------------------------------------------
@@ -423,6 +443,19 @@ def coefficient_table(spark, sf_dir):
     return clean.round_columns(explain.coefficient_table(spark, model), {"coef": 6})
 
 
+@query(
+    "coefficient_table_pair",
+    "E1",
+    f"WITH {CLEAN}, k AS (SELECT 0 AS m), {_pair_sql('rainfall_mm', 'temperature_c', '1.0', 'true', 'clean')} "
+    "SELECT 'rainfall_mm' AS parent, CAST(NULL AS VARCHAR) AS level, 'numeric' AS kind, round(b1, 6) AS coef FROM b "
+    "UNION ALL SELECT 'temperature_c', NULL, 'numeric', round(b2, 6) FROM b",
+)
+def coefficient_table_pair(spark, sf_dir):
+    """The table of a model whose coefficients have a closed form."""
+    model = linear.ridge(_saved(spark, sf_dir, [*PAIR.columns]), PAIR, 1.0)
+    return clean.round_columns(explain.coefficient_table(spark, model), {"coef": 6})
+
+
 def _effects(df, by=()):
     """Mean yield per level as the coefficient of a level, for four categories, and the
     plain slope of rainfall."""
@@ -523,7 +556,7 @@ def running_contributions(spark, sf_dir):
 @query(
     "predict",
     "V2 P15 P16",
-    f"WITH {PARCELS} SELECT {KEYS}, round(greatest(0.0, {RAW_SQL}), 3) AS predicted FROM parcels",
+    f"WITH {PARCELS} SELECT {KEYS}, round(CASE WHEN {RAW_SQL} IS NOT NULL THEN greatest(0.0, {RAW_SQL}) END, 3) AS predicted FROM parcels",
 )
 def predict(spark, sf_dir):
     return scoring.predict(views.parcels(spark, sf_dir), MODEL).select(*PARCEL_KEY, "predicted")
@@ -544,6 +577,31 @@ def predict_explained(spark, sf_dir):
     return clean.round_columns(out, {"total": 4, "predicted": 3})
 
 
+MISSING_RAW = RAW_SQL.replace(_term_sql("rainfall_mm"), _term_sql("rainfall_mm", "ref_rainfall"))
+
+
+@query(
+    "predict_with_missing",
+    "V2 V4 P15",
+    f"WITH {CLEAN}, {PANEL}, {CROP_MAP}, ref AS (SELECT item, avg(rain_mm) AS ref_rainfall FROM panel GROUP BY item), "
+    f"j AS (SELECT clean.*, {MISSING_RAW} AS raw FROM clean JOIN crop_map m USING (crop) LEFT JOIN ref ON m.item = ref.item) "
+    "SELECT crop, count(*) AS rows, count(raw) AS predicted_rows, "
+    "round(sum(round(CASE WHEN raw IS NULL THEN NULL ELSE greatest(0.0, raw) END, 3)), 3) AS predicted, count(raw) AS listed FROM j GROUP BY crop",
+)
+def predict_with_missing(spark, sf_dir):
+    """Rain from the panel, which knows no rain for two crops: their rows get no prediction and no list."""
+    merged = enrichment.forward_merge(
+        _parcels(spark, sf_dir), views.panel(spark, sf_dir), CROP_TO_ITEM, "crop", "item",
+        {"rain_mm": "ref_rainfall"}, "hg_ha_yield", "ref_yield",
+    )
+    rows = scoring.predict(merged.withColumn("rainfall_mm", F.col("ref_rainfall")), MODEL)
+    listed = scoring.recommend(rows, MODEL, CROPS, "crop", "listed")
+    return listed.groupBy("crop").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("predicted_rows"),
+        F.round(F.sum("predicted"), 3).alias("predicted"), F.count("listed").alias("listed"),
+    )
+
+
 RAW_FOR_CROP = RAW_SQL.replace(_term_sql("crop"), _term_sql("crop", "v.candidate"))
 
 
@@ -712,16 +770,18 @@ REVERSE = {
 @query(
     "reverse_merge",
     "A2 J3 P7 P11",
-    f"WITH {CLEAN}, {PANEL}, {CROP_MAP}, prof AS (SELECT item, avg(rainfall_mm) AS a, avg(CAST(fertilizer_used AS INT)) AS b, avg(yield_t) AS c "
+    f"WITH {CLEAN}, {PANEL}, {CROP_MAP}, prof AS (SELECT item, avg(rainfall_mm) AS a, avg(CAST(fertilizer_used AS INT)) AS b, avg(yield_t) AS c, "
+    "avg(temperature_c) AS t, avg(CAST(irrigation_used AS INT)) AS ir, avg(days_to_harvest) AS dy "
     "FROM clean JOIN crop_map USING (crop) WHERE item IS NOT NULL GROUP BY item) "
-    "SELECT area, p.item, yr, avg_temp, round(hg_ha_yield / 10000, 6) AS t_ha, round(a, 6) AS d1_rainfall, round(b, 6) AS d1_fertilizer_rate, round(c, 6) AS d1_yield "
+    "SELECT area, p.item, yr, avg_temp, round(hg_ha_yield / 10000, 6) AS t_ha, round(a, 6) AS d1_rainfall, round(b, 6) AS d1_fertilizer_rate, round(c, 6) AS d1_yield, "
+    "round(t, 6) AS d1_temperature, round(ir, 6) AS d1_irrigation_rate, round(dy, 6) AS d1_days "
     "FROM (SELECT DISTINCT * FROM panel) p LEFT JOIN prof ON p.item = prof.item",
 )
 def reverse_merge(spark, sf_dir):
     df = enrichment.reverse_merge(
         views.panel(spark, sf_dir), _parcels(spark, sf_dir), CROP_TO_ITEM, "crop", "item", REVERSE, "hg_ha_yield", "t_ha"
     )
-    names = ["t_ha", "d1_rainfall", "d1_fertilizer_rate", "d1_yield"]
+    names = ["t_ha", *REVERSE.values()]
     return clean.round_columns(df.select("area", "item", "yr", "avg_temp", *names), {n: 6 for n in names})
 
 
@@ -805,7 +865,7 @@ def famd(spark, sf_dir):
     """Total inertia is numerics plus levels minus categories, and all axes add up to it."""
     df = _saved(spark, sf_dir)
     axes = multivariate.famd(df, NUMERICS, MIXED, 5)
-    every = multivariate.famd(df, NUMERICS, MIXED, 1000)
+    every = multivariate.famd(df, NUMERICS, MIXED, None)
     rows = [(round(axes.inertia, 6), bool(abs(every.values.sum() - axes.inertia) < 1e-8), axes.k)]
     return spark.createDataFrame(rows, "inertia double, all_axes_add_up boolean, axes int")
 

@@ -25,6 +25,18 @@ def sample_n(spark, sf_dir):
     return sampling.sample_n(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_orderkey"])
 
 
+@query(
+    "sample_tied_keys",
+    "K1",
+    "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem ORDER BY md5(l_suppkey || '|42'), "
+    """md5('{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_suppkey":' || l_suppkey || '}') LIMIT 2000""",
+)
+def sample_tied_keys(spark, sf_dir):
+    """Many rows share a key; which of them are taken follows from all their columns."""
+    df = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return sampling.sample_n(df, 2000, ["l_suppkey"])
+
+
 @query(
     "stratified_sample",
     "K2",

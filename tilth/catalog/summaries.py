@@ -401,11 +401,11 @@ def cumulative_share(spark, sf_dir):
 @query(
     "sort_by_magnitude",
     "W5",
-    "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 25",
+    "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey",
 )
 def sort_by_magnitude(spark, sf_dir):
     df = views.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return ranking.sort_by_magnitude(df, "c_acctbal", ["c_custkey"]).limit(25)
+    return ranking.sort_by_magnitude(df, "c_acctbal", ["c_custkey"])
 
 
 @query(

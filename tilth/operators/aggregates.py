@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilth.functions.columns import col
-from tilth.operators.quantiles import MAX_STATES, distinct_states, quantiles
-from tilth.session import gather_small, one_row
+from tilth.operators.quantiles import MAX_STATES, quantiles
+from tilth.session import gather_small, local_if_small, one_row
 
 
 def _mean(name: str) -> Column:
@@ -75,16 +75,12 @@ QUARTILES = (0.25, 0.5, 0.75)
 def describe(df: DataFrame, names: Sequence[str], max_states: int = MAX_STATES) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column.
 
-    All columns come from one pass; a column with too many distinct values for an
-    in-memory count map takes its quartiles from the refinement route.
+    The plain figures come from one pass; the quartiles of all columns together from the
+    counts of their values, as groups of one long column.
     """
-    sizes = distinct_states(df, names)
-    heavy = [n for n in names if sizes[n] > max_states]
-    levels = F.array(*[F.lit(p) for p in QUARTILES])
     parts = []
     for i, n in enumerate(names):
         v = col(n).cast("double")
-        q = F.lit(None).cast("array<double>") if n in heavy else F.percentile(v, levels)
         parts.append(
             F.struct(
                 F.lit(n).alias("column_name"),
@@ -92,21 +88,18 @@ def describe(df: DataFrame, names: Sequence[str], max_states: int = MAX_STATES)
                 F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"),
                 F.min(v).alias("min"),
-                q.alias("q"),
                 F.max(v).alias("max"),
             ).alias(f"_c{i}")
         )
     wide = df.agg(*parts)
     long = wide.select(F.inline(F.array(*[f"_c{i}" for i in range(len(names))])))
-    if heavy:
-        # the heavy columns go through the refinement together, as groups of one long column
-        cells = F.array(
-            *[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("value")) for n in heavy]
-        )
-        exact = quantiles(df.select(F.inline(cells)), "value", QUARTILES, ["column_name"], max_states=max_states)
-        exact, _ = gather_small(exact)
-        long = long.join(exact, "column_name", "left").withColumn("q", F.coalesce("q", "quantiles"))
-    q = F.col("q")
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("value")) for n in names]
+    )
+    exact = quantiles(df.select(F.inline(cells)), "value", QUARTILES, ["column_name"], max_states=max_states)
+    exact, _ = gather_small(exact)
+    long = long.join(exact, "column_name", "left")
+    q = F.col("quantiles")
     return long.select(
         "column_name", "count", "mean", "std", "min",
         q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), "max",
@@ -136,12 +129,14 @@ def n_unique(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
 def value_counts(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and share of every non-NULL value, overall or within each group.
 
-    The total is a second small aggregate, so no window brings all values together.
+    The total adds up the counts, so the input is counted once and no window brings all
+    values together.
     """
     known = df.where(col(name).isNotNull())
     counted = known.groupBy(*by, col(name)).agg(F.count(F.lit(1)).alias("count"))
     if not by:
-        total = known.agg(F.count(F.lit(1))).scalar()
+        counted = local_if_small(counted)
+        total = counted.agg(F.sum("count")).scalar()
         return counted.withColumn("share", F.col("count") / total)
     totals = counted.groupBy(*by).agg(F.sum("count").alias("_total"))
     return counted.join(totals, list(by)).withColumn("share", F.col("count") / F.col("_total")).drop("_total")

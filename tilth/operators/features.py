@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tilth.functions.columns import col
 from tilth.operators.aggregates import distinct_values
 from tilth.operators.gram import FeatureSpec
+from tilth.operators.quantiles import quantiles
 from tilth.operators.stats import moments
 from tilth.session import gather_small
 
@@ -49,10 +50,11 @@ def dummies(df: DataFrame, names: Sequence[str], drop_first: bool = True) -> Dat
 
 
 def impute_median(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Optional: missing numerics replaced by the column's median (Spark's sketch-based
-    one, which reads the column once at any size)."""
-    held = df.withColumns({n: col(n).cast("double") for n in names})
-    return Imputer(inputCols=list(names), outputCols=list(names), strategy="median").fit(held).transform(held)
+    """Optional: missing numerics replaced by the column's exact median."""
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), col(n).cast("double").alias("value")) for n in names])
+    found = quantiles(df.select(F.inline(cells)), "value", [0.5], ["name"])
+    medians = {r["name"]: r["quantiles"][0] for r in found.collect() if r["quantiles"]}  # a row per column
+    return df.withColumns({n: F.coalesce(col(n).cast("double"), F.lit(medians.get(n)).cast("double")) for n in names})
 
 
 def scaler(df: DataFrame, names: Sequence[str]) -> SQLTransformer:

@@ -33,7 +33,7 @@ class LinearModel:
         return [*self.numerics, *self.booleans, *self.levels]
 
     def term(self, parent: str, value: Column | None = None) -> Column:
-        """Contribution of one original feature; an unknown level contributes 0."""
+        """Contribution of one original feature; an unknown level contributes 0, a missing value NULL."""
         v = col(parent) if value is None else value
         if parent in self.numerics:
             c, m, s = self.numerics[parent]
@@ -44,7 +44,7 @@ class LinearModel:
         if not known:
             return F.lit(0.0)
         table = F.create_map(*[F.lit(x) for pair in known for x in pair])
-        return F.coalesce(table[v.cast("string")], F.lit(0.0))
+        return F.when(v.isNotNull(), F.coalesce(table[v.cast("string")], F.lit(0.0)))
 
     def raw(self, given: Mapping[str, Column] | None = None, without: tuple[str, ...] = ()) -> Column:
         """Prediction before clamping; ``given`` replaces columns, ``without`` leaves

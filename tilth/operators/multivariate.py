@@ -122,7 +122,7 @@ def pca(df: DataFrame, names: Sequence[str], k: int | None = None) -> Axes:
     return _decompose(features, centre, scale, corr, k or len(names), float(np.trace(corr)))
 
 
-def famd(df: DataFrame, numerics: Sequence[str], categoricals: Sequence[str], k: int = 5) -> Axes:
+def famd(df: DataFrame, numerics: Sequence[str], categoricals: Sequence[str], k: int | None = 5) -> Axes:
     """Factor analysis of mixed data (Pages 2004): numerics standardised, every indicator
     centred and divided by the root of its share.  Booleans count as categories.
     Total inertia is the number of numerics plus the sum of (levels - 1)."""

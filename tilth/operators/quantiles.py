@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, for groups of any size.
 
-Spark's ``percentile`` keeps a value -> count map per group in one task.  That is the
-right plan while a group has few distinct values.  Groups with more go through a
+Values are counted first and ``percentile`` ranks the counts of a group in one task.  That
+is the right plan while a group has few distinct values.  Groups with more go through a
 selection by refinement: the value range is cut into equal bins, the bins are counted
 with map-side combine, and only the bin holding the wanted rank is looked at again.
 Each pass reads the column once and shuffles bin counts, never the values, until the
@@ -48,10 +48,9 @@ def quantiles(
     by = list(by)
     value = col(name).cast("double")
     levels = F.array(*[F.lit(float(p)) for p in probs])
-    built_in = F.percentile(value, levels).alias(into)
     if not by:
         if distinct_states(df, [name])[name] <= max_states:
-            return df.agg(built_in)
+            return _counted(df, value, by, levels, into)
         return _refined(df.withColumn("_all", F.lit(0)), value, probs, ["_all"], into, max_states, bins).drop("_all")
     big = (
         df.groupBy(*by)
@@ -61,13 +60,19 @@ def quantiles(
     )
     big, rows = gather_small(big)
     if rows is not None and not rows:
-        return df.groupBy(*by).agg(built_in)
+        return _counted(df, value, by, levels, into)
     same = _null_safe(df, big, by)
-    small_part = df.join(big, same, "left_anti").groupBy(*by).agg(built_in)
+    small_part = _counted(df.join(big, same, "left_anti"), value, by, levels, into)
     big_part = _refined(df.join(big, same, "left_semi"), value, probs, by, into, max_states, bins)
     return small_part.unionByName(big_part)
 
 
+def _counted(df: DataFrame, value, by: Sequence[str], levels, into: str) -> DataFrame:
+    """Values are counted first, so the task of a group gets each value once, not from every task."""
+    counts = df.groupBy(*[col(k).alias(k) for k in by], value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.groupBy(*[col(k) for k in by]).agg(F.percentile("_v", levels, F.col("_c")).alias(into))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
     condition = F.lit(True)
     for k in keys:

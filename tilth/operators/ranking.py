@@ -71,12 +71,11 @@ def without_top(df: DataFrame, score: str, keys: Sequence[str], k: int) -> DataF
 
 
 def best_of(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:
-    """Best row per group as a max-by aggregate: one partial row per task and group.
-    Among equal scores the first in the order of ``ties`` wins."""
-    rest = [c for c in df.columns if c not in by]
-    whole = F.struct(*[col(c) for c in rest])
-    top = df.where(col(score).isNotNull())
-    # min_by of (-score, ties...) keeps ascending ties
-    least = F.struct((-col(score).cast("double")).alias("s"), *[col(t).alias(f"t{i}") for i, t in enumerate(ties)])
-    picked = top.groupBy(*by).agg(F.min_by(whole, least).alias("_best"))
-    return picked.select(*by, *[F.col("_best")[c].alias(c) for c in rest])
+    """Best row per group; among equal scores the first in the order of ``ties`` wins.
+
+    Spark limits each group to its first row before the shuffle, so a task sends one row
+    a group, whatever the size of the group.
+    """
+    order = Window.partitionBy(*[col(b) for b in by]).orderBy(col(score).cast("double").desc(), *[col(t) for t in ties])
+    ranked = df.where(col(score).isNotNull()).withColumn("_line", F.row_number().over(order))
+    return ranked.where("_line = 1").select(*[col(b) for b in by], *[col(c) for c in df.columns if c not in by])

@@ -6,8 +6,10 @@ once more by full hash, and the result is one cut hash per stratum and position.
 Labelling the rows is then a comparison with those cuts: no shuffle of the data, and a
 stratum that holds a third of all rows is as cheap as any other.
 
-Rows with equal keys share a hash.  When a cut falls among them, those rows alone are
-checkpointed and numbered within their partitions, so sizes stay exact.
+Rows with equal keys share a hash.  When a cut falls among them, those rows alone are cut
+in the same way by a hash of all their columns, so which rows are taken does not depend on
+how they are stored.  Rows equal in every column are interchangeable; when a cut falls even
+among those, they are checkpointed and numbered within their partitions.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilth.functions.columns import col, hash_number, seeded_hash
-from tilth.session import gather_small, one_row, reliable
+from tilth.session import MAX_SMALL_ROWS, gather_small, one_row, reliable
 
 DIGITS = 3  # hex digits counted at a time: 4096 bins per stratum
 HASH_LENGTH = 32
@@ -136,6 +138,45 @@ def _numbered(tied: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _parts(hashed: DataFrame, keys: Sequence[str], targets, into: str, digits: int, max_hashes: int, last: bool) -> DataFrame:
+    """Add ``into``, the number of cuts a row (its keys and ``_hash``) lies beyond.
+
+    ``last`` says that rows of one hash are equal, so that any of them may be taken.
+    """
+    slim = hashed.select(*keys, "_hash")
+    bins = _bins(slim, keys, digits)
+    sizes = bins.groupBy(*keys).agg(F.sum("_c").alias("size"))
+    cuts = _cuts(slim, bins, targets(sizes, keys), keys, digits, max_hashes)
+    packed = cuts.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("cut", "cut_hash", "take", "tied"))).alias("_cuts")
+    )
+    packed, rows = gather_small(packed)
+    joined = hashed.alias("d").join(packed.alias("c"), _match("d", "c", keys))
+    joined = joined.select("d.*", "_cuts")
+    broken = lambda c: (F.col("_hash") == c["cut_hash"]) & (c["take"] < c["tied"])
+    past = lambda c: F.col("_hash") > c["cut_hash"]
+    has_ties = rows is None or any(c["take"] < c["tied"] for r in rows for c in r["_cuts"])
+    part = F.size(F.filter("_cuts", past)).alias(into)
+    if not has_ties:
+        return joined.withColumn(into, part).drop("_cuts")
+    clear = joined.where(~F.exists("_cuts", broken)).withColumn(into, part).drop("_cuts")
+    tied = joined.where(F.exists("_cuts", broken))
+    if last:
+        tied = _numbered(tied, [*keys, "_hash"])
+        beyond = lambda c: past(c) | ((F.col("_hash") == c["cut_hash"]) & (F.col("_nth") > c["take"]))
+        tied = tied.withColumn(into, F.size(F.filter("_cuts", beyond))).drop("_cuts", "_nth")
+        return clear.unionByName(tied)
+    own = [c for c in hashed.columns if c not in (*keys, "_hash")]
+    again = tied.withColumn(into, part).drop("_cuts").withColumnRenamed("_hash", "_key_hash")
+    again = again.withColumn("_hash", F.md5(F.to_json(F.struct(*[col(c) for c in own]))))
+    inner = cuts.where(F.col("take") < F.col("tied")).select(
+        *keys, F.col("cut_hash").alias("_key_hash"), "cut", F.col("take").alias("pos"))
+    inner, _ = gather_small(inner)
+    more = _parts(again, [*keys, "_key_hash"], lambda sizes, _: inner, "_more", digits, max_hashes, True)
+    more = more.withColumn(into, F.col(into) + F.col("_more")).drop("_more", "_hash").withColumnRenamed("_key_hash", "_hash")
+    return clear.unionByName(more)
+
+
 def split_at(
     df: DataFrame,
     key: Sequence[str],
@@ -143,40 +184,25 @@ def split_at(
     targets,
     strata: Sequence[str] = (),
     into: str = "part",
-    digits: int = DIGITS,
+    digits: int | None = None,
     max_hashes: int = MAX_HASHES,
 ) -> DataFrame:
     """Number the parts 0, 1, ... into which cumulative positions cut each stratum.
 
     ``targets`` maps the table of stratum sizes (strata, size) to (strata, cut, pos) with
-    positions ascending in ``cut``.
+    positions ascending in ``cut``.  Without ``digits`` as many leading digits are counted as
+    keep the bins of all strata within the bound of what is gathered.
     """
     strata = list(strata)
     keys = strata or ["_all"]
+    if digits is None:
+        many = one_row(df.select(*[col(s) for s in strata]).agg(F.approx_count_distinct(F.struct(*[col(s) for s in strata])).alias("n")))["n"] if strata else 1
+        digits = next((d for d in range(DIGITS, 1, -1) if 1.1 * many * 16**d <= MAX_SMALL_ROWS), 1)
     hashed = df.withColumn("_hash", seeded_hash(key, seed))
     if not strata:
         hashed = hashed.withColumn("_all", F.lit(0))
-    bins = _bins(hashed.select(*keys, "_hash"), keys, digits)
-    sizes = bins.groupBy(*keys).agg(F.sum("_c").alias("size"))
-    cuts = _cuts(hashed.select(*keys, "_hash"), bins, targets(sizes, keys), keys, digits, max_hashes)
-    packed = cuts.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("cut", "cut_hash", "take", "tied"))).alias("_cuts")
-    )
-    packed, rows = gather_small(packed)
-    joined = hashed.alias("d").join(packed.alias("c"), _match("d", "c", keys))
-    joined = joined.select("d.*", "_cuts")
-    broken = lambda c: (F.col("_hash") == c["cut_hash"]) & (c["take"] < c["tied"])
-    past = lambda c: F.col("_hash") > c["cut_hash"]
-    has_ties = rows is None or any(c["take"] < c["tied"] for r in rows for c in r["_cuts"])
-    helpers = ["_hash", "_cuts"] + ([] if strata else ["_all"])
-    part = F.size(F.filter("_cuts", past)).alias(into)
-    if not has_ties:
-        return joined.withColumn(into, part).drop(*helpers)
-    clear = joined.where(~F.exists("_cuts", broken)).withColumn(into, part).drop(*helpers)
-    tied = _numbered(joined.where(F.exists("_cuts", broken)), [*keys, "_hash"])
-    beyond = lambda c: past(c) | ((F.col("_hash") == c["cut_hash"]) & (F.col("_nth") > c["take"]))
-    tied = tied.withColumn(into, F.size(F.filter("_cuts", beyond))).drop(*helpers, "_nth")
-    return clear.unionByName(tied)
+    done = _parts(hashed, keys, targets, into, digits, max_hashes, False)
+    return done.drop("_hash") if strata else done.drop("_hash", "_all")
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -133,10 +133,7 @@ def ablate(
                 F.lit(kind).alias("model"), "t", "p", "difference", "significant",
                 means.select("native_r2").scalar().alias("native_r2"),
                 means.select("enriched_r2").scalar().alias("enriched_r2"),
-                label_if(
-                    F.col("significant"), "statistically significant difference",
-                    "no statistically significant improvement",
-                ).alias("conclusion"),
+                label_if(F.col("significant"), "the arms differ", "the arms do not differ").alias("conclusion"),
             )
         )
     return stack_results(tests)
@@ -202,7 +199,7 @@ def fit_final(df: DataFrame, spec: FeatureSpec, alpha: float = 1.0, split: str =
     and the two gaps: train minus val, val minus test."""
     model = solve(collect_gram(df.where(col(split) == "train"), spec), alpha)
     scored = df.withColumn("_p", model.raw())
-    table = stats.regression_metrics(scored, spec.target, "_p", [split])
+    table, _ = gather_small(stats.regression_metrics(scored, spec.target, "_p", [split]))  # a row per split
     r2 = {s: F.max(F.when(col(split) == s, F.col("r2"))) for s in ("train", "val", "test")}
     gaps = table.agg(
         (r2["train"] - r2["val"]).alias("overfit"), (r2["val"] - r2["test"]).alias("generalization")

@@ -31,7 +31,9 @@ def read_table(
     """CSV (with header), JSON lines, ORC or parquet; text formats need a declared schema.
 
     A CSV is checked by its own header line, so a renamed or absent column is reported
-    instead of being read as NULLs; columns are then taken by name.
+    instead of being read as NULLs; columns are then taken by name.  In a folder every
+    file's header is compared with the first one's, and reading a file of other columns or
+    another order fails.
     """
     fmt = fmt or next((f for f in ("csv", "json", "orc") if path.rstrip("/").endswith("." + f)), "parquet")
     if fmt in ("parquet", "orc"):
@@ -49,7 +51,7 @@ def read_table(
             raise ValueError(f"{path} lacks the columns {sorted(set(absent + lost))}")
         by_name = {f.name: f for f in declared}
         in_file_order = [by_name.get(c, T.StructField(c, T.StringType())) for c in header]
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     else:
         in_file_order = list(declared.fields)
     names = declared.fieldNames()

@@ -79,6 +79,7 @@ def score_stream(
     candidates: Sequence[str] = (),
     candidate: str = "crop",
     available_now: bool = True,
+    interval: str = "10 seconds",
 ) -> StreamingQuery:
     """Start scoring.  Without a model nothing is started: the error comes at once."""
     scoring.require_model(model)
@@ -96,5 +97,5 @@ def score_stream(
             seen.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
