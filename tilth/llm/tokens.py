@@ -29,11 +29,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tilth.llm.base import in_tasks
+from tilth.llm.base import in_tasks, segments
 from tilth.session import fresh_path, staged
 
 LENGTH = 2048
@@ -45,9 +46,11 @@ _RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u200
 _WHITE = r"\s\x1c-\x1f\x85"
 #: Before a space that has no white space on either side.
 _CUT = re.compile(f"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
-#: Between a letter and a mark that is no apostrophe: another place where the pre-tokenizer starts a new word.
-_INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
-#: Words an encoder remembers; those that come later are put together or encoded wherever they turn up.
+#: A letter and a mark that is no apostrophe: between them, too, the pre-tokenizer starts a new word.
+_INNER = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
+#: Bytes of text encoded together.
+RUN_BYTES = 1 << 23
+#: Pieces an encoder remembers; those that come later are encoded wherever they turn up.
 REMEMBERED = 1_000_000
 _ENCODERS: dict = {}
 
@@ -60,7 +63,7 @@ def _plain(text: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts as bytes; a word is encoded once while it is remembered."""
+    """Ids of whole texts; a piece of text is encoded once while it is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,68 +71,72 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        added = {i: len(t.content.encode()) for i, t in self.model.get_added_tokens_decoder().items()}
+        added = {i: t.content for i, t in self.model.get_added_tokens_decoder().items()}
+        self.added = list(added.values())
         names = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size())]
         # a character of a byte-level token stands for a byte
-        self.sizes = np.array([added.get(i, len(n or "")) for i, n in enumerate(names)], np.int64)
-        self.pieces: dict[str, bytes] = {}  # as they stand
-        self.words: dict[str, bytes] = {}  # after a space
-
-    def _pieces(self, new: list[str]) -> dict[str, bytes]:
-        found = self.model.encode_batch_fast(new, add_special_tokens=False) if new else []
-        return {x: np.array(f.ids, self.kind).tobytes() for x, f in zip(new, found)}
-
-    def _compound(self, new: list[str]) -> dict[str, bytes]:
-        """Words put together from a stem after a space and what follows its letters."""
-        parts = {w: _INNER.split(w) for w in new if not any(a in w for a in self.added)}
-        stems = {p[0] for p in parts.values()}.union(w for w in new if w not in parts).difference(self.words)
-        tails = {x for p in parts.values() for x in p[1:]}.difference(self.pieces)
-        stems, tails = self._words(list(stems)), self._pieces(list(tails))
-        if len(self.words) < REMEMBERED:
-            self.words.update(stems)
-        if len(self.pieces) < REMEMBERED:
-            self.pieces.update(tails)
-        out = {}
-        for w in new:
-            first, *rest = parts.get(w) or [w]
-            ids = self.words.get(first) or stems[first]
-            out[w] = ids + b"".join([self.pieces.get(x) or tails[x] for x in rest]) if rest else ids
-        return out
+        self.sizes = np.array([len(added[i].encode()) if i in added else len(n or "") for i, n in enumerate(names)], np.int64)
+        self.pieces: dict[str, bytes] = {}
 
-    def _words(self, new: list[str]) -> dict[str, bytes]:
-        """Words are encoded in a row; their bytes say where one ends, as no token crosses to the next."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces.  Those after a space are encoded in a row: their bytes say where one
+        ends, as no token crosses from a piece to the next."""
         out, wide = {}, self.kind.itemsize
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            line = " " + " ".join(some)
-            ids = np.array(self.model.encode(line, add_special_tokens=False).ids, self.kind)
-            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in some]) + np.arange(1, len(some) + 1)
+        row = [x for x in new if len(x) > 1 and x[0] == " " and x[-1] not in " \n"]
+        for at in range(0, len(row), 4096):
+            some = row[at : at + 4096]
+            ids = np.array(self.model.encode("".join(some), add_special_tokens=False).ids, self.kind)
+            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in some])
             last = ((np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * wide).tolist()
             raw = ids.tobytes()
             out.update(zip(some, [raw[x:y] for x, y in zip([0, *last], last)]))
+        rest = [x for x in new if x not in out]
+        for x, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False) if rest else []):
+            out[x] = np.array(found.ids, self.kind).tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in texts:
-            if _plain(text):
-                first, *rest = text.split(" ")
-                heads.append((first,))
-                tails.append(rest)
-            else:
-                heads.append(_CUT.split(text))
-                tails.append(())
-        piece = self._pieces(list(set().union(*heads)))
-        found = set().union(*tails)
-        new = self._compound([w for w in found if w not in self.words])
-        if len(self.words) < REMEMBERED:
-            self.words.update(new)
-            word = self.words
-        else:
-            word = {w: self.words[w] for w in found if w in self.words} | new
-        piece, word = piece.__getitem__, word.__getitem__
-        return [b"".join(map(piece, x)) + b"".join(map(word, y)) for x, y in zip(heads, tails)]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        found = list(map(self.pieces.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = self._learn([pieces[i] for i in missing])
+            for i in missing:
+                found[i] = new[pieces[i]]
+            if len(self.pieces) < REMEMBERED:
+                self.pieces.update(new)
+        return found
+
+    def _whole(self, text: str) -> np.ndarray:
+        """A text with unusual white space, cut only where that is safe."""
+        parts = _CUT.split(text)
+        found = dict(zip(set(parts), self._known(list(set(parts)))))
+        return np.frombuffer(b"".join(map(found.__getitem__, parts)), self.kind)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a column without nulls."""
+        listed = texts.to_pylist()
+        plain = np.array([_plain(t) and "\x00" not in t and not any(a in t for a in self.added) for t in listed], bool)
+        out: list = [None if p else self._whole(t) for t, p in zip(listed, plain)]
+        even = np.flatnonzero(plain)
+        if not len(even):
+            return out
+        marked = pc.replace_substring(texts.take(pa.array(even)), " ", "\x00 ")
+        lists = pc.split_pattern(pc.replace_substring_regex(marked, _INNER, "\\1\x00\\2"), "\x00")
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        pieces = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(pieces), self.kind)
+        each = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[place] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[ends].tolist()
+        for i, x, y in zip(even, cuts, cuts[1:]):
+            out[i] = ids[x:y]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -223,13 +230,11 @@ def write_sequences(docs: DataFrame, vocabulary: str, folder: str | None = None,
                 system, path = _place(folder)
                 system.create_dir(path, recursive=True)
                 writer = SequenceWriter(f"{name}.ids.arrow", model.kind, length, rows)
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for one in model.encode(some.column(1).to_pylist()):
-                    found = np.frombuffer(one + model.kind.type(end).tobytes(), model.kind)
-                    writer.add(found)
-                    sizes.append(len(found))
-                ids.append(some.column(0))
+            for first, last, _, _ in segments(batch.column(1), RUN_BYTES):
+                for found in model.encode(batch.column(1).slice(first, last - first)):
+                    writer.add(np.append(found, model.kind.type(end)))
+                    sizes.append(len(found) + 1)
+            ids.append(batch.column(0))
         if writer is None:
             return
         writer.close()
