@@ -242,26 +242,32 @@ def looked_into(phrases: DataFrame, docs: DataFrame, length: int = LENGTH) -> Da
     return in_tasks(rows.select("key", "text", "lo", "n"), work, ROWS)
 
 
-def compared(windows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Spans of all windows but the first of equal ones."""
+def compared(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans (key, lo, hi) of all windows but the first of equal ones, and the spans that came along."""
+    slim = rows.select("h", "key", "lo", F.when(F.col("kind") == SPAN, F.col("n")).otherwise(0).alias("n"))
 
     def work(batches):
-        rows = _whole(batches)
-        if rows is not None:
-            late = ~_firsts((rows["h"],), rows["key"], rows["lo"])
-            yield _spans(rows["key"][late], rows["lo"][late], rows["lo"][late] + length)
+        held = _whole(batches)
+        if held is None:
+            return
+        at = held["n"] == 0
+        h, key, lo = (held[x][at] for x in ("h", "key", "lo"))
+        late = ~_firsts((h,), key, lo)
+        key = np.concatenate([key[late], held["key"][~at]])
+        hi = np.concatenate([lo[late] + length, (held["lo"] + held["n"])[~at]])
+        key, lo, hi = _merged(key, np.concatenate([lo[late], held["lo"][~at]]), hi)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "lo", "hi"])
 
-    return in_tasks(windows.select("kind", "h", "c", "key", "lo", "n").repartition("h"), work, ROWS)
+    return in_tasks(slim.repartition("h"), work, "key long, lo int, hi int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_PHRASES) -> DataFrame:
     """(key, spans): the maximal repeated byte ranges [lo, hi) of the documents (key, text) that have any."""
     first = staged(settled(parse(docs, length, gram, most), length), "phrases")
-    second = staged(looked_into(first.where(F.col("kind") == PHRASE), docs, length), "windows")
-    windows = first.where(F.col("kind") == WINDOW).unionByName(second.where(F.col("kind") == WINDOW))
-    spans = [x.where(F.col("kind") == SPAN) for x in (first, second, compared(windows, length))]
-    every = spans[0].unionByName(spans[1]).unionByName(spans[2])
-    every = every.select("key", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    second = looked_into(first.where(F.col("kind") == PHRASE), docs, length)
+    windows = first.where(F.col("kind") == WINDOW).unionByName(second)
+    early = first.where(F.col("kind") == SPAN).select("key", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    every = early.unionByName(compared(windows, length))
     own = Window.partitionBy("key").orderBy("lo", "hi")
     reach = F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = every.withColumn("new", F.when(reach >= F.col("lo"), 0).otherwise(1))
