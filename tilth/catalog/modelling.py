@@ -728,6 +728,27 @@ def _logged(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(
+    "log_experiment",
+    "S5 L7",
+    f"WITH {CLEAN}, {FOLD_SQL}, {FOLD_KEYS}, {_pair_sql('rainfall_mm', 'temperature_c', '25.0', 'f.fold <> k.m', 'f')}, "
+    + SCORED_SQL.format(x1="rainfall_mm", x2="temperature_c", source="f")
+    + " SELECT 'metric' AS kind, 'val_' || m AS key, count(*) AS records, round(avg(v), 6) AS mean, CAST(max(fold) AS INT) AS last_step FROM "
+    "(SELECT m AS fold, unnest(['r2', 'mae', 'rmse']) AS m, unnest([r2, mae, rmse]) AS v FROM sc WHERE held) GROUP BY m "
+    "UNION ALL SELECT 'param', 'alpha', 1, 25.0, NULL UNION ALL SELECT 'tag', 'comparison', 1, NULL, NULL",
+)
+def log_experiment(spark, sf_dir):
+    """A cross-validation leaves its parameters, its tag and each fold's metrics."""
+    path = fresh_path(spark, "runs")
+    run = experiments.cross_validate(_folds(spark, sf_dir), PAIR, "ridge", alpha=25.0)
+    experiments.record(spark, run, path, "r1", "ridge pair", {"alpha": 25.0}, {"comparison": "pair"})
+    rows = spark.read.parquet(path).where("kind <> 'metric' OR key LIKE 'val%'")
+    return rows.groupBy("kind", "key").agg(
+        F.count(F.lit(1)).alias("records"), F.round(F.avg(F.col("value").try_cast("double")), 6).alias("mean"),
+        F.max("step").alias("last_step"),
+    )
+
+
 @query("log_run", "S5", RUN_SQL + "SELECT * FROM t")
 def log_run(spark, sf_dir):
     df = runs.run_metrics(_logged(spark, sf_dir), ["r", "mean_yield"])
@@ -870,6 +891,47 @@ def famd(spark, sf_dir):
     return spark.createDataFrame(rows, "inertia double, all_axes_add_up boolean, axes int")
 
 
+PANEL_KEY = ["area", "item", "yr", "avg_temp"]
+PANEL_FOLDS = (
+    "p AS (SELECT DISTINCT * FROM panel), prof AS (SELECT item, avg(rainfall_mm) AS d1_rainfall FROM parcels_clean "
+    "JOIN crop_map USING (crop) WHERE item IS NOT NULL GROUP BY item), "
+    "f AS (SELECT p.*, d1_rainfall, hg_ha_yield / 10000 AS yield_t, "
+    "CAST(('0x' || substr(md5(area || '|' || p.item || '|' || yr || '|' || avg_temp || '|42'), 1, 8))::BIGINT % 5 AS INT) AS fold "
+    "FROM p JOIN prof ON p.item = prof.item WHERE pesticides_t IS NOT NULL AND avg_temp IS NOT NULL AND hg_ha_yield IS NOT NULL)"
+)
+
+
+def _panel_folds(spark, sf_dir):
+    """The reverse-merged panel with folds, written once."""
+    merged = enrichment.reverse_merge(
+        views.panel(spark, sf_dir), _parcels(spark, sf_dir), CROP_TO_ITEM, "crop", "item", REVERSE, "hg_ha_yield", "t_ha"
+    )
+    return staged(sampling.assign_folds(merged, 5, PANEL_KEY), "panel-folds")
+
+
+@query(
+    "ablate_panel",
+    "L8",
+    f"WITH {CLEAN.replace('clean AS', 'parcels_clean AS')}, {PANEL}, {CROP_MAP}, {PANEL_FOLDS}, {FOLD_KEYS}, {_arm_sql('n', 'avg_temp', None)}, "
+    f"{_arm_sql('x', 'avg_temp', 'd1_rainfall')}, "
+    "d AS (SELECT n.m, n.r2 AS native, x.r2 AS enriched FROM scn n JOIN scx x USING (m) WHERE n.held AND x.held) "
+    "SELECT 'ridge' AS model, round(avg(enriched - native), 5) AS difference, round(avg(native), 5) AS native_r2, round(avg(enriched), 5) AS enriched_r2 FROM d",
+)
+def ablate_panel(spark, sf_dir):
+    """The panel's temperature alone against the same with the parcels' rain."""
+    one = FeatureSpec(numerics=("avg_temp",), target="t_ha")
+    out = experiments.ablate(_panel_folds(spark, sf_dir), one, ["d1_rainfall"])
+    return clean.round_columns(out.select("model", "difference", "native_r2", "enriched_r2"), {c: 5 for c in ("difference", "native_r2", "enriched_r2")})
+
+
+@query("compare_models_panel", "L9")
+def compare_models_panel(spark, sf_dir):
+    """The panel's own features, linear models and the boosted one, five folds."""
+    spec = FeatureSpec(("rain_mm", "pesticides_t", "avg_temp"), (), ("area", "item"), "t_ha")
+    kinds = ["ridge", "linear_regression", "boosted_trees_categorical"]
+    return experiments.compare_models(_panel_folds(spark, sf_dir), spec, kinds, params={"boosted_trees_categorical": {"stop": True}})
+
+
 @query("famd_eigenvalues", "M6")
 def famd_eigenvalues(spark, sf_dir):
     axes = multivariate.famd(_saved(spark, sf_dir), NUMERICS, MIXED, 5)

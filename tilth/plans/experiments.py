@@ -11,6 +11,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tilth.operators.gram import FeatureSpec, Gram, collect_gram
 from tilth.operators.joins import stack_results
 from tilth.operators.linear import LinearModel, gram_scores, score_joined, score_models, solve
 from tilth.session import gather_small, staged
+from tilth.sources import runs
 
 METRICS = ("r2", "mae", "rmse")
 LINEAR = {"ridge": 1.0, "linear_regression": 0.0}
@@ -32,10 +34,10 @@ TREES: dict[str, Callable] = {
 
 @dataclass
 class FoldRun:
-    """Fold metrics (one row per fold) and, for linear models, the model of each fold."""
+    """Fold metrics (one row per fold) and the model of each fold."""
 
     metrics: DataFrame
-    models: dict[int, LinearModel]
+    models: dict[int, LinearModel | PipelineModel]
 
 
 def _wide(scored: DataFrame) -> DataFrame:
@@ -73,16 +75,16 @@ def linear_cv_from_gram(spark: SparkSession, gram: Gram, alpha: float = 1.0) ->
 
 def tree_cv(df: DataFrame, spec: FeatureSpec, fit: Callable, fold: str, folds: Sequence[int], **params) -> FoldRun:
     """One fit per fold; encoders are refitted on the training folds."""
-    parts = []
+    parts, models = [], {}
     for k in folds:
-        model = fit(df.where(col(fold) != k), spec, **params)
+        model = models[int(k)] = fit(df.where(col(fold) != k), spec, **params)
         scored = model.transform(df).select(
             F.lit(k).alias("model"), (col(fold) == k).alias("held"),
             col(spec.target).alias("_y"), F.col("prediction").alias("predicted"),
         )
         metrics, _ = gather_small(stats.regression_metrics(scored, "_y", "predicted", ["model", "held"]))
         parts.append(metrics)
-    return FoldRun(_wide(stack_results(parts)), {})
+    return FoldRun(_wide(stack_results(parts)), models)
 
 
 def cross_validate(
@@ -145,8 +147,32 @@ def fold_coefficients(spark: SparkSession, models: Mapping[int, LinearModel]) ->
     return stack_results(parts).select("fold", "parent", "level", "kind", "coef")
 
 
-def importances(spark: SparkSession, run: FoldRun) -> DataFrame:
-    return explain.fold_importances(fold_coefficients(spark, run.models))
+def importances(
+    spark: SparkSession, run: FoldRun, df: DataFrame | None = None, spec: FeatureSpec | None = None,
+    only: Sequence[str] | None = None,
+) -> DataFrame:
+    """(parent, mean_value, std_value, type) over the folds, by absolute mean; ``only`` keeps some
+    features, such as those of an enrichment.  Tree models need the rows' schema and the spec."""
+    if all(isinstance(m, LinearModel) for m in run.models.values()):
+        table = explain.fold_importances(fold_coefficients(spark, run.models))
+    else:
+        parts = [trees.tree_importances(spark, m, df, spec) for m in run.models.values()]
+        table = (
+            stack_results(parts).groupBy("parent")
+            .agg(F.avg("importance").alias("mean_value"), F.stddev_samp("importance").alias("std_value"))
+            .withColumn("type", F.lit("importance")).orderBy(F.col("mean_value").desc(), "parent")
+        )
+    return table if only is None else table.where(F.col("parent").isin(list(only)))
+
+
+def record(
+    spark: SparkSession, run: FoldRun, path: str, run_id: str, run_name: str, params: Mapping | None = None,
+    tags: Mapping | None = None,
+) -> str:
+    """Append an experiment to the run table: parameters, tags and every fold's metrics with its step."""
+    names = [f"{side}_{m}" for side in ("train", "val") for m in METRICS] + ["overfit_gap_r2"]
+    runs.log_run(runs.run_records(spark, run_id, run_name, params=params, tags=tags), path)
+    return runs.log_run(runs.metric_records(run.metrics, run_id, run_name, names, step="fold"), path)
 
 
 def alpha_draws(n: int = 25, low: float = 1e-3, high: float = 1e2, seed: int = 42) -> list[float]:

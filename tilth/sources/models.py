@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
@@ -29,6 +31,25 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
     return LinearModel.from_rows(table.collect())
 
 
+def save_bundle(spark: SparkSession, model: LinearModel | PipelineModel, path: str, **about) -> str:
+    """A model together with its score, parameters and whatever else is known about it."""
+    kind = "linear" if isinstance(model, LinearModel) else "pipeline"
+    save_model(spark, model, f"{path}/model")
+    about_row = [(kind, json.dumps(about, sort_keys=True))]
+    spark.createDataFrame(about_row, "kind string, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return path
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[LinearModel | PipelineModel, dict]:
+    """The model and what was saved about it."""
+    try:
+        row = spark.read.parquet(f"{path}/about").first()
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no saved bundle at {path!r}") from error
+    load = load_model if row["kind"] == "linear" else load_pipeline
+    return load(spark, f"{path}/model"), json.loads(row["about"])
+
+
 def load_pipeline(spark: SparkSession, path: str) -> PipelineModel:
     try:
         return PipelineModel.load(path)
