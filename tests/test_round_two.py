@@ -44,6 +44,13 @@ def test_any_fitted_pipeline_predicts_and_recommends(spark):
         trees.random_forest(rows, FeatureSpec(("x",), ("wet",), ("crop",), "y"), depth=31)
 
 
+def test_target_encoded_categories_are_numbers_to_trees(spark):
+    data = [("abcdefgh"[i % 8], float(100 * (i % 8))) for i in range(400)]
+    rows = spark.createDataFrame(data, "crop string, y double")
+    model = trees.boosted_trees_categorical(rows, FeatureSpec((), (), ("crop",), "y"), rounds=20, rate=0.5, depth=3)
+    assert model.transform(rows).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 20
+
+
 def test_samples_of_tied_keys_do_not_depend_on_storage(spark):
     base = spark.createDataFrame([(i, i % 3, f"v{i % 40}") for i in range(240)], "id int, k int, v string")
     picks, splits = set(), set()

@@ -98,12 +98,16 @@ def feature_stages(df: DataFrame, spec: FeatureSpec, kind: str, scale: bool) ->
             stages.append(OneHotEncoder(inputCols=indexed, outputCols=out, dropLast=True))
         elif kind == "target":
             out = [f"{c}__t" for c in names]
+            means = [f"{c}__m" for c in names]
             stages.append(
                 TargetEncoder(
-                    inputCols=indexed, outputCols=out, labelCol=spec.target, targetType="continuous",
+                    inputCols=indexed, outputCols=means, labelCol=spec.target, targetType="continuous",
                     handleInvalid="keep", smoothing=1.0,
                 )
             )
+            # the encoder's columns still claim to be categories, which trees would take literally
+            cells = ", ".join(f"`{m}` + 0.0D AS `{o}`" for m, o in zip(means, out))
+            stages.append(SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"))
         elif kind != "native":
             raise ValueError(f"unknown encoding {kind!r}")
         cols += out

@@ -34,7 +34,7 @@ def _stopping(df: DataFrame, learner: GBTRegressor, stop: bool) -> tuple[DataFra
     if not stop:
         return df, learner
     held = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1000)) < int(1000 * STOP_SHARE)
-    return df.withColumn("_held", held), learner.setValidationIndicatorCol("_held").setValidationTol(STOP_GAIN)
+    return df.withColumn("_held", held), learner.setParams(validationIndicatorCol="_held", validationTol=STOP_GAIN)
 
 
 def _label(df: DataFrame, spec: FeatureSpec) -> DataFrame:
