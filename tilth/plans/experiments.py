@@ -19,8 +19,8 @@ from tilth.functions.columns import col, label_if
 from tilth.operators import explain, sampling, stats, trees
 from tilth.operators.gram import FeatureSpec, Gram, collect_gram
 from tilth.operators.joins import stack_results
-from tilth.operators.linear import LinearModel, gram_scores, score_joined, score_models, solve
-from tilth.session import gather_small, staged
+from tilth.operators.linear import LinearModel, gram_scores, score_joined, solve
+from tilth.session import gather_small, one_row, staged
 from tilth.sources import runs
 
 METRICS = ("r2", "mae", "rmse")
@@ -52,14 +52,24 @@ def _wide(scored: DataFrame) -> DataFrame:
 
 
 def linear_cv(df: DataFrame, spec: FeatureSpec, fold: str = "fold", alpha: float = 1.0, gram: Gram | None = None) -> FoldRun:
-    """Fit on all folds but one and score on both sides.  One aggregate for all fits, one
-    pass with all fold models for the metrics."""
+    """Fit on all folds but one and score on both sides.
+
+    Fits, R2 and RMSE come from the sufficient statistics; only the absolute errors need the
+    rows, and one aggregate has a column for every model and side, so no row is repeated.
+    """
     gram = gram or collect_gram(df, spec, fold)
-    models = {k: solve(gram, alpha, leave_out=k) for k in gram.folds}
-    rows = df.select(col(fold).alias("_fold"), *[col(c) for c in spec.columns])
-    scored = score_models(rows, models).withColumn("held", F.col("model") == F.col("_fold"))
-    metrics, _ = gather_small(_wide(stats.regression_metrics(scored, spec.target, "predicted", ["model", "held"])))
-    return FoldRun(metrics, models)
+    models = {int(k): solve(gram, alpha, leave_out=k) for k in gram.folds}
+    held = {k: col(fold) == k for k in models}
+    errors = {k: F.abs(col(spec.target) - m.raw()) for k, m in models.items()}
+    cells = [F.avg(F.when(held[k], e)).alias(f"val{k}") for k, e in errors.items()]
+    cells += [F.avg(F.when(~held[k], e)).alias(f"train{k}") for k, e in errors.items()]
+    found = one_row(df.agg(*cells)) if cells else {}
+    exact = linear_cv_from_gram(df.sparkSession, gram, alpha)
+    mae = df.sparkSession.createDataFrame(
+        [(k, found[f"train{k}"], found[f"val{k}"]) for k in models], "fold int, train_mae double, val_mae double"
+    )
+    columns = [f"{side}_{m}" for side in ("train", "val") for m in ("rows", *METRICS)]
+    return FoldRun(stats.overfit_gap(exact.join(mae, "fold").select("fold", *columns)), models)
 
 
 def linear_cv_from_gram(spark: SparkSession, gram: Gram, alpha: float = 1.0) -> DataFrame:
@@ -88,10 +98,11 @@ def tree_cv(df: DataFrame, spec: FeatureSpec, fit: Callable, fold: str, folds: S
 
 
 def cross_validate(
-    df: DataFrame, spec: FeatureSpec, kind: str = "ridge", fold: str = "fold", folds: int = 5, **params
+    df: DataFrame, spec: FeatureSpec, kind: str = "ridge", fold: str = "fold", folds: int = 5, gram: Gram | None = None, **params
 ) -> FoldRun:
+    """``gram``: sufficient statistics of these rows, if at hand; linear models then share them."""
     if kind in LINEAR:
-        return linear_cv(df, spec, fold, params.get("alpha", LINEAR[kind]))
+        return linear_cv(df, spec, fold, params.get("alpha", LINEAR[kind]), gram)
     return tree_cv(df, spec, TREES[kind], fold, range(folds), **params)
 
 
@@ -101,8 +112,9 @@ def compare_models(
 ) -> DataFrame:
     """Mean and sample deviation of every metric per model, best mean R2 first."""
     held = staged(df.select(col(fold), *[col(c) for c in spec.columns]), "comparison")
+    shared = collect_gram(held, spec, fold) if any(k in LINEAR for k in kinds) else None
     parts = [
-        cross_validate(held, spec, k, fold, folds, **(params or {}).get(k, {})).metrics.withColumn("model", F.lit(k))
+        cross_validate(held, spec, k, fold, folds, shared, **(params or {}).get(k, {})).metrics.withColumn("model", F.lit(k))
         for k in kinds
     ]
     names = [f"{side}_{m}" for side in ("train", "val") for m in METRICS]
@@ -119,14 +131,21 @@ def ablate(
     arms = {"native": spec, "enriched": spec.with_numerics(extra)}
     wanted = dict.fromkeys([fold, *arms["enriched"].columns])
     held = staged(df.na.drop(subset=list(extra)).select(*[col(c) for c in wanted]), "ablation")
+    linear = any(kind in LINEAR for kind in kinds)
+    grams = {arm: collect_gram(held, s, fold) for arm, s in arms.items()} if linear else {}
+
+    def val_r2(kind: str, arm: str) -> DataFrame:
+        """Fold scores; those of linear models need no row beyond the arm's statistics."""
+        how = (params or {}).get(kind, {})
+        if kind in LINEAR:
+            scored = linear_cv_from_gram(df.sparkSession, grams[arm], how.get("alpha", LINEAR[kind]))
+        else:
+            scored = cross_validate(held, arms[arm], kind, fold, folds, **how).metrics
+        return scored.select("fold", F.col("val_r2").alias(arm))
+
     tests = []
     for kind in kinds:
-        scores = {
-            arm: cross_validate(held, s, kind, fold, folds, **(params or {}).get(kind, {})).metrics.select(
-                "fold", F.col("val_r2").alias(arm)
-            )
-            for arm, s in arms.items()
-        }
+        scores = {arm: val_r2(kind, arm) for arm in arms}
         both = scores["native"].join(scores["enriched"], "fold")
         means = both.agg(F.avg("native").alias("native_r2"), F.avg("enriched").alias("enriched_r2"))
         test = stats.paired_ttest(both, "enriched", "native", level=level)
