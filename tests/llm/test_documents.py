@@ -189,7 +189,7 @@ def without_repeats(texts, length=100):
 @pytest.mark.parametrize("most", [0, 4])
 def test_repeats_are_removed_exactly(spark, documents, monkeypatch, most):
     texts = corpus(3, 200)
-    monkeypatch.setattr(repeats, "SEGMENT", 0, raising=False)
+    monkeypatch.setattr(repeats, "SEGMENT", 2000)
     wanted = without_repeats(texts)
     docs = documents([(i, t, "a") for i, t in enumerate(texts)]).repartition(5)
     keyed = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))

@@ -19,7 +19,7 @@ from tilth.session import staged
 #: A side of a join is broadcast up to so many rows of fixed width; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one vectorised step works on at a time.
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 
 
 def positioned(df: DataFrame, order: list, name: str, label: str = "positions") -> DataFrame:
@@ -69,7 +69,12 @@ def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*known, root])
-    return df.mapInArrow(work, schema)
+
+    def released(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on, its buffers need not
+
+    return df.mapInArrow(released, schema)
 
 
 # ---- bytes of texts, inside tasks -------------------------------------------------------

@@ -37,6 +37,8 @@ from tilth.session import staged
 
 LENGTH = 100
 GRAM = 32
+#: Bytes of text parsed together.
+SEGMENT = 1 << 20
 #: Different phrases of one trigger in a segment, beyond which its windows travel by themselves.
 MOST_PHRASES = 4
 #: Phrases met so often in a segment are remembered by the task.
@@ -149,7 +151,7 @@ def parse(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
         known: dict[int, tuple[int, int]] = {}  # frequent phrases and their first place so far
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, data, at in segments(batch.column(1)):
+            for first, last, data, at in segments(batch.column(1), SEGMENT):
                 doc, lo, n, h, c, prefix = _parse(data, at, length, gram)
                 if not len(doc):
                     continue

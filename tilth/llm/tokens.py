@@ -49,7 +49,7 @@ _CUT = re.compile(f"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
 #: A letter and a mark that is no apostrophe: between them, too, the pre-tokenizer starts a new word.
 _INNER = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 #: Bytes of text encoded together.
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 22
 #: Pieces an encoder remembers; those that come later are encoded wherever they turn up.
 REMEMBERED = 1_000_000
 _ENCODERS: dict = {}
