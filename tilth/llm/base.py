@@ -6,6 +6,7 @@ with; ``positioned`` numbers rows globally without one task ever holding them al
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,8 @@ from tilth.session import staged
 
 #: A side of a join is broadcast up to so many rows of fixed width; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that goes to a task's Python worker.
+BATCH_ROWS = 2_000
 #: Bytes of text that one vectorised step works on at a time.
 SEGMENT_BYTES = 1 << 19
 
@@ -63,7 +66,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it, if they share the path."""
+    """``mapInArrow`` whose workers find this package where the driver found it, if they share the path.
+
+    Rows may be whole documents, so the session's batches are cut to ``BATCH_ROWS``: they
+    stand several times in a task's memory, on both sides of the pipe.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = df.sparkSession.sparkContext.environment
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -72,7 +82,10 @@ def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
 
     def released(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()  # the worker lives on, its buffers need not
+        # the worker lives on, its free buffers need not
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
     return df.mapInArrow(released, schema)
 

@@ -51,11 +51,17 @@ lines AS (
  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1 AS line FROM sized),
 crossed AS (
  SELECT l.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS share,
-  CAST(CAST('0x' || substr(md5('0/' || coalesce('=' || l.source, '')), 1, 6) AS BIGINT) AS DOUBLE) / 16777216.0 AS start
- FROM lines l JOIN targets t ON l.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  CAST(CAST('0x' || substr(md5('0/' || coalesce('=' || l.source, '')), 1, 6) AS BIGINT) AS DOUBLE) / 16777216.0 AS first_start
+ FROM lines l JOIN targets t ON l.source IS NOT DISTINCT FROM t.source),
+tried AS (
+ SELECT source, j, (first_start + CAST(j AS DOUBLE) / 64.0::DOUBLE) % 1.0::DOUBLE AS start,
+  abs(sum(CAST(least(3, floor((line + 1) * share + (first_start + CAST(j AS DOUBLE) / 64.0::DOUBLE) % 1.0::DOUBLE)
+   - floor(line * share + (first_start + CAST(j AS DOUBLE) / 64.0::DOUBLE) % 1.0::DOUBLE)) AS BIGINT) * size) - any_value(target)) AS away
+ FROM crossed, (SELECT unnest(range(64)) AS j) GROUP BY source, j, first_start),
+chosen AS (SELECT source, start FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, j) = 1)
+SELECT c.doc_id, c.size, c.source_size, c.target,
  CAST(least(3, floor((line + 1) * share + start) - floor(line * share + start)) AS BIGINT) * size AS taken
-FROM crossed
+FROM crossed c JOIN chosen h ON c.source IS NOT DISTINCT FROM h.source
 """
 
 

@@ -4,7 +4,8 @@ Every document of a source expects the same number of copies, the source's targe
 size.  The documents of a source stand in the order of their sizes; the running sum of
 expected copies, moved by one random offset, crosses integers, and a document is taken once
 for every integer it crosses.  Because neighbours have like sizes, the words taken differ
-from the target by less than the source's largest document.
+from the target by less than the source's largest document; of ``TRIES`` offsets, evenly
+spaced from the random one, a source uses that whose words come nearest its target.
 
 The running sum of equal shares is a multiple of the document's place in its source, which
 comes from the rows' global places: no task ever holds a source.  A document's upper end
@@ -26,6 +27,8 @@ from tilth.session import staged
 WEIGHTS = (5, 2, 1)
 #: A source may be repeated so many times at most.
 MOST_REPEATS = 3
+#: Offsets looked at for each source.
+TRIES = 64
 
 
 def word_count(text: str) -> Column:
@@ -58,6 +61,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPE
     return level.select("source", "source_size", F.when(F.col("source_size") > 0, share).otherwise(F.lit(0.0)).alias("target"))
 
 
+def _crossed(place: Column, share: Column, start: Column, repeats: int) -> Column:
+    """Integers that the running sum of shares crosses at a place."""
+    return F.least(F.floor((place + 1) * share + start) - F.floor(place * share + start), F.lit(repeats))
+
+
 def offset(seed: int, source: Column) -> Column:
     """The random offset of a source in [0, 1), the same in every run: 24 bits of an md5."""
     named = F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), source), F.lit("")))
@@ -78,12 +86,21 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS,
     sources = staged(sources, "mix-sources")
     wanted = targets(sources.select("source", "source_size"), weights, repeats)
     wanted = wanted.join(sources.select(F.col("source").alias("s"), "__first"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place, start = F.col("__place") - F.col("__first"), offset(seed, F.col("source"))
-    crossed = F.floor((place + 1) * share + start) - F.floor(place * share + start)
+    wanted = wanted.withColumn(
+        "__share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    ).withColumn("__start", offset(seed, F.col("source")))
+    joined = placed.join(wanted, F.col("__source").eqNullSafe(F.col("source")))
+    place, share = F.col("__place") - F.col("__first"), F.col("__share")
+    starts = [(F.col("__start") + F.lit(j / TRIES)) % F.lit(1.0) for j in range(TRIES)]
+    words = [F.sum(_crossed(place, share, u, repeats) * F.col("size")).alias(f"w{j}") for j, u in enumerate(starts)]
+    tried = joined.groupBy("source", "target", "__start").agg(*words)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("off"), F.lit(j).alias("j")) for j in range(TRIES)]))
+    chosen = staged(tried.select("source", nearest["j"].alias("__try")), "mix-offsets")
+    chosen = wanted.join(chosen.select(F.col("source").alias("s"), "__try"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    start = (F.col("__start") + F.col("__try") / F.lit(float(TRIES))) % F.lit(1.0)
     return (
-        placed.join(wanted, F.col("__source").eqNullSafe(F.col("source")))
-        .withColumn("copies", F.least(crossed, F.lit(repeats)).cast("int"))
+        placed.join(chosen, F.col("__source").eqNullSafe(F.col("source")))
+        .withColumn("copies", _crossed(place, share, start, repeats).cast("int"))
         .select(F.col("__row").alias("row"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 

@@ -36,8 +36,9 @@ from tilth.llm.base import INVERSES, POWERS, in_tasks, mixed
 SPACE = "▁"
 #: Words longer than this are solved one by one.
 LONG = 48
-REMEMBERED = 400_000
-_SLOTS = 22  # bits of the table of pairs
+#: Words a transducer remembers; those that come later are solved wherever they turn up.
+REMEMBERED = 200_000
+_SLOTS = 21  # bits of the table of pairs
 _MODELS: dict = {}
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -298,8 +299,8 @@ class Transducer:
                 for i in members:
                     out[i] = self._ids(words[i], self._solve_long(words[i]))
                 continue
-            for at in range(0, len(members), 1 << 15):
-                some = members[at : at + (1 << 15)]
+            for at in range(0, len(members), 1 << 14):
+                some = members[at : at + (1 << 14)]
                 for i, ids in zip(some, self._solve_equal([words[i] for i in some])):
                     out[i] = ids
         return out
@@ -322,25 +323,26 @@ class Transducer:
                 lines.append(([first] if first else [], rest))
         return lines
 
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for at in range(0, len(new), 1 << 17):
-            some = new[at : at + (1 << 17)]
-            known.update(zip(some, self.solve([before + x.replace(" ", SPACE) for x in some])))
+    def _known(self, table: dict[str, bytes], words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of different words, those remembered and those solved now."""
+        found = dict(zip(words, map(table.get, words)))
+        new = [x for x, ids in found.items() if ids is None]
+        solved = dict(zip(new, self.solve([before + x.replace(" ", SPACE) for x in new])))
+        if len(table) < REMEMBERED:
+            table.update(solved)
+        found.update(solved)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as little-endian 32-bit numbers."""
-        if len(self.words) + len(self.heads) > REMEMBERED:
-            self.words.clear()
-            self.heads.clear()
         cut = [self._cut(t) if t else [] for t in texts]
         heads, words = set(), set()
         for lines in cut:
             for head, rest in lines:
                 heads.update(head)
                 words.update(rest)
-        self._learn(self.heads, list(heads.difference(self.heads)), "")
-        self._learn(self.words, list(words.difference(self.words)), SPACE)
-        head, word = self.heads.__getitem__, self.words.__getitem__
+        head = self._known(self.heads, list(heads), "").__getitem__
+        word = self._known(self.words, list(words), SPACE).__getitem__
         feed = self._ids("\n", [self.other])
         return [feed.join([b"".join(map(head, x)) + b"".join(map(word, y)) for x, y in lines]) for lines in cut]
 

@@ -293,7 +293,8 @@ class Sequences:
 
 def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32, part) of every document, read from the files."""
-    jobs = manifest.select("file", "start", "part").repartition("file")
+    files = manifest.select("file", "start", "part")
+    jobs = files.repartition(max(files.count(), 1), "file")  # a number given is not coalesced: files are read side by side
 
     def work(batches):
         for batch in batches:
