@@ -12,7 +12,7 @@ from tilth.functions.columns import safe_corr
 from tilth.operators.gram import FeatureSpec
 from tilth.operators.joins import stack_results
 from tilth.operators.linear import LinearModel
-from tilth.operators.validation import Contract, validate
+from tilth.operators.validation import Contract, checked
 from tilth.plans import enrichment, experiments
 from tilth.session import fresh_path, staged
 from tilth.sources import models, runs, views
@@ -642,9 +642,8 @@ REASONS_SQL = (
     f"WITH {PARCELS}, c AS (SELECT {KEYS}, {REASONS_SQL} AS r FROM parcels) SELECT {KEYS}, array_to_string(r, '; ') AS reasons FROM c",
 )
 def validate_records(spark, sf_dir):
-    good, bad = validate(views.parcels(spark, sf_dir), CONTRACT)
-    accepted = good.select(*PARCEL_KEY, F.lit("").alias("reasons"))
-    return accepted.unionByName(bad.select(*PARCEL_KEY, F.array_join("reasons", "; ").alias("reasons")))
+    every = checked(views.parcels(spark, sf_dir), CONTRACT)
+    return every.select(*PARCEL_KEY, F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(

@@ -198,9 +198,14 @@ def bounds_profile(
             *[f(col(n)).alias(f"{k}{i}") for i, n in enumerate(numerics) for k, f in (("lo", F.min), ("hi", F.max))]
         )
     )
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("value")) for n in numerics]
+    )
+    _, found = gather_small(quantiles(df.select(F.inline(cells)), "value", probs, ["column_name"]))  # a row per numeric
+    marks = {r["column_name"]: r["quantiles"] for r in found}
     doc = []
     for i, n in enumerate(numerics):
-        q = one_row(quantiles(df, n, probs))["quantiles"]
+        q = marks[n]
         whole = kinds[n] in ("tinyint", "smallint", "int", "bigint")
         shown = [F.lit(int(x)) if whole else F.round(F.lit(float(x)), 1) for x in q]
         doc.append(

@@ -108,7 +108,8 @@ def map_values(df: DataFrame, name: str, mapping: Mapping, into: str | None = No
         table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
         return df.withColumn(into, table[col(name)])
     lookup = df.sparkSession.createDataFrame(list(known.items()), ["_from", "_to"])
-    joined = df.join(F.broadcast(lookup), col(name) == F.col("_from"), "left")
+    # a local relation: Spark knows its size and picks the join by it
+    joined = df.join(lookup, col(name) == F.col("_from"), "left")
     return joined.withColumn(into, F.col("_to")).drop("_from", "_to")
 
 

@@ -187,8 +187,7 @@ def score_joined(
 
     ``keys`` names the parts of a model key with their types.  All models share one
     expression: a level is looked up once per row as a position, and each model brings
-    its coefficients as arrays.  The broadcast side has one row per model of a list that
-    was made on the driver.
+    its coefficients as arrays.
     """
     first = next(iter(models.values()))
     levels = {
@@ -208,11 +207,6 @@ def score_joined(
         total = total + F.col("_bool")[i] * col(b).cast("int")
     for i in range(len(levels)):
         total = total + F.col("_lev")[i][F.col(f"_at{i}")]
-    joined = df.withColumns(places).join(F.broadcast(table), list(on))
+    # a local relation: Spark knows its size and picks the join by it
+    joined = df.withColumns(places).join(table, list(on))
     return joined.withColumn(into, total).drop("_one", "_num", "_bool", "_lev", *places)
-
-
-def score_models(df: DataFrame, models: Mapping[int, LinearModel], into: str = "predicted") -> DataFrame:
-    """Every row scored by every model of a short list, as rows (..., model, predicted)."""
-    every = df.withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in models])))
-    return score_joined(every, {(int(k),): m for k, m in models.items()}, {"model": "int"}, ["model"], into)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilth.functions.columns import col
+from tilth.session import MAX_SMALL_ROWS
 
 
 def top_k_groups(df: DataFrame, keys: Sequence[str], name: str, k: int) -> DataFrame:
@@ -63,11 +64,11 @@ def sort_by_magnitude(df: DataFrame, name: str, ties: Sequence[str]) -> DataFram
 def without_top(df: DataFrame, score: str, keys: Sequence[str], k: int) -> DataFrame:
     """All rows but the k largest, ties by ``keys`` (which name a row).
 
-    The k rows come from per-task top-k lists and are taken out by an anti join whose
-    broadcast side has k rows.
+    The k rows come from per-task top-k lists and are taken out by an anti join, by
+    broadcast where k is small.
     """
     top = df.orderBy(col(score).desc_nulls_last(), *[col(c) for c in keys]).limit(k).select(*keys)
-    return df.join(F.broadcast(top), list(keys), "left_anti")
+    return df.join(F.broadcast(top) if k <= MAX_SMALL_ROWS else top, list(keys), "left_anti")
 
 
 def best_of(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilth.functions.columns import col, two_sided_p
+from tilth.functions.columns import col, two_sided_p, safe_corr
 from tilth.session import one_row
 
 
@@ -29,8 +29,17 @@ def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) ->
     A first pass finds means (subtracted before multiplying, so large offsets cost no
     digits) and which columns have missing values.  Pairs of complete columns share their
     sums; a pair with missing values has its own over its complete rows.  A side whose
-    smallest and largest value agree is constant and gives NULL.
+    smallest and largest value agree is constant and gives NULL.  Within groups, whose means
+    may lie far from the overall ones, Spark's central moments are used instead.
     """
+    if by:
+        v = [_as_number(df, n) for n in names]
+        cells = []
+        for i, j in pairs:
+            r = safe_corr(v[i], v[j])
+            r = F.when(r.isNotNull(), F.lit(1.0) if i == j else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+            cells.append(F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), r.alias("r")))
+        return df.groupBy(*by).agg(F.array(*cells).alias("_cells")).select(*by, F.inline("_cells"))
     first = one_row(
         df.agg(
             *[F.avg(_as_number(df, n)).alias(f"m{i}") for i, n in enumerate(names)],
@@ -68,8 +77,7 @@ def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) ->
         r = F.when(~flat, F.try_divide(cov, F.sqrt(F.greatest(var[0] * var[1], F.lit(0.0)))))
         r = F.lit(1.0) if i == j else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
         cells.append(F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), F.when(~flat, r).alias("r")))
-    grouped = df.groupBy(*by) if by else df
-    return grouped.agg(*sums.values()).select(*by, F.inline(F.array(*cells)))
+    return df.agg(*sums.values()).select(F.inline(F.array(*cells)))
 
 
 def corr_matrix(
