@@ -25,16 +25,18 @@ BATCH_ROWS = 2_000
 SEGMENT_BYTES = 1 << 19
 
 
-def positioned(df: DataFrame, order: list, name: str, label: str = "positions") -> DataFrame:
+def positioned(df: DataFrame, order: list, name: str, label: str = "positions", finer: int = 1) -> DataFrame:
     """Add ``name``, the row's place (from 0) in the order of ``order``, over the whole table.
 
     The rows are dealt by range and sorted inside their partitions; the partitions' row
     counts (one small row each) are added up to give every partition its first place.
     Order by enough columns to tell rows apart: equal rows take neighbouring places.
+    ``finer`` makes so many times the session's partitions, for rows of very unequal bytes.
     """
+    parts = finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = "__line"
     placed = staged(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(line, F.monotonically_increasing_id()),
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(line, F.monotonically_increasing_id()),
         label,
     ).withColumn("__part", F.shiftright(F.col(line), 33))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__rows"))
@@ -65,11 +67,33 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
+#: What a worker process keeps from task to task: the one compiled model in use.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, once for each worker process and key while tasks of the same kind follow each other."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def make_room(keeps: bool) -> None:
+    """Give back what a worker process, which outlives its tasks, need not hold."""
+    if not keeps:
+        _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def in_tasks(df: DataFrame, work: Callable, schema, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver found it, if they share the path.
 
     Rows may be whole documents, so the session's batches are cut to ``BATCH_ROWS``: they
-    stand several times in a task's memory, on both sides of the pipe.
+    stand several times in a task's memory, on both sides of the pipe.  ``keeps`` says that
+    the tasks use a ``kept`` model; others make room.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
@@ -81,11 +105,9 @@ def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
         environment["PYTHONPATH"] = os.pathsep.join([*known, root])
 
     def released(batches):
+        make_room(keeps)
         yield from work(batches)
-        # the worker lives on, its free buffers need not
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        make_room(keeps)
 
     return df.mapInArrow(released, schema)
 

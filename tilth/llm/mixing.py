@@ -79,7 +79,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS,
         F.struct(*(docs.columns if carry is None else carry)).alias("__row"), F.col(source).alias("__source"), F.col(key).alias("__key"), word_count(text).alias("size")
     )
     order = [F.col("__source").asc_nulls_last(), F.col("size"), F.col("__key").asc_nulls_last(), F.xxhash64("__row")]
-    placed = positioned(rows, order, "__place", "mix")
+    placed = positioned(rows, order, "__place", "mix", 4 if carry is None else 1)
     sources = placed.groupBy(F.col("__source").alias("source")).agg(
         F.sum("size").alias("source_size"), F.min("__place").alias("__first")
     )

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tilth.llm.base import INVERSES, POWERS, in_tasks, mixed
+from tilth.llm.base import INVERSES, POWERS, in_tasks, kept, mixed
 
 SPACE = "▁"
 #: Words longer than this are solved one by one.
@@ -39,7 +39,6 @@ LONG = 48
 #: Words a transducer remembers; those that come later are solved wherever they turn up.
 REMEMBERED = 200_000
 _SLOTS = 21  # bits of the table of pairs
-_MODELS: dict = {}
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -356,9 +355,7 @@ class Transducer:
 
 def compile_model(path: str) -> Transducer:
     """One transducer for each process and model file."""
-    if path not in _MODELS:
-        _MODELS[path] = Transducer(path)
-    return _MODELS[path]
+    return kept(("pieces", path), lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -366,8 +363,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     the text back) and ``ids`` (array of int); with ``digest`` ids_crc32 (of the ids as
     little-endian 32-bit numbers) and text_crc32 (of the decoded text) instead of ids."""
     added = ("n_pieces", "exact", "ids", "ids_crc32", "text_crc32")
-    kept = [c for c in (carry if carry is not None else [c for c in docs.columns if c != text]) if c not in added]
-    schema = docs.select(*kept).schema.add("n_pieces", "long").add("exact", "boolean")
+    carried = [c for c in (carry if carry is not None else [c for c in docs.columns if c != text]) if c not in added]
+    schema = docs.select(*carried).schema.add("n_pieces", "long").add("exact", "boolean")
     schema = schema.add("ids_crc32", "long").add("text_crc32", "long") if digest else schema.add("ids", T.ArrayType(T.IntegerType()))
     names = schema.fieldNames()
 
@@ -389,18 +386,18 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
                     last = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(sizes), exact, *last], names)
 
-    return in_tasks(docs.select(F.col(text).alias("__text"), *kept), work, schema)
+    return in_tasks(docs.select(F.col(text).alias("__text"), *carried), work, schema, keeps=True)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``text`` in place of its ids; null ids give an empty text."""
-    kept = [c for c in encoded.columns if c not in (ids, "text")]
-    schema = encoded.select(*kept).schema.add("text", "string")
+    carried = [c for c in encoded.columns if c not in (ids, "text")]
+    schema = encoded.select(*carried).schema.add("text", "string")
 
     def work(batches):
         machine = compile_model(model)
         for batch in batches:
             texts = [machine.decode(np.array(x or [], "<i4").tobytes()) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*kept, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*carried, "text"])
 
-    return in_tasks(encoded.select(F.col(ids).alias("__ids"), *kept), work, schema)
+    return in_tasks(encoded.select(F.col(ids).alias("__ids"), *carried), work, schema, keeps=True)

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tilth.llm.base import in_tasks, segments
+from tilth.llm.base import in_tasks, kept, segments
 from tilth.session import fresh_path, staged
 
 LENGTH = 2048
@@ -52,7 +52,6 @@ _INNER = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 RUN_BYTES = 1 << 22
 #: Pieces an encoder remembers; those that come later are encoded wherever they turn up.
 REMEMBERED = 1_000_000
-_ENCODERS: dict = {}
 
 
 def _plain(text: str) -> bool:
@@ -141,9 +140,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -248,7 +245,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, folder: str | None = None,
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "file": [name], "documents": [len(counts)], "tokens": [int(counts.sum())]})
 
-    written = staged(in_tasks(made, work, "part int, file string, documents long, tokens long"), "manifest")
+    written = staged(in_tasks(made, work, "part int, file string, documents long, tokens long", keeps=True), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
