@@ -31,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tilth.llm.base import INVERSES, POWERS, in_tasks, kept, mixed
+from tilth.llm.base import INVERSES, POWERS, in_tasks, kept, mixed, segments
 
 SPACE = "▁"
 #: Words longer than this are solved one by one.
 LONG = 48
+#: Bytes of text encoded together.
+RUN_BYTES = 1 << 21
 #: Words a transducer remembers; those that come later are solved wherever they turn up.
 REMEMBERED = 200_000
 _SLOTS = 21  # bits of the table of pairs
@@ -371,20 +373,20 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     def work(batches):
         machine = compile_model(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for first, last, _, _ in segments(batch.column(0).fill_null(""), RUN_BYTES):
+                some = batch.slice(first, last - first)
                 texts = some.column(0).fill_null("").to_pylist()
                 found = machine.encode(texts)
                 back = [machine.decode(x) for x in found]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 exact = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())
                 if digest:
-                    last = [pa.array([zlib.crc32(x) for x in found], pa.int64()),
+                    tail = [pa.array([zlib.crc32(x) for x in found], pa.int64()),
                             pa.array([zlib.crc32(x.encode()) for x in back], pa.int64())]
                 else:
                     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    last = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(sizes), exact, *last], names)
+                    tail = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(sizes), exact, *tail], names)
 
     return in_tasks(docs.select(F.col(text).alias("__text"), *carried), work, schema, keeps=True)
 
@@ -397,7 +399,10 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def work(batches):
         machine = compile_model(model)
         for batch in batches:
-            texts = [machine.decode(np.array(x or [], "<i4").tobytes()) for x in batch.column(0).to_pylist()]
+            column = batch.column(0)
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            texts = [machine.decode(flat[x:y].tobytes()) for x, y in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*carried, "text"])
 
     return in_tasks(encoded.select(F.col(ids).alias("__ids"), *carried), work, schema, keeps=True)
