@@ -119,3 +119,30 @@ def test_small_hosts_and_copies_keep_their_text(spark):
     page = "<html><body><article><h1>Same</h1><p>words of the copy</p></article><div>note</div></body></html>"
     table = spark.createDataFrame([(i, f"http://{'a' if i < 3 else 'b'}.example.com/{i}", page) for i in range(40)], "page_id long, url string, html string")
     assert {r.text for r in pages.main_text(table).collect()} == {"Same\nwords of the copy"}
+
+
+def _texts(spark, bodies, host="big.example.com"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_importance_decides_inside_articles_and_against_marks(spark):
+    bodies = [
+        f"<article><h1>Title {i}</h1><p>Own words {i}</p><p>Read our terms</p><div class='share-price'>Price <b>{i}.50</b></div>"
+        f"<div class='share'>Tell others</div><p>Now <span class='share-price'>{i} francs</span>, <span class='share'>share</span> up</p></article>"
+        f"<div class='note'>Remark {i}</div><div class='foot'>All rights kept</div><div class='ad'>Buy {i}</div>"
+        for i in range(60)
+    ]
+    want = [f"Title {i}\nOwn words {i}\nPrice {i}.50\nNow {i} francs, up\nRemark {i}" for i in range(60)]
+    assert _texts(spark, bodies) == want
+    # copies of one article count once, so that they don't erase it
+    assert _texts(spark, [*bodies, *[bodies[0].replace("Buy 0", f"Buy more {i}") for i in range(100)]]) == [*want, *[want[0]] * 100]
+
+
+def test_a_mark_on_the_whole_page_and_small_hosts(spark):
+    whole = "<div class='has-sidebar'><p>Text of the page, long enough</p><div class='ad'>Buy</div></div>"
+    assert _texts(spark, [whole]) == ["Text of the page, long enough"]
+    few = [f"<div class='x'>Always here</div><div class='y'>Only {i}</div>" for i in range(7)]
+    assert _texts(spark, few) == [f"Only {i}" for i in range(7)]
+    assert _texts(spark, few[:3]) == [f"Always here\nOnly {i}" for i in range(3)]

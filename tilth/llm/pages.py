@@ -4,15 +4,20 @@ Every page becomes a list of blocks, each at a style node: the path of its block
 with their classes and ids.  The pages of a host are merged: for every style node of the host
 the entropy of what stands below it over the pages is taken, of its presentation (sequences
 of child elements: the more kinds, the more important) and of its content (texts: the more a
-text is spread over the host's pages, the less important).  A branch whose combined
-importance is low is cut from each page, as are branches that their element, role or class
-name marks as furniture (importance nought).  What is left of the page's article, main
-element or body is its text.
-
-Hosts of fewer than ``LEAST_PAGES`` pages are too small to judge and lose furniture only.
-Plain elements right below an article or main element are its running text and are never
-cut for being repeated, so that copies of an article do not erase each other.
-
+text is spread over the host's pages, the less important).  Every text has an importance of
+its own in the same way.
+
+Both are mixed with a prior that weighs as much as ``SMOOTH`` pages, so that small hosts lean
+on it and large ones on what was counted.  The prior is 1 for plain elements below the page's
+article or main element, which only a text that nearly all pages of the host share outweighs;
+``LEAST_IMPORTANCE`` for other blocks there, or anywhere on a page without such an element; and
+nought for blocks that a class name marks as furniture or that stand outside the article, which
+are kept only where node importance reaches ``SURE_IMPORTANCE``.  What is left in page order is
+the text.  Not asked about are elements, roles and hidden parts that are furniture by
+themselves, comments, and blocks both marked and outside, or marked or outside and mostly links.
+Where a page has no article or main element, a mark on a branch with most of its text is void.
+
+Pages are counted once for each distinct article, so that copies do not erase each other.
 Counting is by (host, node, feature) with partial sums first, so a host may hold any share
 of all pages.  Pages are parsed once and their blocks written to the shared folder.
 
@@ -27,15 +32,19 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tilth.llm.base import in_tasks
 from tilth.session import staged
 
-LEAST_PAGES = 8
-#: Importance below which a branch is cut, and the part of content in it (the rest is presentation).
+#: Pages that the prior importance counts for.
+SMOOTH = 8
+#: Importance below which a branch is cut, that which outweighs a mark, and the part of content in it (the rest is presentation).
 LEAST_IMPORTANCE = 0.3
+SURE_IMPORTANCE = 0.7
 CONTENT_PART = 0.9
+#: Kinds of blocks, and of the features that are child elements.
+RUNNING, OTHER, DOUBTED, SHOWN = range(4)
 
 # fixed values: elements of HTML by their role in the layout
 RAW = "title script style noscript template svg math iframe object canvas select textarea button datalist audio video"
@@ -73,7 +82,7 @@ _CLOSED_BY = {
 
 
 class _Node:
-    __slots__ = ("tag", "above", "path", "furniture", "weak", "holds", "region", "plain", "children", "mute")
+    __slots__ = ("tag", "above", "path", "furniture", "marked", "weak", "holds", "region", "plain", "children", "mute", "own", "link")
 
     def __init__(self, tag: str, above: "_Node | None", attributes: dict):
         self.tag, self.above = tag, above
@@ -81,14 +90,14 @@ class _Node:
         words = {w.lower() for w in _NAME.findall(names)} if names.strip() else set()
         role = attributes.get("role", "").lower()
         style = "." + re.sub(r"\d+", "0", names) if names.strip() else ""
-        self.path = ((above.path if above else "") + ">" + tag + style) if tag in _BLOCKS else above.path
         hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         inside = above is not None and above.in_region()
         cue = tag in _FURNITURE and not (tag == "header" and inside) or role in _ROLES
         marked = words & _WORDS - ({"header"} if inside else set()) if tag not in ("html", "body", "main") else set()
         if tag == "article":
             marked &= _NEVER
-        self.furniture = bool(cue or marked or hidden)
+        self.furniture = bool(cue or marked & _NEVER or hidden)
+        self.marked = bool(marked) and not self.furniture
         self.weak = not (tag in ("nav", "footer", "aside", "head", "title") or words & _NEVER or hidden)
         self.holds = False
         self.region = (tag == "article" and 2 or (tag == "main" or role == "main") and 1 or 0) if not self.furniture else 0
@@ -96,6 +105,10 @@ class _Node:
         self.children: list[str] = []
         # text below an inline element that is furniture is not part of the block around it
         self.mute = tag not in _BLOCKS and (self.furniture or above.mute)
+        # a marked inline element is a style node, so that the tree can judge its text
+        self.own = tag in _BLOCKS or self.marked
+        self.path = ((above.path if above else "") + ">" + tag + style) if self.own else above.path
+        self.link = tag == "a" or above is not None and above.link
 
     def in_region(self) -> bool:
         node = self
@@ -107,36 +120,50 @@ class _Node:
 
 
 def blocks_of(page: str) -> tuple[list, list]:
-    """Blocks (path, text, cut, level, running) in page order, and nodes (path, child elements).
+    """Blocks (path, text, kind, line, gap, whole) in page order, and nodes (path, child elements).
 
-    ``cut`` marks furniture; ``level`` is 2 in an article, 1 in a main element, else 0;
-    ``running`` marks plain elements right below one.
+    Blocks of one ``line`` are parts of one block, with white space between them where their
+    ``gap`` differs; parts without a mark are judged by the line's ``whole`` text.  Furniture is
+    left out.
     """
     root = _Node("html", None, {})
     open_: list[_Node] = [root]
     texts: list[str] = []
     blocks: list = []
     nodes: list[_Node] = [root]
+    line = gap = linked = 0
 
-    def flush() -> None:
-        text = "".join(texts)
+    def part() -> None:
+        nonlocal gap, linked
+        raw = html.unescape("".join(texts))
         texts.clear()
-        text = " ".join(html.unescape(text).split()) if text and not text.isspace() else ""
+        text = " ".join(raw.split())
+        gap += raw[:1].isspace()
         if text:
             node = open_[-1]
-            while node.tag not in _BLOCKS:
+            while not node.own:
                 node = node.above
-            blocks.append((node, text))
+            blocks.append((node, text, line, gap, 2 * linked > len(text)))
+            gap += raw[-1:].isspace()
+        linked = 0
+
+    def flush() -> None:
+        nonlocal line
+        part()
+        line += 1
 
     def close(upto: int) -> None:
         if any(n.tag in _BLOCKS for n in open_[upto:]):
             flush()
+        elif any(n.own for n in open_[upto:]):
+            part()
         del open_[upto:]
 
     at = 0
     for token in _TOKEN.finditer(page):
         if token.start() > at and not open_[-1].mute:
             texts.append(page[at : token.start()])
+            linked += open_[-1].link * (token.start() - at)
         at = token.end()
         tag = token[3]
         if tag is None:
@@ -196,6 +223,8 @@ def blocks_of(page: str) -> tuple[list, list]:
             for n in open_:
                 n.holds = True
         if not body.rstrip().endswith("/") or tag in _BLOCKS:
+            if node.own and tag not in _BLOCKS:
+                part()
             open_.append(node)
     if at < len(page) and not open_[-1].mute:
         rest = page[at:]
@@ -203,32 +232,62 @@ def blocks_of(page: str) -> tuple[list, list]:
         texts.append(rest[: cut.start()] if cut else rest)
     flush()
 
+    void: set[int] = set()
     state: dict[int, tuple] = {}
 
     def judged(node: _Node) -> tuple:
-        """Whether the node is cut, its level, and whether its text runs right below the region."""
+        """Whether the node is cut, the mark above it, its level, and whether its text runs right below the region."""
         if id(node) not in state:
-            cut, level, running = judged(node.above) if node.above is not None else (False, 0, False)
-            cut = cut or node.furniture and not (node.holds and node.weak)
+            cut, mark, level, running = judged(node.above) if node.above is not None else (False, None, 0, False)
+            kept = node.holds and node.weak
+            cut = cut or node.furniture and not kept
+            if mark is None and node.marked and not kept and id(node) not in void:
+                mark = node
             if node.region:
                 level, running = max(level, node.region), True
-            elif node.tag in _BLOCKS:
+            elif node.own:
                 running = running and node.plain
-            state[id(node)] = cut, level, running
+            state[id(node)] = cut, mark, level, running
         return state[id(node)]
 
-    return [(n.path, text, *judged(n)) for n, text in blocks], [(n.path, " ".join(n.children)) for n in nodes if n.children]
+    best = max((judged(b[0])[2] for b in blocks if not judged(b[0])[0] and judged(b[0])[1] is None), default=0)
+    while not best:
+        # of a page without article, a mark on the branch with most of the text says nothing
+        held = [(judged(b[0])[1], len(b[1])) for b in blocks if not judged(b[0])[0]]
+        sums: dict[int, int] = {}
+        for mark, size in held:
+            if mark is not None:
+                sums[id(mark)] = sums.get(id(mark), 0) + size
+        most = [x for x, size in sums.items() if 2 * size > sum(n for _, n in held)]
+        if not most:
+            break
+        void.update(most)
+        state.clear()
+    lines: dict[int, list] = {}
+    for _, text, line, *_ in blocks:
+        lines.setdefault(line, []).append(text)
+    found = []
+    for node, text, line, gap, links in blocks:
+        cut, mark, level, running = judged(node)
+        doubts = (mark is not None) + (level < best)
+        if not (cut or doubts == 2 or doubts and links):
+            found.append((node.path, text, DOUBTED if doubts else RUNNING if running else OTHER, line, gap,
+                          " ".join(lines[line]) if len(lines[line]) > 1 and node.tag in _BLOCKS else None))
+    return found, [(n.path, " ".join(n.children)) for n in nodes if n.children]
 
 
 def parsed(pages: DataFrame, url: str, body: str, kept: list[str]) -> DataFrame:
-    """Each page's host, its blocks within its best region, and the features of its nodes."""
+    """Each page's host, its blocks, and the features of its nodes."""
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select(*kept, host.alias("__host"), F.coalesce(F.col(body), F.lit("")).alias("__html"))
-    block = pa.struct([("path", pa.string()), ("text", pa.string()), ("sure", pa.bool_())])
+    block = pa.struct([("path", pa.string()), ("text", pa.string()), ("kind", pa.int32()), ("line", pa.int32()), ("gap", pa.int32()),
+                       ("whole", pa.string())])
     node = pa.struct([("path", pa.string()), ("children", pa.string())])
-    blocks_type = T.ArrayType(T.StructType().add("path", "string").add("text", "string").add("sure", "boolean"))
+    names = [f.name for f in block]
+    one = T.StructType().add("path", "string").add("text", "string").add("kind", "integer").add("line", "integer")
+    one = one.add("gap", "integer").add("whole", "string")
     nodes_type = T.ArrayType(T.StructType().add("path", "string").add("children", "string"))
-    schema = pages.select(*kept).schema.add("__host", "string").add("__blocks", blocks_type).add("__nodes", nodes_type)
+    schema = pages.select(*kept).schema.add("__host", "string").add("__blocks", T.ArrayType(one)).add("__nodes", nodes_type)
 
     def work(batches):
         for batch in batches:
@@ -237,8 +296,7 @@ def parsed(pages: DataFrame, url: str, body: str, kept: list[str]) -> DataFrame:
                 blocks, nodes = [], []
                 for page in some.column(some.num_columns - 1):
                     found, tree = blocks_of(page.as_py())
-                    best = max((b[3] for b in found if not b[2]), default=0)
-                    blocks.append([{"path": p, "text": t, "sure": running} for p, t, cut, level, running in found if not cut and level >= best])
+                    blocks.append([dict(zip(names, b)) for b in found])
                     nodes.append([{"path": p, "children": c} for p, c in tree])
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns[:-1], pa.array(blocks, pa.list_(block)), pa.array(nodes, pa.list_(node))],
@@ -247,28 +305,56 @@ def parsed(pages: DataFrame, url: str, body: str, kept: list[str]) -> DataFrame:
     return in_tasks(rows, work, schema)
 
 
+def _mixed(value: Column, prior: float) -> Column:
+    """An importance with its prior, by the host's pages."""
+    return (value * F.col("pages") + SMOOTH * prior) / (F.col("pages") + SMOOTH)
+
+
+def _feature(b: Column) -> Column:
+    return F.xxhash64(F.coalesce(b["whole"], b["text"]))
+
+
+def _entry(kind: Column, node: Column, feature: Column | None = None) -> Column:
+    return F.xxhash64(kind, node, *([] if feature is None else [feature]))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, presentation, content, importance) of the style nodes of hosts that can be judged.
+    """(host, low, sure): of every host the nodes and texts of low importance, and the doubted nodes of sure importance.
 
-    A feature counts once for each page that has it at the node.
+    A feature counts once for each distinct article that has it at the node.
     """
-    sizes = pages.where("__host <> ''").groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("pages"))
-    sizes = sizes.where(F.col("pages") >= LEAST_PAGES)
-    content = pages.select(F.col("__host").alias("host"), F.explode(F.array_distinct("__blocks")).alias("b")).select(
-        "host", F.col("b.path").alias("path"), F.lit(0).alias("kind"), F.xxhash64("b.text").alias("feature"))
-    shown = pages.select(F.col("__host").alias("host"), F.explode(F.array_distinct("__nodes")).alias("b")).select(
-        "host", F.col("b.path").alias("path"), F.lit(1).alias("kind"), F.xxhash64("b.children").alias("feature"))
-    counts = content.unionByName(shown).groupBy("host", "path", "kind", "feature").agg(F.count("*").cast("double").alias("k"))
-    each = counts.groupBy("host", "path", "kind").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
-    each = each.join(sizes, "host")
-    spread = F.col("klogk") / F.col("all") / F.log("pages")  # of a feature over the pages, weighed by its places
-    value = F.when(F.col("kind") == 0, 1 - F.least(spread, F.lit(1.0))).otherwise(
-        F.least((F.log("all") - F.col("klogk") / F.col("all")) / F.log("pages"), F.lit(1.0)))
-    tree = each.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 1, value)).alias("presentation"), F.max(F.when(F.col("kind") == 0, value)).alias("content"))
-    return tree.withColumn(
-        "importance",
-        CONTENT_PART * F.coalesce("content", F.lit(1.0)) + (1 - CONTENT_PART) * F.coalesce("presentation", "content"))
+    core = F.transform(F.filter("__blocks", lambda b: b["kind"] < DOUBTED), lambda b: b["text"])
+    every = F.transform("__blocks", lambda b: b["text"])
+    marked = pages.where("__host <> ''").select(
+        F.col("__host").alias("host"), F.xxhash64(F.when(F.size(core) > 0, core).otherwise(every)).alias("page"), "__blocks", "__nodes")
+    pair = ["host", "page"]
+    sizes = marked.select(*pair).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    content = marked.select(*pair, F.explode("__blocks").alias("b")).select(
+        *pair, F.col("b.kind").alias("kind"), F.xxhash64("b.path").alias("node"), _feature(F.col("b")).alias("feature"))
+    shown = marked.select(*pair, F.explode("__nodes").alias("b")).select(
+        *pair, F.lit(SHOWN).alias("kind"), F.xxhash64("b.path").alias("node"), F.xxhash64("b.children").alias("feature"))
+    once = content.unionByName(shown).distinct()
+    counts = staged(once.groupBy("host", "kind", "node", "feature").agg(F.count("*").cast("double").alias("k")), "style-features")
+    most = F.log(F.col("pages") + SMOOTH)
+
+    each = counts.where(F.col("kind") != RUNNING).groupBy("host", "kind", "node").agg(
+        F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogk")).join(sizes, "host")
+    value = F.when(F.col("kind") != SHOWN, 1 - F.col("klogk") / F.col("all") / most).otherwise(
+        F.least((F.log("all") - F.col("klogk") / F.col("all")) / most, F.lit(1.0)))
+    tree = each.groupBy("host", "node", "pages").agg(*[F.max(F.when(F.col("kind") == k, value)).alias(f"v{k}") for k in (OTHER, DOUBTED, SHOWN)])
+
+    def node_of(kind: int, prior: float) -> Column:
+        own = F.col(f"v{kind}")
+        return _mixed(CONTENT_PART * own + (1 - CONTENT_PART) * F.coalesce(F.col(f"v{SHOWN}"), own), prior)
+
+    low_node = F.when(node_of(OTHER, LEAST_IMPORTANCE) < LEAST_IMPORTANCE, _entry(F.lit(OTHER), F.col("node")))
+    sure_node = F.when(node_of(DOUBTED, 0.0) >= SURE_IMPORTANCE, _entry(F.lit(DOUBTED), F.col("node")))
+    text = 1 - F.log("k") / most
+    own = F.when(F.col("kind") == RUNNING, _mixed(text, 1.0)).otherwise(_mixed(text, LEAST_IMPORTANCE))
+    texts = counts.where((F.col("kind") != SHOWN) & (F.col("k") > 1)).join(sizes, "host").where(own < LEAST_IMPORTANCE)
+    entries = tree.select("host", low_node.alias("low"), sure_node.alias("sure")).where("low IS NOT NULL OR sure IS NOT NULL").unionByName(
+        texts.select("host", _entry(F.col("kind"), F.col("node"), F.col("feature")).alias("low"), F.lit(None).cast("long").alias("sure")))
+    return entries.groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("sure").alias("sure"))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html",
@@ -276,11 +362,23 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     """The columns ``carry`` (default all but the html) of every page with ``text`` and ``n_chars``."""
     kept = [c for c in (carry or [c for c in pages.columns if c != body]) if c not in ("text", "n_chars")]
     done = staged(parsed(pages, url, body, kept), "pages")
-    low = style_tree(done).where(F.col("importance") < LEAST_IMPORTANCE)
-    low = staged(low.groupBy(F.col("host").alias("__of")).agg(F.collect_set("path").alias("__low")), "style-tree")
-    paths = low.agg(F.sum(F.size("__low"))).first()[0] or 0
-    side = F.broadcast(low) if paths <= 100_000 else low
+    tree = staged(style_tree(done).select(F.col("host").alias("__of"), F.col("low").alias("__low"), F.col("sure").alias("__sure")), "style-tree")
+    entries = tree.agg(F.sum(F.size("__low") + F.size("__sure"))).first()[0] or 0
+    side = F.broadcast(tree) if entries <= 100_000 else tree
     joined = done.join(side, F.col("__host") == F.col("__of"), "left")
-    good = F.filter("__blocks", lambda b: b["sure"] | ~F.coalesce(F.array_contains("__low", b["path"]), F.lit(False)))
-    text = F.concat_ws("\n", F.transform(good, lambda b: b["text"]))
-    return joined.select(*kept, text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+    def stays(b: Column) -> Column:
+        node = F.xxhash64(b["path"])
+        low = F.array_contains("__low", _entry(b["kind"], node)) | F.array_contains("__low", _entry(b["kind"], node, _feature(b)))
+        sure = (b["kind"] != DOUBTED) | F.array_contains("__sure", _entry(b["kind"], node))
+        return F.when(F.col("__of").isNull(), b["kind"] != DOUBTED).otherwise(~low & sure)
+
+    good = joined.withColumn("__good", F.filter("__blocks", stays))
+
+    def led(b: Column, i: Column) -> Column:
+        before = F.get("__good", i - 1)
+        return F.when(i == 0, b["text"]).otherwise(F.concat(
+            F.when(before["line"] != b["line"], F.lit("\n")).when(before["gap"] != b["gap"], F.lit(" ")).otherwise(F.lit("")), b["text"]))
+
+    text = F.array_join(F.transform("__good", led), "")
+    return good.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
