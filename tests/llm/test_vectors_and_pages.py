@@ -146,3 +146,17 @@ def test_a_mark_on_the_whole_page_and_small_hosts(spark):
     few = [f"<div class='x'>Always here</div><div class='y'>Only {i}</div>" for i in range(7)]
     assert _texts(spark, few) == [f"Only {i}" for i in range(7)]
     assert _texts(spark, few[:3]) == [f"Always here\nOnly {i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("tag", [
+    "<svg/>", "<svg />", "<math/>", "<iframe/>", "<iframe src='x' />", "<iframe src='x'>in</iframe>", "<video-player></video-player>", "<title-bar>",
+    "<svg-icon></svg-icon>", "<svg><path d='M0'/><title>t</title><text>in</text></svg>", "<video><p>in</p></video>", "<button>", "<object>", "<canvas>",
+    "<select><option>in<option>in</select>", "<template><article><p>in</article></template>", "<script>in</script x>", "<button><div>in</div></button>",
+])
+def test_text_after_embedded_elements_stays(tag):
+    def text(page):
+        return [b[1] for b in pages.blocks_of(page)[0]]
+
+    assert text(f"<article><h1>T</h1>{tag}<p>Body</p></article><footer>f</footer>") == ["T", "Body"]
+    assert text(f"<article><h1>T</h1><ul><li>a {tag}</li><li>b</ul><p>Body <i>x</i></article>") == ["T", "a", "b", "Body x"]
+    assert " ".join(text(f"<article><p>one {tag}two</p><p>Body</p></article>")) == "one two Body"

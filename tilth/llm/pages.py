@@ -21,6 +21,9 @@ Pages are counted once for each distinct article, so that copies do not erase ea
 Counting is by (host, node, feature) with partial sums first, so a host may hold any share
 of all pages.  Pages are parsed once and their blocks written to the shared folder.
 
+Scripts and other raw elements end at their close tag or the page's end; svg, video, button and
+the like hide what is in them if their end tag comes before that of their parent.
+
 Defined results: null and empty pages have an empty text; unclosed and stray tags are read
 as browsers do in the common cases; a null url is a host of its own without a tree; every
 row gives one row; input columns named like added ones are replaced.
@@ -47,7 +50,8 @@ CONTENT_PART = 0.9
 RUNNING, OTHER, DOUBTED, SHOWN = range(4)
 
 # fixed values: elements of HTML by their role in the layout
-RAW = "title script style noscript template svg math iframe object canvas select textarea button datalist audio video"
+RAW = "title script style noscript textarea iframe"
+MUTED = "template svg math object canvas select button datalist audio video"
 BLOCKS = (
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre "
@@ -66,10 +70,10 @@ WORDS = (
 )
 NEVER_HOLD = "comment comments commentlist disqus respond reply replies"
 
-_RAW, _BLOCKS, _VOID, _FURNITURE = (frozenset(x.split()) for x in (RAW, BLOCKS, VOID, FURNITURE))
+_MUTED, _BLOCKS, _VOID, _FURNITURE = (frozenset(x.split()) for x in (MUTED, BLOCKS, VOID, FURNITURE))
 _ROLES, _WORDS, _NEVER = (frozenset(x.split()) for x in (ROLES, WORDS, NEVER_HOLD))
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?!iframe[^>]*/>)(" + "|".join(RAW.split()) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -82,7 +86,7 @@ _CLOSED_BY = {
 
 
 class _Node:
-    __slots__ = ("tag", "above", "path", "furniture", "marked", "weak", "holds", "region", "plain", "children", "mute", "own", "link")
+    __slots__ = ("tag", "above", "path", "furniture", "marked", "weak", "holds", "region", "plain", "children", "mute", "own", "link", "muted", "ended")
 
     def __init__(self, tag: str, above: "_Node | None", attributes: dict):
         self.tag, self.above = tag, above
@@ -105,8 +109,10 @@ class _Node:
         self.children: list[str] = []
         # text below an inline element that is furniture is not part of the block around it
         self.mute = tag not in _BLOCKS and (self.furniture or above.mute)
+        # its text is left out once its own end tag has come; what ends with its parent hides nothing
+        self.muted, self.ended = tag in _MUTED, False
         # a marked inline element is a style node, so that the tree can judge its text
-        self.own = tag in _BLOCKS or self.marked
+        self.own = tag in _BLOCKS or self.marked or self.muted
         self.path = ((above.path if above else "") + ">" + tag + style) if self.own else above.path
         self.link = tag == "a" or above is not None and above.link
 
@@ -177,6 +183,7 @@ def blocks_of(page: str) -> tuple[list, list]:
                 continue
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == tag:
+                    open_[i].ended = True
                     close(i)
                     break
                 if open_[i].tag in ("table", "td", "th", "article", "main", "section") and tag not in _BLOCKS:
@@ -195,7 +202,7 @@ def blocks_of(page: str) -> tuple[list, list]:
             if tag in _CLOSED_BY:
                 ended, scope = _CLOSED_BY[tag]
                 for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag in scope:
+                    if open_[i].tag in scope or open_[i].muted:
                         break
                     if open_[i].tag in ended.split():
                         close(i)
@@ -205,7 +212,7 @@ def blocks_of(page: str) -> tuple[list, list]:
                 if open_[i].tag == "p":
                     close(i)
                     break
-                if open_[i].tag in _BLOCKS:
+                if open_[i].tag in _BLOCKS or open_[i].muted:
                     break
             flush()
             if tag == "body" and any(n.tag == "head" for n in open_):
@@ -240,7 +247,7 @@ def blocks_of(page: str) -> tuple[list, list]:
         if id(node) not in state:
             cut, mark, level, running = judged(node.above) if node.above is not None else (False, None, 0, False)
             kept = node.holds and node.weak
-            cut = cut or node.furniture and not kept
+            cut = cut or node.furniture and not kept or node.muted and node.ended
             if mark is None and node.marked and not kept and id(node) not in void:
                 mark = node
             if node.region:
@@ -264,8 +271,9 @@ def blocks_of(page: str) -> tuple[list, list]:
         void.update(most)
         state.clear()
     lines: dict[int, list] = {}
-    for _, text, line, *_ in blocks:
-        lines.setdefault(line, []).append(text)
+    for node, text, line, *_ in blocks:
+        if not judged(node)[0]:
+            lines.setdefault(line, []).append(text)
     found = []
     for node, text, line, gap, links in blocks:
         cut, mark, level, running = judged(node)
