@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilth import catalog
 from tilth.functions.columns import safe_corr, two_sided_p
 from tilth.operators import aggregates, explain, features, linear, multivariate, ranking, scoring, stats, trees
 from tilth.operators.gram import FeatureSpec, collect_gram
@@ -267,3 +268,14 @@ def test_recommendation_equals_one_prediction_per_candidate(spark, fitted):
     }
     assert {r["crop"]: r["predicted"] for r in listed} == single
     assert LinearModel(1.0).parents == []
+
+
+def test_boosted_queries_run_the_defaults(spark, sf_dir, monkeypatch):
+    given = []
+    for name in ("boosted_trees", "boosted_trees_categorical"):
+        real = getattr(trees, name)
+        monkeypatch.setattr(trees, name, lambda df, spec, real=real, **kw: given.append(kw) or real(df, spec, rounds=2, depth=2))
+    monkeypatch.setattr(experiments, "compare_models", lambda folds, spec, kinds, **kw: given.append(kw) or folds)
+    for name in ("boosted_trees", "boosted_trees_categorical", "compare_models", "compare_models_panel"):
+        catalog.QUERIES[name](spark, sf_dir)
+    assert given == [{}] * 4

@@ -400,13 +400,13 @@ def random_forest(spark, sf_dir):
 @query("boosted_trees", "L5")
 def boosted_trees(spark, sf_dir):
     df = _split_rows(spark, sf_dir)
-    return _tree_metrics(df, trees.boosted_trees(df.where("split = 'train'"), SPEC, stop=True))
+    return _tree_metrics(df, trees.boosted_trees(df.where("split = 'train'"), SPEC))
 
 
 @query("boosted_trees_categorical", "L6 F4")
 def boosted_trees_categorical(spark, sf_dir):
     df = _split_rows(spark, sf_dir)
-    return _tree_metrics(df, trees.boosted_trees_categorical(df.where("split = 'train'"), SPEC, stop=True))
+    return _tree_metrics(df, trees.boosted_trees_categorical(df.where("split = 'train'"), SPEC))
 
 
 @query("tree_importances", "E4")
@@ -428,10 +428,9 @@ def ridge_by_rows(spark, sf_dir):
 
 @query("compare_models", "L9 L4 L5 L6 S6")
 def compare_models(spark, sf_dir):
-    """Five folds of all rows; boosting stops by itself."""
-    params = {"boosted_trees": {"stop": True}, "boosted_trees_categorical": {"stop": True}}
+    """Five folds of all rows, every model with its defaults."""
     kinds = ["linear_regression", "ridge", "boosted_trees", "boosted_trees_categorical", "random_forest"]
-    return experiments.compare_models(_folds(spark, sf_dir), SPEC, kinds, params=params)
+    return experiments.compare_models(_folds(spark, sf_dir), SPEC, kinds)
 
 
 # ---- explanation --------------------------------------------------------------------
@@ -928,7 +927,7 @@ def compare_models_panel(spark, sf_dir):
     """The panel's own features, linear models and the boosted one, five folds."""
     spec = FeatureSpec(("rain_mm", "pesticides_t", "avg_temp"), (), ("area", "item"), "t_ha")
     kinds = ["ridge", "linear_regression", "boosted_trees_categorical"]
-    return experiments.compare_models(_panel_folds(spark, sf_dir), spec, kinds, params={"boosted_trees_categorical": {"stop": True}})
+    return experiments.compare_models(_panel_folds(spark, sf_dir), spec, kinds)
 
 
 @query("famd_eigenvalues", "M6")
