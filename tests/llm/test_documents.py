@@ -74,6 +74,36 @@ def test_versions_of_the_map(spark, documents, tmp_path):
     assert 0.5 < sum(100 + s % 7 for s in moved) / (sum(100 + i % 7 for i in range(64)) / 5) <= 1.01
 
 
+def test_a_stored_map_is_edited(spark, documents, tmp_path):
+    path = str(tmp_path / "map")
+    texts = corpus(1, 600)
+
+    def run(texts, n):
+        rows = shards.shard(documents([(i, t, "a") for i, t in enumerate(texts)]), n, map_path=path).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+        loads = [sum(r.size for r in rows if r.shard == s) for s in range(n)]
+        assert max(loads) - min(loads) <= shards.read_map(spark, path).agg(F.max("bytes")).first()[0]
+        for s in range(n):
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+        return {r.virtual_slot: (r.shard, r.map_version) for r in rows}
+
+    first = run(texts, 4)
+    assert run(texts, 4) == first and {v for _, v in first.values()} == {1}
+    more = run(texts, 5)
+    to = [more[s][0] for s in more if more[s][0] != first[s][0]]
+    assert {v for _, v in more.values()} == {2} and len(to) < 0.3 * len(more) and to.count(4) > 0.5 * len(to)
+    lighter = run([t if first[s][0] else t[:40] for s, t in zip(_slots(spark, texts), texts)], 5)
+    assert {v for _, v in lighter.values()} == {3}
+    assert 0 < sum(lighter[s][0] != more[s][0] for s in more) < 0.5 * len(more)
+    fewer = run(texts, 3)
+    assert {x for x, _ in fewer.values()} == {0, 1, 2} and {v for _, v in fewer.values()} == {4}
+
+
+def _slots(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.s for r in rows.select("doc_id", shards.slot_of("doc_id", "text").alias("s")).orderBy("doc_id").collect()]
+
+
 # ---- mixing
 
 

@@ -11,6 +11,7 @@ their own; an input column named like an added one is replaced by it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -39,17 +40,17 @@ def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     return every.join(seen, "slot", "left").select("slot", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
-def balanced_map(totals: DataFrame, shards: int, version: int = 1) -> DataFrame:
-    """(version, slot, shard, bytes): slots in falling size, each to the shard that is lightest so far.
+def _placed(totals: DataFrame, loads: DataFrame) -> DataFrame:
+    """(slot, shard, bytes): slots in falling size, each to the shard that is lightest so far.
 
-    The table has one row per slot, a fixed number, so it is folded within a single row.
+    ``loads`` is one row with the array ``loads`` of the shards' bytes before.  The table has
+    at most one row per slot, a fixed number, so it is folded within a single row.
     """
     ordered = totals.agg(
         F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "slot"))).alias("slots")
     )
-    empty = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"),
-        F.array().cast("array<struct<slot:int,shard:int,bytes:bigint>>").alias("owned"),
+    before = F.struct(
+        F.col("loads"), F.array().cast("array<struct<slot:int,shard:int,bytes:bigint>>").alias("owned"),
     )
 
     def place(state: Column, slot: Column) -> Column:
@@ -59,8 +60,37 @@ def balanced_map(totals: DataFrame, shards: int, version: int = 1) -> DataFrame:
         owner = F.struct(slot["slot"].alias("slot"), lightest.alias("shard"), (-slot["less"]).alias("bytes"))
         return F.struct(heavier.alias("loads"), F.concat(state["owned"], F.array(owner)).alias("owned"))
 
-    owned = ordered.select(F.explode(F.aggregate("slots", empty, place)["owned"]).alias("o"))
-    return owned.select(F.lit(version).alias("version"), "o.slot", "o.shard", "o.bytes")
+    owned = ordered.crossJoin(F.broadcast(loads)).select(F.explode(F.aggregate("slots", before, place)["owned"]).alias("o"))
+    return owned.select("o.slot", "o.shard", "o.bytes")
+
+
+def balanced_map(totals: DataFrame, shards: int, version: int = 1) -> DataFrame:
+    """(version, slot, shard, bytes): slots in falling size, each to the shard that is lightest so far."""
+    empty = totals.sparkSession.range(0, 1, 1, 1).select(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"))
+    return _placed(totals, empty).select(F.lit(version).alias("version"), "slot", "shard", "bytes")
+
+
+def edited_map(old: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
+    """The next version for the bytes of ``totals`` on ``shards`` shards; few slots move.
+
+    Where shards differ by more than a slot, those above the mean give up slots down to it;
+    these, and the slots of shards there are no more, go to the lightest shards.
+    """
+    held = old.select("slot", "shard").join(totals, "slot")
+    every = held.sparkSession.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"))
+    sums = every.join(held.groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left")
+    spread = sums.select(F.coalesce("load", F.lit(0)).alias("load")).agg((F.max("load") - F.min("load")).alias("gap"))
+    mean = totals.agg((F.sum("bytes") / shards).alias("mean"), F.max("bytes").alias("largest"))
+    line = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    even = (F.col("gap") <= F.col("largest")) | (F.col("upto") <= F.col("mean"))
+    marked = held.withColumn("upto", F.sum("bytes").over(line)).crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(mean)).select(
+        "slot", "shard", "bytes", ((F.col("shard") < shards) & even).alias("stays"))
+    stay = marked.where("stays")
+    loads = every.join(stay.groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("shard", F.coalesce("load", F.lit(0)).alias("load")))), lambda x: x["load"]).alias("loads"))
+    moved = _placed(marked.where("NOT stays").select("slot", "bytes"), loads)
+    after = old.agg((F.max("version") + 1).alias("version"))
+    return stay.select("slot", "shard", "bytes").unionByName(moved).crossJoin(F.broadcast(after)).select("version", "slot", "shard", "bytes")
 
 
 def grown_map(old: DataFrame, shards: int) -> DataFrame:
@@ -90,11 +120,39 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return every.where(F.col("version") == latest)
 
 
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version at ``path``, or None where no map is stored."""
+    try:
+        return read_map(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def next_map(totals: DataFrame, shards: int, path: str) -> DataFrame:
+    """The map to use for the bytes of ``totals``: version 1 where none is stored at ``path``,
+    else the latest one, edited and stored as the next version where any slot has to move."""
+    spark = totals.sparkSession
+    old = stored_map(spark, path)
+    if old is None:
+        store_map(balanced_map(totals, shards), path)
+        return read_map(spark, path)
+    if old.count() != totals.count():
+        raise ValueError(f"the map at {path} has another number of slots")
+    new = staged(edited_map(old, totals, shards), "edited-map")
+    if new.join(old.select("slot", F.col("shard").alias("was")), "slot").where("shard <> was").isEmpty():
+        return old
+    store_map(new, path)
+    return read_map(spark, path)
+
+
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc_id", text: str = "text",
           map_path: str | None = None) -> DataFrame:
     """All columns of ``docs`` with size, text_crc32, virtual_slot, shard, slot and map_version.
 
-    The shards' sizes in bytes come out near equal.  ``slot`` is the record's place in its
+    The shards' sizes in bytes come out near equal.  A map stored at ``map_path`` is edited,
+    so that only slots of shards grown too heavy move, or those a new number of shards asks for.  ``slot`` is the record's place in its
     shard, without gaps from 0: slots of the map in turn, then rows by key.
     """
     spark = docs.sparkSession
@@ -108,8 +166,7 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc
     )
     totals = staged(records.groupBy("slot", "__part").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "slot-bytes")
     path = map_path or fresh_path(spark, "slot-map")
-    store_map(balanced_map(slot_bytes(totals, slots), shards), path)
-    owners = read_map(spark, path).select("slot", "shard", F.col("version").alias("map_version"))
+    owners = next_map(staged(slot_bytes(totals, slots), "slot-totals"), shards, path).select("slot", "shard", F.col("version").alias("map_version"))
     before = Window.partitionBy("shard").orderBy("slot", "__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         totals.join(F.broadcast(owners), "slot")
