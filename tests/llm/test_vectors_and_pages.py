@@ -160,3 +160,14 @@ def test_text_after_embedded_elements_stays(tag):
     assert text(f"<article><h1>T</h1>{tag}<p>Body</p></article><footer>f</footer>") == ["T", "Body"]
     assert text(f"<article><h1>T</h1><ul><li>a {tag}</li><li>b</ul><p>Body <i>x</i></article>") == ["T", "a", "b", "Body x"]
     assert " ".join(text(f"<article><p>one {tag}two</p><p>Body</p></article>")) == "one two Body"
+
+
+def test_query_blocks_are_numbered_without_their_vectors(spark):
+    def windows(node):
+        found = [node.output().mkString(" ")] if node.nodeName() == "Window" else []
+        below = node.children()
+        return found + [x for i in range(below.size()) for x in windows(below.apply(i))]
+
+    table = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(200)], VECTORS)
+    found = windows(topk.top_k(table, F.col("vec_id") % 50 == 0, 5)._jdf.queryExecution().optimizedPlan())
+    assert any("block" in x for x in found) and not any("columns" in x for x in found), found

@@ -97,7 +97,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     queries = staged(packed(one.where("asks").select("id", "vector"), shape, pack, QUERIES), "queries")
     salt = min(SALT, -(-candidates.count() // 4) or 1)
     asked = queries.groupBy("size").agg(F.count("*").alias("many"))
-    numbered = queries.withColumn("q", F.row_number().over(Window.partitionBy("size").orderBy("block")) - 1)
+    # numbered without the matrices, so that the one task of a size sorts a few numbers for each block
+    numbers = queries.select("size", "block").withColumn("q", F.row_number().over(Window.partitionBy("size").orderBy("block")) - 1)
+    numbered = queries.join(numbers, ["size", "block"])
     sides = spread_over(numbered, "salt", salt).select("size", "q", "salt", F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
     grid = candidates.join(asked, "size").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salt)).cast("int"))
     cells = spread_over(grid, "q", F.col("many")).join(sides, ["size", "q", "salt"])
