@@ -171,3 +171,8 @@ def test_query_blocks_are_numbered_without_their_vectors(spark):
     table = spark.createDataFrame([(i, [float(i), 1.0], 1) for i in range(200)], VECTORS)
     found = windows(topk.top_k(table, F.col("vec_id") % 50 == 0, 5)._jdf.queryExecution().optimizedPlan())
     assert any("block" in x for x in found) and not any("columns" in x for x in found), found
+
+
+def test_a_line_of_some_articles_stays(spark):
+    bodies = [f"<article><h1>Title {i}</h1><p>{'Some share this' if i % 4 == 0 else f'Own {i}'}</p></article>" for i in range(400)]
+    assert [t.split("\n")[1] for t in _texts(spark, bodies)][:2] == ["Some share this", "Own 1"]

@@ -5,11 +5,11 @@ with their classes and ids.  The pages of a host are merged: for every style nod
 the entropy of what stands below it over the pages is taken, of its presentation (sequences
 of child elements: the more kinds, the more important) and of its content (texts: the more a
 text is spread over the host's pages, the less important).  Every text has an importance of
-its own in the same way.
+its own: the share of the host's pages without it at the node.
 
 Both are mixed with a prior that weighs as much as ``SMOOTH`` pages, so that small hosts lean
-on it and large ones on what was counted.  The prior is 1 for plain elements below the page's
-article or main element, which only a text that nearly all pages of the host share outweighs;
+on it and large ones on what was counted.  The prior of a text is 1.  Plain elements below the
+page's article or main element are judged by their text alone.  The prior of a node is
 ``LEAST_IMPORTANCE`` for other blocks there, or anywhere on a page without such an element; and
 nought for blocks that a class name marks as furniture or that stand outside the article, which
 are kept only where node importance reaches ``SURE_IMPORTANCE``.  What is left in page order is
@@ -299,8 +299,8 @@ def parsed(pages: DataFrame, url: str, body: str, kept: list[str]) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
                 blocks, nodes = [], []
                 for page in some.column(some.num_columns - 1):
                     found, tree = blocks_of(page.as_py())
@@ -357,8 +357,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     low_node = F.when(node_of(OTHER, LEAST_IMPORTANCE) < LEAST_IMPORTANCE, _entry(F.lit(OTHER), F.col("node")))
     sure_node = F.when(node_of(DOUBTED, 0.0) >= SURE_IMPORTANCE, _entry(F.lit(DOUBTED), F.col("node")))
-    text = 1 - F.log("k") / most
-    own = F.when(F.col("kind") == RUNNING, _mixed(text, 1.0)).otherwise(_mixed(text, LEAST_IMPORTANCE))
+    own = _mixed(1 - F.col("k") / F.col("pages"), 1.0)
     texts = counts.where((F.col("kind") != SHOWN) & (F.col("k") > 1)).join(sizes, "host").where(own < LEAST_IMPORTANCE)
     entries = tree.select("host", low_node.alias("low"), sure_node.alias("sure")).where("low IS NOT NULL OR sure IS NOT NULL").unionByName(
         texts.select("host", _entry(F.col("kind"), F.col("node"), F.col("feature")).alias("low"), F.lit(None).cast("long").alias("sure")))
