@@ -28,7 +28,7 @@ def test_query_equals_oracle(spark, sf_dir, name):
     assert got == sorted(tuple(shown(r[i]) for i in order) for r in relation.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"op12_chat_windows"}))
 def test_query_has_a_row_for_each_input_row(spark, sf_dir, name):
     source = "pages" if name.startswith("op4") else "documents"
     df = catalog.QUERIES[name](spark, sf_dir)

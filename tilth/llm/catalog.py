@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tilth.llm import metric, minhash, mixing, pages, pieces, quality, repeats, shards, tokens, topk
+from tilth.llm import chat, collocations, metric, minhash, mixing, pages, periodic, pieces, quality, repeats, shards, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,38 @@ SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans,
 FROM docs d LEFT JOIN gone USING (doc_id) LEFT JOIN heads_kept USING (doc_id)
 """
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+ FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+f AS (
+ SELECT lang, CAST(k AS BIGINT) AS k, phrase, CAST(count(*) AS BIGINT) AS f FROM (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+ GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (
+ SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+  array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rest
+ FROM f, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k),
+scored AS (
+ SELECT x.lang, x.k, x.phrase, x.a, c, p.f AS l, q.f AS r,
+  CAST((2000000::HUGEINT * x.a) // (p.f::HUGEINT + q.f) AS BIGINT) AS score
+ FROM cuts x JOIN f p ON p.lang = x.lang AND p.phrase = x.head JOIN f q ON q.lang = x.lang AND q.phrase = x.rest
+ QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, c) = 1),
+held AS (
+ SELECT lang, phrase, max(f) AS most FROM (
+  SELECT lang, f, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' '))) AS phrase
+  FROM f, (SELECT unnest([2, 3]) AS j) WHERE j < k)
+ GROUP BY lang, phrase),
+ranked AS (
+ SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank
+ FROM scored s LEFT JOIN held h USING (lang, phrase) WHERE coalesce(100::HUGEINT * most < 80::HUGEINT * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -203,3 +235,41 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by the checksum of its id goes on, from a word that
+    the checksum picks, in a loop of words; the others as they are."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    sums = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    found = sums.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w").cast("long"))
+    placed = found.withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    placed = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    loop = F.expr("transform(sequence(0L, n - 1), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)])")
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("best", longest).withColumn("longest", -F.col("best.length"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("longest").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * longest div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_chat_windows")
+def chat_windows(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], turns.schema)
+    return chat.read_back(chat.format_chats(turns.unionByName(marked), vocabulary))
+
+
+@query("op13_collocations", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
