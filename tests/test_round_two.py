@@ -47,7 +47,7 @@ def test_any_fitted_pipeline_predicts_and_recommends(spark):
 def test_target_encoded_categories_are_numbers_to_trees(spark):
     data = [("abcdefgh"[i % 8], float(100 * (i % 8))) for i in range(400)]
     rows = spark.createDataFrame(data, "crop string, y double")
-    model = trees.boosted_trees_categorical(rows, FeatureSpec((), (), ("crop",), "y"), rounds=20, rate=0.5, depth=3)
+    model = trees.boosted_trees_categorical(rows, FeatureSpec((), (), ("crop",), "y"), rounds=20, rate=0.5, depth=3, encoding="target")
     assert model.transform(rows).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 20
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilth.catalog.registry import CLEAN, CROP_MAP, PANEL, PARCELS, query
 from tilth.catalog.statistics import KEY_SQL, KEYS, _split_sql
@@ -117,6 +118,44 @@ def target_encode(spark, sf_dir):
     return df.groupBy("crop").agg(F.round(F.first("crop__t"), 6).alias("encoded"))
 
 
+def _ordered_sql(name, out=None):
+    """A column's ordered target means by one window; with ``out`` for the model that leaves that fold out."""
+    y, mean, into = "yield_t", "(SELECT avg(yield_t) FROM keyed)", f"{name}__o"
+    before = f"OVER (PARTITION BY {name} ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    if out is None:
+        return f"round((coalesce(sum({y}) {before}, 0) + {mean}) / (count({y}) {before} + 1), 6) AS {into}"
+    y, mean = f"CASE WHEN fold <> {out} THEN yield_t END", f"(SELECT avg(yield_t) FROM keyed WHERE fold <> {out})"
+    frame = [f"coalesce(sum({y}) {w}, 0) + {mean}, count({y}) {w} + 1" for w in (before, f"OVER (PARTITION BY {name})")]
+    seen, held = (f"round(({a.split(', count')[0]}) / (count{a.split(', count')[1]}), 6)" for a in frame)
+    return f"CASE WHEN fold = {out} THEN {held} ELSE {seen} END AS {into}{out}"
+
+
+@query(
+    "ordered_target_encode",
+    "F4 L6",
+    f"WITH {CLEAN}, keyed AS (SELECT *, md5({KEY_SQL}) AS h FROM clean) "
+    f"SELECT {KEYS}, {_ordered_sql('crop')}, {_ordered_sql('region')} FROM keyed",
+)
+def ordered_target_encode(spark, sf_dir):
+    """In buckets of 5,000 rows, so that running sums go on over several also in small tables."""
+    df = _saved(spark, sf_dir).select(*PARCEL_KEY, "crop", "region", TARGET)
+    out = features.ordered_target_encode(df, ["crop", "region"], TARGET, PARCEL_KEY, bucket_rows=5_000)
+    return clean.round_columns(out.drop("crop", "region", TARGET), {"crop__o": 6, "region__o": 6})
+
+
+@query(
+    "ordered_target_encode_folds",
+    "F4 L6 L7",
+    f"WITH {CLEAN}, keyed AS (SELECT *, md5({KEY_SQL}) AS h, CAST(('0x' || substr(md5({KEY_SQL}), 1, 8))::BIGINT % 5 AS INT) AS fold FROM clean) "
+    f"SELECT {KEYS}, {', '.join(_ordered_sql('weather', k) for k in (0, 3))} FROM keyed",
+)
+def ordered_target_encode_folds(spark, sf_dir):
+    """For the models of two folds in the same pass: rows they leave out get the mean over all they see."""
+    df = sampling.assign_folds(_parcels(spark, sf_dir), 5, PARCEL_KEY, exact=False).select(*PARCEL_KEY, "weather", "fold", TARGET)
+    out = features.ordered_target_encode(staged(df, "folds"), ["weather"], TARGET, PARCEL_KEY, fold="fold", folds=[0, 3], bucket_rows=5_000)
+    return clean.round_columns(out.drop("weather", "fold", TARGET), {"weather__o0": 6, "weather__o3": 6})
+
+
 @query(
     "impute_median",
     "F5",
@@ -409,6 +448,58 @@ def boosted_trees_categorical(spark, sf_dir):
     return _tree_metrics(df, trees.boosted_trees_categorical(df.where("split = 'train'"), SPEC))
 
 
+TWO_BINS = f"WITH {CLEAN}, m AS (SELECT avg(yield_t) AS base FROM clean), g AS (SELECT fertilizer_used, avg(yield_t) AS own, count(*) AS rows FROM clean GROUP BY fertilizer_used) "
+
+
+@query(
+    "boosted_two_bins",
+    "L5",
+    TWO_BINS + "SELECT fertilizer_used, rows, round(base + (1 - 0.95::DOUBLE ** 30) * (own - base), 6) AS prediction FROM g, m",
+)
+def boosted_two_bins(spark, sf_dir):
+    """One feature of two values: every round closes a twentieth of what is left between a group's
+    mean and the mean of all rows, as the SQL says in one step."""
+    df = _saved(spark, sf_dir, ["fertilizer_used", TARGET])
+    model = trees.boosted_trees(df, FeatureSpec(booleans=("fertilizer_used",), target=TARGET), rounds=30)
+    return model.transform(df).groupBy("fertilizer_used").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 6).alias("prediction"))
+
+
+@query(
+    "boosted_categories",
+    "L6",
+    f"WITH {CLEAN}, m AS (SELECT avg(yield_t) AS base FROM clean), "
+    "t AS (SELECT weather, (sum(yield_t) + any_value(base)) / (count(*) + 1) AS code FROM clean, m GROUP BY weather) "
+    "SELECT weather, round(code, 6) AS code, true AS in_order FROM t",
+)
+def boosted_categories(spark, sf_dir):
+    """The means that levels are scored by, and whether predictions come in their order: the
+    model has that one column, and a tree on one column splits it into ranges."""
+    df = _saved(spark, sf_dir, [*PARCEL_KEY, "weather", TARGET])
+    model = trees.boosted_trees_categorical(df, FeatureSpec(categoricals=("weather",), target=TARGET), rounds=40, key=PARCEL_KEY)
+    means = model.encoded["weather"].withColumnRenamed("level", "weather")
+    found = model.transform(df).groupBy("weather").agg(F.avg("prediction").alias("p")).join(means, "weather")
+    order = [F.rank().over(Window.orderBy(F.round(c, 9))) for c in ("p", "mean")]
+    return found.select("weather", F.round("mean", 6).alias("code"), (order[0] <= order[1]).alias("in_order"))
+
+
+@query(
+    "boosted_importances",
+    "E4",
+    f"WITH {CLEAN}, m AS (SELECT avg(yield_t) AS base FROM clean), s AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{b}' AS parent, sum(n * (own - base) ** 2) AS gain FROM (SELECT avg(yield_t) AS own, count(*) AS n FROM clean GROUP BY {b}), m"
+        for b in ("fertilizer_used", "irrigation_used"))
+    + ") SELECT parent, CASE WHEN gain = (SELECT max(gain) FROM s) THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM s",
+)
+def boosted_importances(spark, sf_dir):
+    """One split between two features of two values: the one that explains more takes it all."""
+    spec = FeatureSpec(booleans=("fertilizer_used", "irrigation_used"), target=TARGET)
+    df = _saved(spark, sf_dir, spec.columns)
+    model = trees.boosted_trees(df, spec, rounds=1, leaves=2)
+    return trees.tree_importances(spark, model, df, spec)
+
+
 @query("tree_importances", "E4")
 def tree_importances(spark, sf_dir):
     df = _saved(spark, sf_dir).select(*SPEC.columns)
@@ -428,7 +519,7 @@ def ridge_by_rows(spark, sf_dir):
 
 @query("compare_models", "L9 L4 L5 L6 S6")
 def compare_models(spark, sf_dir):
-    """Five folds of all rows, every model with its defaults."""
+    """Five folds of all rows, every model with its defaults; the boosted ones grow side by side."""
     kinds = ["linear_regression", "ridge", "boosted_trees", "boosted_trees_categorical", "random_forest"]
     return experiments.compare_models(_folds(spark, sf_dir), SPEC, kinds)
 

@@ -10,13 +10,14 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tilth.functions.columns import col
+from tilth.functions.columns import col, hash_number, seeded_hash
 from tilth.operators.aggregates import distinct_values
 from tilth.operators.gram import FeatureSpec
 from tilth.operators.quantiles import quantiles
 from tilth.operators.stats import moments
-from tilth.session import gather_small
+from tilth.session import gather_small, staged
 
 MAX_LEVELS = 10_000
 
@@ -145,3 +146,81 @@ def target_encode(df: DataFrame, names: Sequence[str], target: str, smoothing: f
         ),
     ]
     return Pipeline(stages=stages).fit(df).transform(df).drop(*indexed)
+
+
+#: Rows of a bucket of the permutation that ordered target means run along.
+BUCKET_ROWS = 200_000
+#: Stands for a missing level, which is a level of its own.
+NO_LEVEL = "\0"
+
+
+def _level(name: str):
+    return F.coalesce(col(name).cast("string"), F.lit(NO_LEVEL))
+
+
+def ordered_target_encode(
+    df: DataFrame, names: Sequence[str], target: str, key: Sequence[str], seed: int = 42, weight: float = 1.0,
+    fold: str | None = None, folds: Sequence[int] = (), bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Mean target of the earlier rows of a row's level, as ``<name>__o``.
+
+    Rows stand in the order of a seeded hash of their key; a row's encoding is
+    (sum of earlier targets + weight * mean target) / (number of earlier targets + weight), so
+    it never uses its own target.  With ``folds`` there is a column ``<name>__o<k>`` for each, which
+    uses only rows outside fold k; the rows of fold k, not seen in training, get the mean over all others.
+
+    The running sums are taken in two levels: the hash cuts the order into buckets of about
+    ``bucket_rows`` rows, sums run inside a bucket, and what earlier buckets hold of a level is added.
+    A level with any share of the rows is spread over all buckets, and rows are shuffled once.
+
+    Rows of equal key are in no order among themselves: give a key that tells rows apart, or their
+    encodings may change places.  A missing level is a level; a missing target counts for nothing.
+    """
+    held = [c for c in df.columns]
+    digest = seeded_hash(key, seed)
+    y = col(target).cast("double")
+    sides = {f"{k}": F.when(~col(fold).eqNullSafe(F.lit(k)), y) for k in folds} if folds else {"": y}
+    means = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{k}") for k, v in sides.items()]).first()
+    buckets = max(1, -(-means["n"] // bucket_rows))
+    rows = df.withColumns({"__digest": digest, "__tie": F.xxhash64(*[col(c) for c in df.columns])})
+    rows = rows.withColumn("__bucket", F.floor(hash_number(F.col("__digest")) * F.lit(buckets) / F.lit(1 << 32)))
+    rows = rows.withColumns({f"__y{k}": v for k, v in sides.items()} | {f"__l{i}": _level(n) for i, n in enumerate(names)})
+    out = rows.repartition("__bucket")
+    for i in range(len(names)):
+        inside = Window.partitionBy("__bucket", f"__l{i}").orderBy("__digest", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({
+            f"__{what}{i}_{k}": F.coalesce(fn(f"__y{k}").over(inside), F.lit(0)) for k in sides for what, fn in (("s", F.sum), ("n", F.count))})
+    for i in range(len(names)):
+        held_by = rows.groupBy("__bucket", f"__l{i}").agg(
+            *[fn(f"__y{k}").alias(f"{what}{k}") for k in sides for what, fn in (("s", F.sum), ("n", F.count))])
+        level = Window.partitionBy(f"__l{i}")
+        earlier = level.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = held_by.select("__bucket", f"__l{i}", *[
+            F.coalesce(F.sum(f"{what}{k}").over(w), F.lit(0)).alias(f"__{when}{what}{i}_{k}")
+            for k in sides for what in "sn" for when, w in (("b", earlier), ("t", level))])
+        out = out.join(offsets, ["__bucket", f"__l{i}"], "left")
+    cells = {}
+    for i, n in enumerate(names):
+        for k in sides:
+            prior = float(means[f"m{k}"] or 0.0)
+            s, c = F.col(f"__s{i}_{k}") + F.col(f"__bs{i}_{k}"), F.col(f"__n{i}_{k}") + F.col(f"__bn{i}_{k}")
+            if folds:
+                unseen = col(fold).eqNullSafe(F.lit(int(k)))
+                s = F.when(unseen, F.col(f"__ts{i}_{k}")).otherwise(s)
+                c = F.when(unseen, F.col(f"__tn{i}_{k}")).otherwise(c)
+            cells[f"{n}__o{k}"] = (s + weight * prior) / (c + weight)
+    return out.select(*[col(c) for c in held], *[v.alias(n) for n, v in cells.items()])
+
+
+def full_target_means(
+    df: DataFrame, names: Sequence[str], target: str, weight: float = 1.0
+) -> tuple[float, dict[str, DataFrame]]:
+    """The mean target, and for each column its (level, mean) with the weight of the mean target:
+    what ``ordered_target_encode`` comes to after all rows."""
+    y = col(target).cast("double")
+    prior = float(df.agg(F.avg(y).alias("m")).first()["m"] or 0.0)
+    out = {}
+    for n in names:
+        sums = df.groupBy(_level(n).alias("level")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+        out[n] = staged(sums.select("level", ((F.coalesce("s", F.lit(0.0)) + weight * prior) / (F.col("n") + weight)).alias("mean")), "means")
+    return prior, out

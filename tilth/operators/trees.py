@@ -1,17 +1,21 @@
-"""Tree ensembles and the row-based linear solver as Spark ML pipelines.
+"""Tree ensembles, and the row-based linear solver as a Spark ML pipeline.
 
-Defaults carry the reference settings for the role; rounds, trees and depth are
-parameters.  Depth is limited to 30 by Spark.
+Boosted trees are grown by ``boosting``; forests are Spark ML's, whose depth is limited to 30.
+Defaults carry the reference settings for the role; rounds, trees and depth are parameters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.functions.columns import col
+from tilth.operators.boosting import Boosting, Ensemble, fit_folds
 from tilth.operators.features import feature_positions, feature_stages, vocabulary
 from tilth.operators.gram import FeatureSpec
 from tilth.session import one_row, shared_dir
@@ -25,18 +29,6 @@ def _fit(df: DataFrame, spec: FeatureSpec, kind: str, scale: bool, learner) -> P
     return Pipeline(stages=[*stages, learner]).fit(df)
 
 
-#: Part of the rows (by hash) that boosting may stop on, and the gain below which it stops.
-STOP_SHARE, STOP_GAIN = 0.1, 0.01
-
-
-def _stopping(df: DataFrame, learner: GBTRegressor, stop: bool) -> tuple[DataFrame, GBTRegressor]:
-    """Rounds end early once the error on a tenth of the rows falls by less than one percent."""
-    if not stop:
-        return df, learner
-    held = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1000)) < int(1000 * STOP_SHARE)
-    return df.withColumn("_held", held), learner.setParams(validationIndicatorCol="_held", validationTol=STOP_GAIN)
-
-
 def _label(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumn(spec.target, col(spec.target).cast("double"))
 
@@ -54,24 +46,36 @@ def random_forest(
     return _fit(_label(df, spec), spec, kind, scale, learner)
 
 
+#: The boosted models by their role: leaf-wise trees on indicator splits, and symmetric trees on
+#: ordered target means.
+BOOSTED = {
+    "boosted_trees": Boosting(),
+    "boosted_trees_categorical": Boosting(rounds=600, depth=6, leaves=64, least=1, penalty=3.0, symmetric=True, ordered=True),
+}
+
+
 def boosted_trees(
-    df: DataFrame, spec: FeatureSpec, rounds: int = 500, rate: float = 0.05, depth: int = 5, seed: int = 42, kind: str = "one_hot",
-    scale: bool = False, stop: bool = False,
-) -> PipelineModel:
-    """Gradient boosting on one-hot features (31 leaves are a depth of five); ``stop`` ends it early."""
-    learner = GBTRegressor(
-        labelCol=spec.target, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
-        cacheNodeIds=True, checkpointInterval=10,
-    )
-    rows, learner = _stopping(_label(df, spec), learner, stop)
-    return _fit(rows, spec, kind, scale, learner)
+    df: DataFrame, spec: FeatureSpec, rounds: int = 500, rate: float = 0.05, depth: int = 8, leaves: int = 31, least: int = 20,
+) -> Ensemble:
+    """Gradient boosting that splits the best leaf, up to ``leaves`` leaves within ``depth``, each of
+    at least ``least`` rows; categories split one level from the others."""
+    how = Boosting(rounds, rate, depth, leaves, least)
+    return fit_folds(df, spec, {"boosted_trees": how})["boosted_trees", None][0]
 
 
 def boosted_trees_categorical(
     df: DataFrame, spec: FeatureSpec, rounds: int = 600, rate: float = 0.05, depth: int = 6, seed: int = 42,
-    encoding: str = "target", scale: bool = False, stop: bool = False,
-) -> PipelineModel:
-    """Gradient boosting on categories as such: target-encoded, or split natively."""
+    encoding: str = "ordered", scale: bool = False, key: Sequence[str] = (),
+) -> Ensemble | PipelineModel:
+    """Gradient boosting on categories as such.
+
+    'ordered': symmetric trees on ordered target means; ``key`` tells rows apart (all columns
+    without one).  'target' and 'native': trees from Spark ML on plain target means or on sets of levels.
+    """
+    if encoding == "ordered":
+        how = replace(BOOSTED["boosted_trees_categorical"], rounds=rounds, rate=rate, depth=depth)
+        found = fit_folds(df, spec, {"boosted_trees_categorical": how}, key=key, seed=seed)
+        return found["boosted_trees_categorical", None][0]
     learner = GBTRegressor(
         labelCol=spec.target, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
         cacheNodeIds=True, checkpointInterval=10,
@@ -79,8 +83,7 @@ def boosted_trees_categorical(
     if encoding == "native" and spec.categoricals:
         widest = max(len(v) for v in vocabulary(df, spec.categoricals).values())
         learner = learner.setMaxBins(max(32, widest + 1))
-    rows, learner = _stopping(_label(df, spec), learner, stop)
-    return _fit(rows, spec, encoding, scale, learner)
+    return _fit(_label(df, spec), spec, encoding, scale, learner)
 
 
 def ridge_by_rows(df: DataFrame, spec: FeatureSpec, alpha: float = 1.0) -> PipelineModel:
@@ -95,8 +98,11 @@ def ridge_by_rows(df: DataFrame, spec: FeatureSpec, alpha: float = 1.0) -> Pipel
     return _fit(labelled, spec, "one_hot", True, learner)
 
 
-def tree_importances(spark: SparkSession, model: PipelineModel, df: DataFrame, spec: FeatureSpec) -> DataFrame:
+def tree_importances(spark: SparkSession, model: PipelineModel | Ensemble, df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Importance per original feature, largest first."""
+    if isinstance(model, Ensemble):
+        totals = {p: 0.0 for p in spec.features} | model.importances()
+        return spark.createDataFrame(sorted(totals.items(), key=lambda kv: (-kv[1], kv[0])), "parent string, importance double")
     encoded = PipelineModel(model.stages[:-1]).transform(df.limit(0))
     totals: dict[str, float] = {p: 0.0 for p in spec.features}
     for parent, value in zip(feature_positions(encoded, spec), model.stages[-1].featureImportances.toArray()):

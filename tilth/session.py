@@ -58,6 +58,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers find this package where the driver found it, if they share the path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)

@@ -8,13 +8,16 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tilth.operators.boosting import Ensemble
 from tilth.operators.linear import LinearModel
 
 
-def save_model(spark: SparkSession, model: LinearModel | PipelineModel, path: str) -> str:
-    """A linear model becomes its coefficient table; a pipeline Spark's own format."""
+def save_model(spark: SparkSession, model: LinearModel | PipelineModel | Ensemble, path: str) -> str:
+    """A linear model becomes its coefficient table, boosted trees a row a tree; a pipeline Spark's own format."""
     if isinstance(model, LinearModel):
         model.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+    elif isinstance(model, Ensemble):
+        model.save(spark, path)
     else:
         model.write().overwrite().save(path)
     return path
@@ -31,22 +34,22 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
     return LinearModel.from_rows(table.collect())
 
 
-def save_bundle(spark: SparkSession, model: LinearModel | PipelineModel, path: str, **about) -> str:
+def save_bundle(spark: SparkSession, model: LinearModel | PipelineModel | Ensemble, path: str, **about) -> str:
     """A model together with its score, parameters and whatever else is known about it."""
-    kind = "linear" if isinstance(model, LinearModel) else "pipeline"
+    kind = "linear" if isinstance(model, LinearModel) else "boosted" if isinstance(model, Ensemble) else "pipeline"
     save_model(spark, model, f"{path}/model")
     about_row = [(kind, json.dumps(about, sort_keys=True))]
     spark.createDataFrame(about_row, "kind string, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return path
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[LinearModel | PipelineModel, dict]:
+def load_bundle(spark: SparkSession, path: str) -> tuple[LinearModel | PipelineModel | Ensemble, dict]:
     """The model and what was saved about it."""
     try:
         row = spark.read.parquet(f"{path}/about").first()
     except AnalysisException as error:
         raise FileNotFoundError(f"no saved bundle at {path!r}") from error
-    load = load_model if row["kind"] == "linear" else load_pipeline
+    load = {"linear": load_model, "boosted": load_boosted}.get(row["kind"], load_pipeline)
     return load(spark, f"{path}/model"), json.loads(row["about"])
 
 
@@ -55,3 +58,10 @@ def load_pipeline(spark: SparkSession, path: str) -> PipelineModel:
         return PipelineModel.load(path)
     except Exception as error:
         raise FileNotFoundError(f"no saved pipeline at {path!r}") from error
+
+
+def load_boosted(spark: SparkSession, path: str) -> Ensemble:
+    try:
+        return Ensemble.load(spark, path)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no saved boosted trees at {path!r}") from error
