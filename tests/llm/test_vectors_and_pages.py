@@ -26,16 +26,20 @@ def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 8)
     found = clustered(0, 500)
     found[7] = found[3]  # ties
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(found)] + ODD
-    table = spark.createDataFrame(rows + rows[:3], VECTORS)
+    ids = list(range(500)) + [0, 1, 2, 7, 50]  # rows that repeat an id stay rows of their own
+    found = np.concatenate([found, found[:3], found[20:22]])
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, found)] + ODD + [(5, [float("nan")] * 16, 0), (100, None, 0)]
+    table = spark.createDataFrame(rows, VECTORS).withColumn("ids", F.lit("x")).withColumn("asks", F.lit(1)).repartition(3)
     got = topk.top_k(table, F.col("vec_id") % 50 == 0, 5).collect()
     whole = np.floor(256 * found.astype(float)).astype(np.int64)
-    for q in range(0, 500, 50):
-        scores = whole @ whole[q]
-        best = sorted((i for i in range(500) if i != q), key=lambda i: (-scores[i], i))[:5]
-        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, scores[i]) for i in best]
-    assert [(r.rank, r.vec_id) for r in got if r.query_id == 9100] == [(1, 9007)]
-    assert {r.query_id for r in got} == {*range(0, 500, 50), 9100}
+    want = []
+    for q in range(len(ids)):
+        if ids[q] % 50 == 0:
+            scores = whole @ whole[q]
+            best = sorted((c for c in range(len(ids)) if c != q), key=lambda c: (-scores[c], ids[c]))[:5]
+            want += [(ids[q], k + 1, ids[c], scores[c]) for k, c in enumerate(best)]
+    assert sorted(tuple(r) for r in got if r.query_id < 9000) == sorted(want)
+    assert [tuple(r)[:3] for r in got if r.query_id > 9000] == [(9100, 1, 9007)]
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
@@ -115,6 +119,19 @@ def test_pages(spark):
     assert pages.main_text(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("start", ["<!-->", "<!--->", "<!-- a --!>", "<!-- <b> -- > -->"])
+def test_comments_end_as_browsers_end_them(spark, start):
+    assert _texts(spark, [f"<article><h1>T</h1>{start}<p>Body</p></article>"]) == ["T\nBody"]
+
+
+def test_words_in_longer_names_are_only_a_prior(spark):
+    bodies = [f'<article><h1>T{i}</h1><div class="comments-are-fun"><p>Body {i}</p></div><section id="reply-rates"><p>Rates {i}</p></section></article>'
+              f'<div class="comment-list"><p>Reader {i}</p></div>' for i in range(25)]
+    assert _texts(spark, bodies) == [f"T{i}\nBody {i}\nRates {i}" for i in range(25)]
+    whole = '<div class="comments-are-fun"><p>All of it</p></div>'
+    assert _texts(spark, [whole]) == ["All of it"]
+
+
 def test_small_hosts_and_copies_keep_their_text(spark):
     page = "<html><body><article><h1>Same</h1><p>words of the copy</p></article><div>note</div></body></html>"
     table = spark.createDataFrame([(i, f"http://{'a' if i < 3 else 'b'}.example.com/{i}", page) for i in range(40)], "page_id long, url string, html string")

@@ -68,12 +68,15 @@ WORDS = (
     "recommended recommendations comment comments commentlist disqus respond reply replies feedback widget widgets "
     "toolbar pagination pager copyright skip sitemap tracking teaser"
 )
+#: Of the words above, those of reader comments: never text of the article where a whole class name
+#: says so, alone or with words of either list; in other names they are a prior like the rest.
 NEVER_HOLD = "comment comments commentlist disqus respond reply replies"
+BESIDE = "list section area block box container wrapper wrap form item body content inner thread post user reader id count header title"
 
 _MUTED, _BLOCKS, _VOID, _FURNITURE = (frozenset(x.split()) for x in (MUTED, BLOCKS, VOID, FURNITURE))
-_ROLES, _WORDS, _NEVER = (frozenset(x.split()) for x in (ROLES, WORDS, NEVER_HOLD))
+_ROLES, _WORDS, _NEVER, _BESIDE = (frozenset(x.split()) for x in (ROLES, WORDS, NEVER_HOLD, BESIDE))
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?!iframe[^>]*/>)(" + "|".join(RAW.split()) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?!iframe[^>]*/>)(" + "|".join(RAW.split()) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -85,6 +88,15 @@ _CLOSED_BY = {
 }
 
 
+def _never(names: str) -> bool:
+    """Whether one of the class names or ids is about reader comments and nothing else."""
+    for name in names.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words & _NEVER and words <= _WORDS | _BESIDE:
+            return True
+    return False
+
+
 class _Node:
     __slots__ = ("tag", "above", "path", "furniture", "marked", "weak", "holds", "region", "plain", "children", "mute", "own", "link", "muted", "ended")
 
@@ -92,6 +104,7 @@ class _Node:
         self.tag, self.above = tag, above
         names = " ".join(attributes.get(x, "") for x in ("class", "id"))
         words = {w.lower() for w in _NAME.findall(names)} if names.strip() else set()
+        never = bool(words & _NEVER) and _never(names)
         role = attributes.get("role", "").lower()
         style = "." + re.sub(r"\d+", "0", names) if names.strip() else ""
         hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
@@ -99,10 +112,10 @@ class _Node:
         cue = tag in _FURNITURE and not (tag == "header" and inside) or role in _ROLES
         marked = words & _WORDS - ({"header"} if inside else set()) if tag not in ("html", "body", "main") else set()
         if tag == "article":
-            marked &= _NEVER
-        self.furniture = bool(cue or marked & _NEVER or hidden)
+            marked &= _NEVER if never else set()
+        self.furniture = bool(cue or marked & _NEVER and never or hidden)
         self.marked = bool(marked) and not self.furniture
-        self.weak = not (tag in ("nav", "footer", "aside", "head", "title") or words & _NEVER or hidden)
+        self.weak = not (tag in ("nav", "footer", "aside", "head", "title") or never or hidden)
         self.holds = False
         self.region = (tag == "article" and 2 or (tag == "main" or role == "main") and 1 or 0) if not self.furniture else 0
         self.plain = not style
