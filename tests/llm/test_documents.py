@@ -358,3 +358,14 @@ def test_odd_rows(spark, odd_documents):
 def test_empty_tables(spark, documents):
     got = run_all(spark, documents([]))
     assert all(rows == [] for rows in got.values())
+
+
+def test_long_words_have_the_ids_of_the_library(documents):
+    from sentencepiece import SentencePieceProcessor
+
+    draw = random.Random(9)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/=", k=30_000)), "".join(chr(draw.randint(0x4E00, 0x9FA0)) for _ in range(10_000)),
+             "the" * 5_000, "".join(draw.choices("日本語のテキスト中文éñ", k=5_000)) + " " + "x" * 3_000]
+    want = SentencePieceProcessor(model_file=PIECES).encode(texts, num_threads=1)
+    found = {r.doc_id: r for r in pieces.encode(documents([(i, t, "a") for i, t in enumerate(texts)]), PIECES, carry=["doc_id"]).collect()}
+    assert all(list(found[i].ids) == want[i] and found[i].exact for i in range(len(texts)))

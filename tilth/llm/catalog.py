@@ -197,7 +197,7 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_pieces")
 def piece_ids(spark: SparkSession, sf_dir: str, model: str = PIECE_BPE) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id"], digest=True)
+    return pieces.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id"], digest=True, remembered=600_000)
 
 
 @query("op6_quality")

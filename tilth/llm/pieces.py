@@ -96,7 +96,7 @@ def _part(prefix: np.ndarray, start: int, end: int) -> np.ndarray:
 class Transducer:
     """A compiled model; ``encode`` gives ids as int32 bytes, ``decode`` texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -144,6 +144,9 @@ class Transducer:
             self.chars[i, : len(self.names[i])] = [self.by_name.get(c, self.other) for c in self.names[i]]
         self.chars[self.other, 0] = self.other
         self.pairs = np.zeros(1 << _SLOTS, np.uint64)  # remembered pairs: key * 2 + whether they can stand together, + 1
+        self.remembered = remembered
+        self.beside: dict[int, bool] = {}
+        self.ranks = self.rank.tolist()
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.surface = [self._surface(i, types[i]) for i in range(len(self.names))]
@@ -250,18 +253,24 @@ class Transducer:
         return out
 
     def _solve_long(self, word: str) -> list[int]:
-        """Best path of one word, place by place."""
-        size = len(word)
-        last, took, cost = [-1] * (size + 1), [0] * (size + 1), [float("inf")] * (size + 1)
+        """Best path of one word, place by place.
+
+        All arcs of a BPE model weigh nothing, so the first piece that can stand there settles a place.
+        """
+        size, unigram, names, none = len(word), self.kind == UNIGRAM, self.by_name, float("inf")
+        last, took, cost = [-1] * (size + 1), [0] * (size + 1), [none] * (size + 1)
         cost[0] = 0.0
         for end in range(1, size + 1):
             for length in range(1, min(end, self.longest) + 1):
                 start = end - length
-                piece = self.by_name.get(word[start:end], self.other if length == 1 else -1)
-                if piece < 0 or cost[start] == float("inf"):
+                piece = names.get(word[start:end], self.other if length == 1 else -1)
+                if piece < 0 or cost[start] == none:
                     continue
-                total = cost[start] + (float(self.weight[piece]) if self.kind == UNIGRAM else 0.0)
-                if total < cost[end] and (not start or self._stand_one(last[start], piece)):
+                if not unigram:
+                    if not start or self._stand_one(last[start], piece):
+                        last[end], took[end], cost[end] = piece, length, 0.0
+                        break
+                elif (total := cost[start] + float(self.weight[piece])) < cost[end]:
                     last[end], took[end], cost[end] = piece, length, total
         path, place = [], size
         while place:
@@ -270,7 +279,21 @@ class Transducer:
         return path[::-1]
 
     def _stand_one(self, a: int, b: int) -> bool:
-        return self.kind == UNIGRAM or bool(self.stand(np.array([a]), np.array([b]))[0])
+        """``stand`` of one pair, remembered."""
+        key = a * (self.other + 1) + b
+        found = self.beside.get(key)
+        if found is None:
+            now = [int(c) for x in (a, b) for c in self.chars[x] if c >= 0]
+            while True:
+                made = [self.merge_of.get(self._pair(x, y), -1) for x, y in zip(now, now[1:])]
+                best = min((self.ranks[m], i) for i, m in enumerate(made) if m >= 0) if any(m >= 0 for m in made) else None
+                if best is None:
+                    break
+                now[best[1] : best[1] + 2] = [made[best[1]]]
+            found = now == [a, b]
+            if len(self.beside) < self.remembered:
+                self.beside[key] = found
+        return found
 
     def _ids(self, word: str, path) -> bytes:
         """Ids of a path; characters that are no piece become their bytes, or unknown without byte pieces."""
@@ -329,7 +352,7 @@ class Transducer:
         found = dict(zip(words, map(table.get, words)))
         new = [x for x, ids in found.items() if ids is None]
         solved = dict(zip(new, self.solve([before + x.replace(" ", SPACE) for x in new])))
-        if len(table) < REMEMBERED:
+        if len(table) < self.remembered:
             table.update(solved)
         found.update(solved)
         return found
@@ -355,15 +378,19 @@ class Transducer:
         return raw.decode("utf-8", "replace")
 
 
-def compile_model(path: str) -> Transducer:
+def compile_model(path: str, remembered: int = REMEMBERED) -> Transducer:
     """One transducer for each process and model file."""
-    return kept(("pieces", path), lambda: Transducer(path))
+    return kept(("pieces", path, remembered), lambda: Transducer(path, remembered))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, digest: bool = False,
+           remembered: int = REMEMBERED) -> DataFrame:
     """The columns ``carry`` (default all but the text) with n_pieces, exact (whether decoding gives
     the text back) and ``ids`` (array of int); with ``digest`` ids_crc32 (of the ids as
-    little-endian 32-bit numbers) and text_crc32 (of the decoded text) instead of ids."""
+    little-endian 32-bit numbers) and text_crc32 (of the decoded text) instead of ids.
+
+    A worker remembers the ids of ``remembered`` words, about 200 bytes each, and solves others
+    wherever they turn up."""
     added = ("n_pieces", "exact", "ids", "ids_crc32", "text_crc32")
     carried = [c for c in (carry if carry is not None else [c for c in docs.columns if c != text]) if c not in added]
     schema = docs.select(*carried).schema.add("n_pieces", "long").add("exact", "boolean")
@@ -371,7 +398,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     names = schema.fieldNames()
 
     def work(batches):
-        machine = compile_model(model)
+        machine = compile_model(model, remembered)
         for batch in batches:
             for first, last, _, _ in segments(batch.column(0).fill_null(""), RUN_BYTES):
                 some = batch.slice(first, last - first)
