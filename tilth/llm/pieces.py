@@ -223,20 +223,27 @@ class Transducer:
         cost = np.full((n, size + 1), np.inf)
         cost[:, 0] = 0
         for end in range(1, size + 1):
+            open_ = np.arange(n)  # arcs of a BPE model weigh nothing: the first that can stand settles a word's place
             for length in range(1, min(end, self.longest) + 1):
                 start = end - length
-                piece = self.lookup.get(_part(prefix, start, end))
+                piece = self.lookup.get(mixed((prefix[open_, end] - prefix[open_, start]) * INVERSES.upto(start + 1)[start]))
                 if length == 1:
                     piece = np.where(piece < 0, self.other, piece)
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(cost[:, start]))
+                some = np.flatnonzero((piece >= 0) & np.isfinite(cost[open_, start]))
+                rows, piece = open_[some], piece[some]
                 if start and len(rows):
-                    rows = rows[self.stand(last[rows, start], piece[rows])]
+                    fits = self.stand(last[rows, start], piece)
+                    rows, piece = rows[fits], piece[fits]
                 if not len(rows):
                     continue
-                total = cost[rows, start] + (self.weight[piece[rows]] if self.kind == UNIGRAM else 0.0)
+                total = cost[rows, start] + (self.weight[piece] if self.kind == UNIGRAM else 0.0)
                 better = total < cost[rows, end]
                 rows = rows[better]
-                cost[rows, end], last[rows, end], took[rows, end] = total[better], piece[rows], length
+                cost[rows, end], last[rows, end], took[rows, end] = total[better], piece[better], length
+                if self.kind == BPE:
+                    open_ = open_[np.isinf(cost[open_, end])]
+                    if not len(open_):
+                        break
         place = np.full(n, size)
         steps = []
         while (place > 0).any():
