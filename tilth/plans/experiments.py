@@ -149,11 +149,13 @@ def compare_models(
     held = staged(df.select(col(fold), *[col(c) for c in spec.columns]), "comparison")
     shared = collect_gram(held, spec, fold) if any(k in LINEAR for k in kinds) else None
     boosted = {k: how[k] for k in kinds if k in trees.BOOSTED}
-    done = boosted_cv(held, spec, boosted, fold, range(folds)) if boosted else {}
-    parts = [
-        (done.get(k) or cross_validate(held, spec, k, fold, folds, shared, **how[k])).metrics.withColumn("model", F.lit(k))
-        for k in kinds
-    ]
+    # boosting leaves cores idle between its many short passes, so the other models are fitted beside it
+    with ThreadPoolExecutor(1) as pool:
+        beside = inheritable_thread_target(df.sparkSession)(boosted_cv)
+        growing = pool.submit(beside, held, spec, boosted, fold, range(folds)) if boosted else None
+        done = {k: cross_validate(held, spec, k, fold, folds, shared, **how[k]) for k in kinds if k not in boosted}
+        done |= growing.result() if growing else {}
+    parts = [done[k].metrics.withColumn("model", F.lit(k)) for k in kinds]
     names = [f"{side}_{m}" for side in ("train", "val") for m in METRICS]
     table = stats.fold_summary(stack_results(parts), [*names, "overfit_gap_r2"], ["model"])
     return table.drop("std_overfit_gap_r2").orderBy(F.col("mean_val_r2").desc_nulls_last(), "model")
