@@ -18,9 +18,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name, lengthened until no column has it (names do not differ by case alone)."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def clamp_lower(value: Column, floor: float = 0.0) -> Column:
     """The value, or the floor where it lies below; NULL stays NULL."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(floor), value))
+    return F.when(value < F.lit(floor), F.lit(floor)).otherwise(value)
 
 
 def label_if(condition: Column, yes: str, no: str) -> Column:

@@ -93,6 +93,8 @@ def only_in_first(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def stack_results(tables: Sequence[DataFrame]) -> DataFrame:
     """Result tables under each other by column name; absent columns become NULL."""
+    if not tables:
+        raise ValueError("no tables to stack")
     stacked = tables[0]
     for table in tables[1:]:
         stacked = stacked.unionByName(table, allowMissingColumns=True)

@@ -110,12 +110,28 @@ def _encoded(gram: Gram, matrix: np.ndarray):
 def solve(gram: Gram, alpha: float = 0.0, leave_out=None, only=None) -> LinearModel:
     """Ridge (alpha > 0) or minimum-norm least squares (alpha = 0) on all parts, on all
     but one, or on one."""
+    return solve_path(gram, [alpha], leave_out, only)[0]
+
+
+def solve_path(gram: Gram, alphas: Sequence[float], leave_out=None, only=None) -> list[LinearModel]:
+    """``solve`` for several penalties, all from one decomposition of the normal equations."""
     matrix = gram.parts[only] if only is not None else gram.total(leave_out)
     inputs, _, mean, ybar, a, b, scale = _encoded(gram, matrix)
-    if alpha > 0:
-        beta = np.linalg.solve(a + alpha * np.eye(len(inputs)), b)
-    else:
-        beta = np.linalg.pinv(a, rcond=1e-10, hermitian=True) @ b
+    values, vectors = np.linalg.eigh(a)
+    along = vectors.T @ b
+    kept = np.abs(values) > 1e-10 * np.max(np.abs(values), initial=0.0)
+    models = []
+    for alpha in alphas:
+        if alpha > 0:
+            beta = vectors @ (along / (np.maximum(values, 0.0) + alpha))
+        else:
+            beta = vectors[:, kept] @ (along[kept] / values[kept])
+        models.append(_model(gram, inputs, mean, ybar, scale, beta))
+    return models
+
+
+def _model(gram: Gram, inputs, mean, ybar, scale, beta) -> LinearModel:
+    """The model of standardised coefficients."""
     spec = gram.spec
     model = LinearModel(0.0)
     model.levels = {c: {} for c in spec.categoricals}
@@ -180,33 +196,50 @@ def _coefficient_rows(models: Mapping[tuple, LinearModel], levels: Mapping[str,
     return rows
 
 
-def score_joined(
-    df: DataFrame, models: Mapping[tuple, LinearModel], keys: Mapping[str, str], on: Sequence[str], into: str = "predicted"
-) -> DataFrame:
-    """Rows scored by every model whose key columns ``on`` equal theirs.
+def path_errors(df: DataFrame, paths: Mapping[int, Sequence[LinearModel]], fold: str, target: str) -> DataFrame:
+    """(trial, fold, mae): every row is scored by all models of its fold and stays one row.
 
-    ``keys`` names the parts of a model key with their types.  All models share one
-    expression: a level is looked up once per row as a position, and each model brings
-    its coefficients as arrays.
+    ``paths`` holds for every fold as many models as there are trials.  A row gets its fold's
+    coefficients as arrays with a place per trial; the absolute errors of the trials are
+    columns of one aggregate.
     """
-    first = next(iter(models.values()))
-    levels = {
-        c: sorted({k for m in models.values() for k in m.levels[c]}) for c in first.levels
-    }
-    shape = ", ".join(f"{k} {t}" for k, t in keys.items())
-    shape += ", _one double, _num array<double>, _bool array<double>, _lev array<array<double>>"
-    table = df.sparkSession.createDataFrame(_coefficient_rows(models, levels), shape)
+    first = next(iter(paths.values()))
+    trials, known = len(first), {}
+    for c in first[0].levels:
+        known[c] = sorted({k for models in paths.values() for m in models for k in m.levels[c]})
+    rows = []
+    for k, models in paths.items():
+        parts = [r[1:] for r in _coefficient_rows({(t,): m for t, m in enumerate(models)}, known)]
+        one, num, flags, lev = ([p[i] for p in parts] for i in range(4))
+        turned = lambda lists: [list(x) for x in zip(*lists)]
+        rows.append((int(k), one, turned(num), turned(flags), [turned(x) for x in turned(lev)]))
+    shape = "_k int, _one array<double>, _num array<array<double>>, _bool array<array<double>>, _lev array<array<array<double>>>"
+    table = df.sparkSession.createDataFrame(rows, shape)
     places = {}
-    for i, (c, known) in enumerate(levels.items()):
-        lookup = F.create_map(*[F.lit(x) for j, k in enumerate(known) for x in (k, j)])
-        places[f"_at{i}"] = F.coalesce(lookup[col(c).cast("string")], F.lit(len(known)))
-    total = F.col("_one")
-    for i, n in enumerate(first.numerics):
-        total = total + F.col("_num")[i] * col(n).cast("double")
-    for i, b in enumerate(first.booleans):
-        total = total + F.col("_bool")[i] * col(b).cast("int")
-    for i in range(len(levels)):
-        total = total + F.col("_lev")[i][F.col(f"_at{i}")]
-    # a local relation: Spark knows its size and picks the join by it
-    joined = df.withColumns(places).join(table, list(on))
-    return joined.withColumn(into, total).drop("_one", "_num", "_bool", "_lev", *places)
+    for i, (c, levels) in enumerate(known.items()):
+        lookup = F.create_map(*[F.lit(x) for j, k in enumerate(levels) for x in (k, j)]) if levels else None
+        places[f"_at{i}"] = F.lit(0) if lookup is None else F.coalesce(lookup[col(c).cast("string")], F.lit(len(levels)))
+    slim = df.select(
+        col(fold).cast("int").alias("_k"), col(target).cast("double").alias("_y"),
+        *[col(n).cast("double").alias(f"_x{i}") for i, n in enumerate(first[0].numerics)],
+        *[col(b).cast("int").alias(f"_f{i}") for i, b in enumerate(first[0].booleans)],
+        *[place.alias(name) for name, place in places.items()],
+    )
+    joined = slim.join(table, "_k").select(
+        "_k", "_y", "_one", "_num", "_bool", *[c for c in slim.columns if c[:2] in ("_x", "_f")],
+        *[F.col("_lev")[i][F.col(name)].alias(f"_l{i}") for i, name in enumerate(places)],
+    )
+
+    def error(t: int) -> Column:
+        total = F.col("_one")[t]
+        for i in range(len(first[0].numerics)):
+            total = total + F.col("_num")[i][t] * F.col(f"_x{i}")
+        for i in range(len(first[0].booleans)):
+            total = total + F.col("_bool")[i][t] * F.col(f"_f{i}")
+        for i in range(len(places)):
+            total = total + F.col(f"_l{i}")[t]
+        return F.avg(F.abs(F.col("_y") - total)).alias(f"_mae{t}")
+
+    wide = joined.groupBy("_k").agg(*[error(t) for t in range(trials)])
+    cells = F.array(*[F.struct(F.lit(t).alias("trial"), F.col(f"_mae{t}").alias("mae")) for t in range(trials)])
+    return wide.select(F.col("_k").alias("fold"), F.inline(cells))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilth.functions.columns import col
-from tilth.session import MAX_SMALL_ROWS
+from tilth.functions.columns import col, unused
+from tilth.session import MAX_SMALL_ROWS, staged
 
 
 def top_k_groups(df: DataFrame, keys: Sequence[str], name: str, k: int) -> DataFrame:
@@ -52,11 +52,46 @@ def running_contributions(df: DataFrame, ids: Sequence[str], order: str, value:
 
 
 def cumulative_share(df: DataFrame, order: str, value: str, by: Sequence[str] = (), into: str = "cumulative") -> DataFrame:
-    """Running total along an order, for result tables such as variance per component."""
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running total along an order, within groups or over the whole table.
+
+    A NULL value adds nothing, and the total is NULL before the first value.
+    """
+    if not by:
+        return prefix_sums(df, order, value, into)
+    frame = Window.partitionBy(*[col(b) for b in by]).orderBy(col(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(into, F.sum(col(value)).over(frame))
 
 
+def prefix_sums(df: DataFrame, order: str, value: str, into: str = "cumulative") -> DataFrame:
+    """Running total over a whole table, in two levels and never in one task.
+
+    Rows are written with a line number, dealt to ranges of (order, line) and written again
+    with the number of their range; the totals of the ranges, one number each, become offsets
+    on the driver; inside a range a window adds up its rows.  The line number parts rows of
+    equal order, so a value that a third of the rows share fills several ranges; such rows
+    follow each other in the order in which they were written.
+    """
+    kept = [c for c in df.columns if c.lower() != into.lower()]
+    line, part = unused("line", df.columns), unused("part", df.columns)
+    lined = staged(df.withColumn(line, F.monotonically_increasing_id()), "lines")
+    ranged = lined.repartitionByRange(col(order), col(line)).withColumn(part, F.spark_partition_id())
+    ranged = staged(ranged, "ranges")
+    found = ranged.groupBy(part).agg(F.sum(col(value)).alias("total")).collect()  # a row a range
+    offsets, upto = [], None
+    for row in sorted(found, key=lambda r: r[part]):
+        offsets.append((row[part], upto))
+        if row["total"] is not None:
+            upto = row["total"] if upto is None else upto + row["total"]
+    kind = ranged.agg(F.sum(col(value)).alias("total")).schema["total"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(offsets, f"`{part}` int, before {kind}")
+    frame = Window.partitionBy(part).orderBy(col(order), col(line)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.select("*", F.sum(col(value)).over(frame).alias(inner := unused("inside", [*df.columns, line, part])))
+    before = unused("before", inside.columns)
+    joined = inside.join(F.broadcast(table.withColumnRenamed("before", before)), part)
+    total = F.coalesce(F.col(before) + F.col(inner), F.col(inner), F.col(before))
+    return joined.select(*[col(c) for c in kept], total.alias(into))
+
+
 def sort_by_magnitude(df: DataFrame, name: str, ties: Sequence[str]) -> DataFrame:
     return df.orderBy(F.abs(col(name)).desc_nulls_last(), *[col(t) for t in ties])
 

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilth.functions.columns import col, hash_number, seeded_hash
+from tilth.functions.columns import col, hash_number, seeded_hash, unused
 from tilth.session import MAX_SMALL_ROWS, gather_small, one_row, reliable
 
 DIGITS = 3  # hex digits counted at a time: 4096 bins per stratum
 HASH_LENGTH = 32
 MAX_HASHES = 1_000_000  # different hashes that one task ranks
+#: Columns made on the way; a given column of such a name is called otherwise meanwhile.
+OWN = "_all _before _bin _c _cuts _d _hash _key_hash _local _mid _more _next _nth _pid _rank _size _upto".split()
 
 
 def _match(left: str, right: str, keys: Sequence[str]):
@@ -193,6 +195,11 @@ def split_at(
     positions ascending in ``cut``.  Without ``digits`` as many leading digits are counted as
     keep the bins of all strata within the bound of what is gathered.
     """
+    clashing = {c: unused(f"{c}_given", df.columns) for c in df.columns if c.lower() in OWN}
+    if clashing:
+        named = [[clashing.get(c, c) for c in names] for names in (key, strata)]
+        renamed = split_at(df.withColumnsRenamed(clashing), named[0], seed, targets, named[1], into, digits, max_hashes)
+        return renamed.withColumnsRenamed({v: k for k, v in clashing.items()})
     strata = list(strata)
     keys = strata or ["_all"]
     if digits is None:
@@ -211,7 +218,8 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     def targets(sizes, keys):
         return sizes.select(*keys, F.lit(0).alias("cut"), F.least("size", F.lit(n)).alias("pos"))
 
-    return split_at(df, key, seed, targets, into="_part").where("_part = 0").drop("_part")
+    part = unused("_part", df.columns)
+    return split_at(df, key, seed, targets, into=part).where(F.col(part) == 0).drop(part)
 
 
 def stratified_sample(
@@ -224,7 +232,8 @@ def stratified_sample(
         quota = F.floor(F.lit(total) / sizes.agg(F.count(F.lit(1))).scalar())
         return sizes.select(*keys, F.lit(0).alias("cut"), F.least("size", quota).alias("pos"))
 
-    return split_at(known, key, seed, targets, strata, into="_part").where("_part = 0").drop("_part")
+    part = unused("_part", df.columns)
+    return split_at(known, key, seed, targets, strata, into=part).where(F.col(part) == 0).drop(part)
 
 
 def _shares(sizes: DataFrame, keys: Sequence[str], size: str, keep: int, into: str) -> DataFrame:
@@ -274,9 +283,10 @@ def stratified_split(
         )
         return final.select(*keys, F.inline(cuts))
 
-    parts = split_at(df, key, seed, targets, strata, into="_part")
+    part = unused("_part", [*df.columns, into])
+    parts = split_at(df, key, seed, targets, strata, into=part)
     names = F.array(F.lit("test"), F.lit("val"), F.lit("train"))
-    return parts.withColumn(into, names[F.col("_part")]).drop("_part")
+    return parts.withColumn(into, names[F.col(part)]).drop(part)
 
 
 def random_split(
@@ -292,8 +302,9 @@ def random_split(
     def targets(sizes, keys):
         return sizes.select(*keys, F.lit(0).alias("cut"), F.ceil(F.col("size") * F.lit(test)).alias("pos"))
 
-    parts = split_at(df, key, seed, targets, into="_part")
-    return parts.withColumn(into, F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
+    part = unused("_part", [*df.columns, into])
+    parts = split_at(df, key, seed, targets, into=part)
+    return parts.withColumn(into, F.when(F.col(part) == 0, "test").otherwise("train")).drop(part)
 
 
 def assign_folds(

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilth.functions.columns import clamp_lower, col, label_if
+from tilth.functions.columns import clamp_lower, col, label_if, unused
 from tilth.operators.explain import contributions
 from tilth.operators.linear import LinearModel
 from tilth.operators.ranking import rank_candidates
@@ -48,16 +48,24 @@ def predict_explained(df: DataFrame, model: LinearModel | PipelineModel | None,
     )
 
 
-def recommendations(model: LinearModel | None, candidates: Sequence[str], candidate: str) -> Column:
+def shared_sum(model: LinearModel | None, candidate: str) -> Column:
+    """The prediction of a context without the candidate's own term."""
+    return require_model(model).raw(without=(candidate,))
+
+
+def recommendations(
+    model: LinearModel | None, candidates: Sequence[str], candidate: str, shared: Column | None = None,
+) -> Column:
     """All candidates of a row ranked by unrounded prediction, ties in vocabulary order,
     as array<struct<candidate, predicted, rank>>.
 
     A context that misses a feature has no list (NULL).
-    Everything but the candidate's own term is computed once per row; the ranking is a
+    Everything but the candidate's own term is the same for all of them (``shared``, a column
+    that holds ``shared_sum``, so that it is worked out once per row); the ranking is a
     sort of a vocabulary-long array inside the row, so contexts are never shuffled.
     """
     model = require_model(model)
-    shared = model.raw(without=(candidate,))
+    shared = shared_sum(model, candidate) if shared is None else shared
     own = (lambda c: model.term(candidate, F.lit(c))) if candidate in model.parents else (lambda c: F.lit(0.0))
     scored = F.sort_array(
         F.array(
@@ -83,7 +91,9 @@ def recommend(
     into: str = "recommendations",
 ) -> DataFrame:
     """Ranked list per context; the contexts need no candidate column."""
-    return df.withColumn(into, recommendations(model, candidates, candidate))
+    name = unused("_shared", [*df.columns, into])
+    summed = df.withColumn(name, shared_sum(model, candidate))
+    return summed.withColumn(into, recommendations(model, candidates, candidate, F.col(name))).drop(name)
 
 
 def recommend_by_pipeline(

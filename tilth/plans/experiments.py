@@ -22,7 +22,7 @@ from tilth.operators import explain, sampling, stats, trees
 from tilth.operators.boosting import Ensemble, fit_folds
 from tilth.operators.gram import FeatureSpec, Gram, collect_gram
 from tilth.operators.joins import stack_results
-from tilth.operators.linear import LinearModel, gram_scores, score_joined, solve
+from tilth.operators.linear import LinearModel, gram_scores, path_errors, solve, solve_path
 from tilth.session import gather_small, one_row, staged
 from tilth.sources import runs
 
@@ -244,21 +244,19 @@ def random_search(
 ) -> DataFrame:
     """(trial, alpha, mean_val_r2, std_val_r2, mean_val_mae), best first.
 
-    All trials and folds are solved from one aggregate; the absolute errors of all trials
-    come from one pass in which a row is scored by the models that did not see it.
+    All trials and folds are solved from one aggregate, the trials of a fold from one
+    decomposition; the absolute errors of all trials come from one pass in which a row is
+    scored by the models that did not see it and is never multiplied.
     """
     alphas = list(alphas if alphas is not None else alpha_draws())
     gram = gram or collect_gram(df, spec, fold)
-    solved = {(t, int(k)): solve(gram, a, leave_out=k) for t, a in enumerate(alphas) for k in gram.folds}
-    scores = []
-    for (t, k), model in solved.items():
-        s = gram_scores(gram, model, gram.parts[k])
-        scores.append((t, float(alphas[t]), k, s["r2"]))
-    spark = df.sparkSession
-    r2 = spark.createDataFrame(scores, "trial int, alpha double, fold int, r2 double")
-    rows = df.select(col(fold).cast("int").alias("fold"), *[col(c) for c in spec.columns])
-    scored = score_joined(rows, solved, {"trial": "int", "fold": "int"}, ["fold"], "_p")
-    errors = scored.groupBy("trial", "fold").agg(F.avg(F.abs(col(spec.target) - F.col("_p"))).alias("mae"))
+    paths = {int(k): solve_path(gram, alphas, leave_out=k) for k in gram.folds}
+    scores = [
+        (t, float(alphas[t]), k, gram_scores(gram, model, gram.parts[k])["r2"])
+        for k, models in paths.items() for t, model in enumerate(models)
+    ]
+    r2 = df.sparkSession.createDataFrame(scores, "trial int, alpha double, fold int, r2 double")
+    errors = path_errors(df, paths, fold, spec.target)
     joined = r2.join(errors, ["trial", "fold"])
     return (
         joined.groupBy("trial", "alpha")
