@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tilth.catalog.registry import CLEAN, CROP_MAP, PANEL, PARCELS, query
 from tilth.catalog.statistics import KEY_SQL, KEYS, _split_sql
-from tilth.operators import clean, explain, features, gram, linear, multivariate, ranking, sampling, scoring, stats, trees
+from tilth.operators import clean, explain, features, gram, linear, multivariate, ranking, sampling, scoring, stats, trees, wide
 from tilth.functions.columns import safe_corr
 from tilth.operators.gram import FeatureSpec
 from tilth.operators.joins import stack_results
@@ -291,6 +291,39 @@ def cross_validate_from_gram(spark, sf_dir):
 ALPHAS = experiments.alpha_draws()
 
 
+WIDE_SQL = """
+WITH r AS (SELECT l_partkey AS g, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+m AS (SELECT avg(q) AS qm, stddev_pop(q) AS qs, avg(y) AS ym FROM r),
+c AS (SELECT g, count(*) AS n, sum((q - qm) / qs) AS s, sum(y - ym) AS t FROM r, m GROUP BY g),
+w AS (SELECT sum(n / (n + 1.0)) AS a11, sum(s / (n + 1.0)) AS a12, sum(t / (n + 1.0)) AS b1 FROM c),
+k AS (SELECT count(*) + 1.0 AS b22, sum((q - qm) / qs * (y - ym)) AS xy FROM r, m),
+z AS (SELECT b22 - (SELECT sum(s * s / (n + 1.0)) FROM c) AS a22, xy - (SELECT sum(s * t / (n + 1.0)) FROM c) AS b2 FROM k),
+u AS (SELECT (b1 * a22 - a12 * b2) / (a11 * a22 - a12 * a12) AS b0, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS bq FROM w, z)
+SELECT CAST(g AS VARCHAR) AS part, round((t - n * b0 - s * bq) / (n + 1.0), 4) AS coef, round(b0 + ym, 4) AS intercept, round(bq, 4) AS slope FROM c, u, m
+"""
+
+
+@query("ridge_wide", "L2 F1", WIDE_SQL)
+def ridge_wide(spark, sf_dir):
+    """Price by quantity and part: one coefficient a part, however many there are.  The SQL
+    takes the parts out of the normal equations in closed form."""
+    df = views.table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    model = wide.ridge_wide(df, FeatureSpec(("l_quantity",), (), ("l_partkey",), "l_extendedprice"), 1.0)
+    return model.levels.select(
+        F.col("level").alias("part"), F.round("coef", 4).alias("coef"), F.round(F.lit(model.intercept), 4).alias("intercept"),
+        F.round(F.lit(model.numerics["l_quantity"][0]), 4).alias("slope"),
+    )
+
+
+@query("ridge_wide_pair", "L2 F1")
+def ridge_wide_pair(spark, sf_dir):
+    """Price by quantity, part and supplier: coefficients of both categories' levels.  No closed
+    form; tested against the dense ridge."""
+    df = views.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    model = wide.ridge_wide(df, FeatureSpec(("l_quantity",), (), ("l_partkey", "l_suppkey"), "l_extendedprice"), 5.0)
+    return clean.round_columns(model.levels, {"coef": 4})
+
+
 @query(
     "random_search",
     "L10",

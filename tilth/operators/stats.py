@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilth.functions.columns import col, two_sided_p, safe_corr
-from tilth.session import one_row
+from tilth.session import importable, one_row
+
+#: Columns from which on pairs are multiplied as blocks of an array, not as one expression each.
+MANY = 33
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -80,18 +85,75 @@ def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) ->
     return df.agg(*sums.values()).select(F.inline(F.array(*cells)))
 
 
+def _blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Upper triangle (x, y, r) for many columns, missing values or not.
+
+    A task turns its Arrow batches into arrays and adds up, with a mask M of what is known,
+    M'M, X'M, (X*X)'M and X'X and the extremes of x where y is known: p x p numbers a task,
+    whatever its rows.  Spark adds these up by pair.  Columns are shifted by their means first.
+    """
+    spark, p = df.sparkSession, len(names)
+    importable(spark)
+    slim = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    slim = slim.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in slim.columns])
+    means = one_row(slim.agg(*[F.avg(c).alias(c) for c in slim.columns]))
+    centre = np.array([means[c] or 0.0 for c in slim.columns])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, p, p))
+        low, high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+        seen = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen += batch.num_rows
+            x = np.stack([np.asarray(c.cast(pa.float64()).fill_null(float("nan"))) for c in batch.columns], axis=1) - centre
+            known = ~np.isnan(x)
+            m, x0 = known.astype(float), np.where(known, x, 0.0)
+            sums += np.array([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
+            for j in range(p):
+                rows = x[known[:, j]]
+                if len(rows):
+                    low[:, j] = np.fmin(low[:, j], np.fmin.reduce(rows))
+                    high[:, j] = np.fmax(high[:, j], np.fmax.reduce(rows))
+        if seen:
+            at = np.arange(p * p)
+            parts = [at // p, at % p, *(s.ravel() for s in sums), low.ravel(), high.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in parts], names=["i", "j", "n", "s", "q", "c", "lo", "hi"])
+
+    shape = "i long, j long, n double, s double, q double, c double, lo double, hi double"
+    parts = slim.mapInArrow(work, shape)
+    added = parts.groupBy("i", "j").agg(
+        *[F.sum(k).alias(k) for k in "nsqc"], (F.min("lo") == F.max("hi")).alias("flat")
+    )
+    # the sums of y where x is known are the other triangle's
+    other = added.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("s2"), F.col("q").alias("q2"), F.col("flat").alias("flat2"))
+    every = spark.range(p * p).select(F.expr(f"id div {p}").alias("i"), (F.col("id") % p).alias("j")).where("i <= j")
+    both = every.join(added.join(other, ["i", "j"]), ["i", "j"], "left")
+    n = F.col("n")
+    mean = [F.try_divide(F.col(k), n) for k in ("s", "s2")]
+    var = [F.try_divide(F.col(k), n) - m * m for k, m in zip(("q", "q2"), mean)]
+    cov = F.try_divide(F.col("c"), n) - mean[0] * mean[1]
+    r = F.try_divide(cov, F.sqrt(F.greatest(var[0] * var[1], F.lit(0.0))))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    label = F.array(*[F.lit(c) for c in names])
+    vary = (n > 1) & ~F.col("flat") & ~F.col("flat2")
+    return both.select(label[F.col("i").cast("int")].alias("x"), label[F.col("j").cast("int")].alias("y"), F.when(vary, r).alias("r"))
+
+
 def corr_matrix(
     df: DataFrame, names: Sequence[str] | None = None, by: Sequence[str] = (), digits: int | None = None
 ) -> DataFrame:
     """Pearson matrix as rows (x, y, r), overall or per group.
 
     Each pair uses the rows where both values are present.  r is NULL for a constant
-    column (the diagonal too).  Only the upper triangle is computed.
+    column (the diagonal too).  Only the upper triangle is computed.  From ``MANY`` columns
+    on, pairs are summed as blocks of arrays instead of as expressions of their own.
     """
     names = list(names or numeric_columns(df))
     source = df.na.drop(subset=list(by)) if by else df
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    half = _products(source, names, pairs, by)
+    half = _blocks(source, names) if len(names) >= MANY and not by else _products(source, names, pairs, by)
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     mirrored = F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both)
     full = half.select(*by, "r", F.inline(mirrored)).select(*by, "x", "y", "r")
