@@ -940,6 +940,25 @@ EIGEN_SQL = (
 )
 
 
+@query("pca_leading", "M5")
+def pca_leading(spark, sf_dir):
+    """The first axes of the 64 components of the vectors, without a matrix of all pairs."""
+    df = views.table(spark, sf_dir, "embeddings")
+    # vectors without a component take no part
+    df = df.select(*[F.col("embedding")[i].alias(f"e{i}") for i in range(64)]).na.drop()
+    axes = multivariate.leading_axes(df, [f"e{i}" for i in range(64)], k=5)
+    return clean.round_columns(axes.variance_table(spark), {"eigenvalue": 6, "percent": 6, "cumulative": 6})
+
+
+@query("famd_leading", "M6 M7")
+def famd_leading(spark, sf_dir):
+    """Mixed axes with a category of thousands of levels, the ship date, and what each column adds to them."""
+    df = views.table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag", "l_linestatus")
+    axes = multivariate.leading_axes(df, ["l_quantity", "l_extendedprice", "l_discount"], ["l_shipdate", "l_returnflag", "l_linestatus"], k=2)
+    table = axes.contribution_table(spark).join(axes.variance_table(spark).select("component", "eigenvalue"), "component")
+    return clean.round_columns(table, {"contribution": 6, "eigenvalue": 6})
+
+
 @query(
     "pca_variance",
     "M5 W4",

@@ -23,7 +23,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t in kinds or t.startswith("decimal")]
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
+def as_number(df: DataFrame, name: str) -> Column:
     v = col(name)
     return v.cast("int").cast("double") if dict(df.dtypes)[name] == "boolean" else v.cast("double")
 
@@ -38,7 +38,7 @@ def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) ->
     may lie far from the overall ones, Spark's central moments are used instead.
     """
     if by:
-        v = [_as_number(df, n) for n in names]
+        v = [as_number(df, n) for n in names]
         cells = []
         for i, j in pairs:
             r = safe_corr(v[i], v[j])
@@ -47,11 +47,11 @@ def _products(df: DataFrame, names: Sequence[str], pairs, by: Sequence[str]) ->
         return df.groupBy(*by).agg(F.array(*cells).alias("_cells")).select(*by, F.inline("_cells"))
     first = one_row(
         df.agg(
-            *[F.avg(_as_number(df, n)).alias(f"m{i}") for i, n in enumerate(names)],
+            *[F.avg(as_number(df, n)).alias(f"m{i}") for i, n in enumerate(names)],
             *[F.count_if(col(n).isNull()).alias(f"n{i}") for i, n in enumerate(names)],
         )
     )
-    v = [_as_number(df, n) - F.lit(float(first[f"m{i}"] or 0.0)) for i, n in enumerate(names)]
+    v = [as_number(df, n) - F.lit(float(first[f"m{i}"] or 0.0)) for i, n in enumerate(names)]
     holes = [bool(first[f"n{i}"]) for i in range(len(names))]
     sums: dict[str, Column] = {}
 
@@ -94,7 +94,7 @@ def _blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     spark, p = df.sparkSession, len(names)
     importable(spark)
-    slim = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    slim = df.select(*[as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
     slim = slim.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in slim.columns])
     means = one_row(slim.agg(*[F.avg(c).alias(c) for c in slim.columns]))
     centre = np.array([means[c] or 0.0 for c in slim.columns])
@@ -173,7 +173,7 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float
     row = one_row(
         df.agg(
             *[
-                f(_as_number(df, n)).alias(f"{k}{i}")
+                f(as_number(df, n)).alias(f"{k}{i}")
                 for i, n in enumerate(names)
                 for k, f in (("m", F.avg), ("s", F.stddev_pop))
             ]
@@ -187,7 +187,7 @@ def standardize(df: DataFrame, names: Sequence[str], suffix: str = "") -> DataFr
     moments (a single row), one narrow projection."""
     scale = moments(df, names)
     return df.withColumns(
-        {n + suffix: (_as_number(df, n) - F.lit(m)) / F.lit(s) for n, (m, s) in scale.items()}
+        {n + suffix: (as_number(df, n) - F.lit(m)) / F.lit(s) for n, (m, s) in scale.items()}
     )
 
 
