@@ -117,19 +117,19 @@ def _blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
                     low[:, j] = np.fmin(low[:, j], np.fmin.reduce(rows))
                     high[:, j] = np.fmax(high[:, j], np.fmax.reduce(rows))
         if seen:
-            at = np.arange(p * p)
-            parts = [at // p, at % p, *(s.ravel() for s in sums), low.ravel(), high.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in parts], names=["i", "j", "n", "s", "q", "c", "lo", "hi"])
+            i, j = np.triu_indices(p)
+            both = [x[i, j] for x in sums] + [sums[1][j, i], sums[2][j, i]]  # y's sums are the other triangle's
+            ends = [low[i, j], high[i, j], low[j, i], high[j, i]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (i, j, *both, *ends)], names=shape)
 
-    shape = "i long, j long, n double, s double, q double, c double, lo double, hi double"
-    parts = slim.mapInArrow(work, shape)
+    shape = ["i", "j", "n", "s", "q", "c", "s2", "q2", "lo", "hi", "lo2", "hi2"]
+    parts = slim.mapInArrow(work, "i long, j long, " + ", ".join(f"{c} double" for c in shape[2:]))
     added = parts.groupBy("i", "j").agg(
-        *[F.sum(k).alias(k) for k in "nsqc"], (F.min("lo") == F.max("hi")).alias("flat")
+        *[F.sum(c).alias(c) for c in shape[2:8]],
+        (F.min("lo") == F.max("hi")).alias("flat"), (F.min("lo2") == F.max("hi2")).alias("flat2"),
     )
-    # the sums of y where x is known are the other triangle's
-    other = added.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("s2"), F.col("q").alias("q2"), F.col("flat").alias("flat2"))
     every = spark.range(p * p).select(F.expr(f"id div {p}").alias("i"), (F.col("id") % p).alias("j")).where("i <= j")
-    both = every.join(added.join(other, ["i", "j"]), ["i", "j"], "left")
+    both = every.join(added, ["i", "j"], "left")  # pairs of an empty table too
     n = F.col("n")
     mean = [F.try_divide(F.col(k), n) for k in ("s", "s2")]
     var = [F.try_divide(F.col(k), n) - m * m for k, m in zip(("q", "q2"), mean)]
