@@ -205,3 +205,35 @@ def test_ordered_means_of_odd_tables(spark):
     twins = spark.createDataFrame([(1, "a", 2.0)] * 3 + [(2, "b", None)], "id int, c string, y double")
     got = sorted(r.c__o for r in features.ordered_target_encode(twins, ["c"], "y", ["id"]).collect())
     assert got == [2.0] * 4
+
+
+def test_sums_of_masks_equal_sums_of_rows_one_by_one():
+    """Rows are not gathered leaf by leaf, and columns of few bins are counted by their combinations."""
+    r = np.random.default_rng(3)
+    bins, is_level, n = [300, 9, 4, 3, 6], [False, False, True, False, True], 5000
+    codes = [r.integers(0, b, n).astype(np.uint16 if b > 256 else np.uint8) for b in bins]
+    tree = boosting.Tree()
+    for node, column, code in ((0, 0, 120), (1, 2, 3), (2, 4, 1), (3, 1, 5)):
+        tree.split(node, column, code, 1.0)
+    tree.value = list(r.normal(size=len(tree.column)))
+    assert len(boosting._together(range(5), bins, 300)) < 5
+    rows = np.arange(n)
+    leaf = np.zeros(n, int)
+    for k, at in tree.visits(codes, is_level, rows):  # parents first
+        leaf[at] = k
+    assert np.array_equal(tree.places(codes, is_level, n), leaf)
+    block = boosting.Block(codes, r.integers(0, 5, n).astype(np.int16), r.normal(size=n), [r.normal(size=n)])
+    for out in (None, 2):
+        for nodes in ((4, 5, 6, 7, 8), (7, 5)):
+            plan = Plan("p", (4, 0, 1, 2, 3), 1, 0.1, 4, 8, 1, out=out)
+            found = boosting._summed(block, boosting.Task(plan, 1024.0, (), tree, nodes), block.left_over[0], is_level, bins)
+            start = 0
+            for c in plan.columns:
+                want = np.zeros((2, len(nodes), bins[c]), np.int64)
+                for i, k in enumerate(nodes):
+                    at = rows[(leaf == k) & (block.fold != (-9 if out is None else out))]
+                    np.add.at(want[0, i], codes[c][at], np.rint(block.left_over[0][at] * 1024).astype(np.int64))
+                    np.add.at(want[1, i], codes[c][at], 1)
+                assert np.array_equal(found[:, :, start : start + bins[c]], want)
+                start += bins[c]
+    assert np.array_equal(boosting._updated(block, 0, [tree], is_level), block.left_over[0] - np.array(tree.value)[leaf])
