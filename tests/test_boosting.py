@@ -237,3 +237,16 @@ def test_sums_of_masks_equal_sums_of_rows_one_by_one():
                 assert np.array_equal(found[:, :, start : start + bins[c]], want)
                 start += bins[c]
     assert np.array_equal(boosting._updated(block, 0, [tree], is_level), block.left_over[0] - np.array(tree.value)[leaf])
+
+
+def test_few_rows_send_few_cells():
+    """What a pass sends to the driver grows with the cells that hold rows, not with leaves times bins."""
+    import pickle
+
+    sums = np.zeros((2, 64, 700), np.int64)
+    sums[:, np.arange(600) % 64, np.arange(600)] = [[2**50], [3]]
+    dense = np.stack([np.full((4, 5), -7), np.full((4, 5), 2**33)])
+    packed = boosting._packed([sums, dense, np.array([5, 1])])
+    for a, b in zip(boosting._opened(packed), (sums, dense, np.array([5, 1]))):
+        assert np.array_equal(a, b)
+    assert len(pickle.dumps(boosting._packed([sums]))) < len(pickle.dumps([sums])) / 20
