@@ -326,6 +326,35 @@ def test_pairwise_weights_order_documents():
     assert 0.1 < np.mean(good @ model["weights"] < model["cut"]) * 0.8 + np.mean(bad @ model["weights"] < model["cut"]) * 0.2 < 0.3
 
 
+def test_every_labelled_document_is_learnt_from(spark, sf_dir, monkeypatch):
+    """One block equals the arrays, many blocks nearly so, rare classes included; and the cut is exact."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where(~quality.held_out()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("good"))
+    rows = quality._labelled(docs, known, "doc_id", "text").collect()
+    rows.sort(key=lambda r: (r["id"], r["f"]))
+    f, good = np.array([r["f"] for r in rows]), np.array([r["good"] for r in rows])
+    want = quality.learn(f[good == 1], f[good == 0], known.where("good = 0").count() / known.count())
+    whole = quality.fit(docs, labels)
+    assert all(np.allclose(whole[k], want[k], rtol=1e-9) for k in want)
+    seen = []
+    monkeypatch.setattr(quality, "BLOCK", max(2, len(rows) // 6))
+    monkeypatch.setattr(quality, "LEAST", 5)
+    monkeypatch.setattr(quality, "CUT_ROWS", 3)
+    by_block = quality._by_block
+    monkeypatch.setattr(quality, "_by_block", lambda table, work: seen.append(table) or by_block(table, work))
+    parts = quality.fit(docs, labels)
+    assert seen[0].where("copy = 0").count() == len(rows) and seen[0].select("block").distinct().count() >= 6
+    assert seen[0].groupBy("block").agg(F.count_if(F.col("good") == 0).alias("b"), F.count_if(F.col("good") == 1).alias("g")).where("b = 0 or g = 0").isEmpty()
+    s, t = f @ parts["weights"], f @ want["weights"]
+    assert np.corrcoef(s, t)[0, 1] > 0.97
+    order = np.sort(s)
+    share = known.where("good = 0").count() / known.count()
+    mass = np.where(good == 1, (1 - share) / (good == 1).sum(), share / (good == 0).sum())
+    k = int(np.searchsorted(np.cumsum(mass[np.argsort(s, kind="stable")]), share - 1e-9))
+    assert parts["cut"] == pytest.approx((order[k] + order[k + 1]) / 2, rel=1e-9, abs=1e-9)
+    assert parts["spread"] == pytest.approx(s.std(), rel=1e-9)
+
+
 # ---- odd tables
 
 
