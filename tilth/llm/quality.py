@@ -247,6 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float | None = None, key:
     if len(counts) < 2:
         return {"weights": np.zeros(len(FEATURES)), "cut": 0.0, "spread": 1.0}
     n = sum(counts.values())
+    if n <= BLOCK:  # one block, whose passes are not worth a job each
+        rows = sorted((r["id"], r["good"], r["f"]) for r in found.collect())
+        f, good = np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], int)
+        return learn(f[good == 1], f[good == 0], quantile, pairs, ridge)
     table = staged(_in_blocks(found, counts, -(-n // BLOCK)), "quality-blocks")
     mean = sum(_by_block(table, lambda f, good, copy: [f[~copy].sum(axis=0)])) / n
     scale = np.sqrt(sum(_by_block(table, lambda f, good, copy: [((f[~copy] - mean) ** 2).sum(axis=0)])) / n)
