@@ -1,6 +1,9 @@
 """Joins that neither sort nor repeat the fact table."""
 
+import pytest
+
 from tilth import catalog
+from tilth.operators.linear import LinearModel, path_errors
 from tilth.sources import views
 
 
@@ -27,3 +30,16 @@ def test_the_panel_is_written_once_before_it_is_read_again(spark, sf_dir, monkey
             patch.setattr(views, "staged", lambda df, label: labels.append(label) or staged(df, label))
             catalog.QUERIES[name](spark, sf_dir)
         assert labels.count("panel") == 1, name
+
+
+def test_rows_do_not_meet_by_fold_to_be_scored_by_a_search(spark):
+    df = spark.createDataFrame([(i % 5, float(i), float(i * i % 7)) for i in range(50)], "fold int, x double, y double")
+    paths = {k: [LinearModel(0.5, {"x": (float(t), 1.0, 2.0)}) for t in range(3)] for k in range(5)}
+    found = path_errors(df, paths, "fold", "y")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = {(r.trial, r.fold): r.mae for r in found.collect()}
+    assert len(got) == 15
+    for (t, k), mae in got.items():
+        errors = [abs(i * i % 7 - 0.5 - t * (i - 1.0) / 2.0) for i in range(50) if i % 5 == k]
+        assert mae == pytest.approx(sum(errors) / len(errors))
