@@ -101,3 +101,22 @@ def test_the_query_of_two_wide_categories_equals_the_dense_ridge(spark, sf_dir):
     dense = linear.ridge(df, FeatureSpec(("l_quantity",), (), ("l_partkey", "l_suppkey"), "l_extendedprice"), 5.0)
     got = {(r.parent, r.level): r.coef for r in catalog.QUERIES["ridge_wide_pair"](spark, sf_dir).collect()}
     assert got == pytest.approx({(p, k): c for p, lv in dense.levels.items() for k, c in lv.items()}, abs=2e-4)
+
+
+@pytest.mark.parametrize("most", [wide.HELD_LEVELS, 5])
+def test_three_categories_on_the_driver_or_in_a_table(spark, monkeypatch, most):
+    monkeypatch.setattr(wide, "HELD_LEVELS", most)
+    df = spark.createDataFrame([(*r, f"t{(i * i * 3) % 13}") for i, r in enumerate(rows())], SHAPE + ", t string")
+    spec = FeatureSpec(("x",), ("b",), ("t", "part", "s"), "y")
+    dense, found = linear.ridge(df, spec, 2.0), wide.ridge_wide(df, spec, 2.0)
+    assert found.intercept == pytest.approx(dense.intercept, abs=1e-7)
+    got = {(r.parent, r.level): r.coef for r in found.levels.collect()}
+    assert got == pytest.approx({(p, k): c for p, lv in dense.levels.items() for k, c in lv.items()}, abs=1e-7)
+
+
+def test_cells_are_shuffled_once_however_many_iterations(spark, monkeypatch):
+    monkeypatch.setattr(wide, "_with_others", None)
+    written, real = [], wide.staged
+    monkeypatch.setattr(wide, "staged", lambda df, label: written.append(label) or real(df, label))
+    found = wide.ridge_wide(spark.createDataFrame(rows(), SHAPE), FeatureSpec(("x",), ("b",), ("part", "s"), "y"), 0.5)
+    assert found.iterations > 2 and written == ["blocks"]
