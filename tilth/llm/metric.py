@@ -3,16 +3,18 @@
 Vectors of a label are scaled to length one, where a cosine of at least c is a distance of
 at most e = sqrt(2 - 2c).  Pivots split a label into cells: a vector's home is the cell of its
 nearest pivot.  By the triangle inequality a vector within e of a home vector of cell j is at
-most 2e farther from pivot j than from its own, so exactly such vectors are replicated to j,
-and each cell is joined by itself: its home vectors against all its vectors.  Cells of any
-size are cut into blocks, and a task multiplies two blocks at a time.
+most 2e farther from pivot j than from its own, so of two cells only such vectors are compared.
+No vector is copied to other cells: every vector is written once, in a block of its cell, and
+tasks go over pairs of blocks of a label, each pair once, for the links of both sides.  Blocks
+are read again for every group of blocks they are paired with, so what is written grows
+with the vectors and only what is read and multiplied grows with the pairs.
 
-Equal vectors are one class and one row.  Blocks return a number of links for each home
-vector and, of the links themselves, only as many as keep the block's components together.
+Equal vectors are one class and one row.  A task returns a number of links for each
+vector and, of the links themselves, only as many as keep the blocks' components together.
 
 Random vectors of many dimensions lie about as far from each other as from any pivot; then
-replication nears the number of pivots and the join nears all pairs of a label.  That is the
-price of exactness by this method; results do not depend on it.
+the join nears all pairs of a label.  That is the price of exactness by this method; results
+do not depend on it.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 vectors without a label, have no links and are their own component; vectors of different
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tilth.llm.base import bounded, in_tasks, positioned
-from tilth.llm.blocks import matrix, spread_over
+from tilth.llm.blocks import matrix
 from tilth.llm.components import components
 from tilth.session import staged
 
@@ -36,6 +38,8 @@ COSINE = 0.98
 CELL = 2048
 PIVOTS = 10_000
 BLOCK = 2048
+#: Bytes of blocks that a task pairs with as many others, and rows that it gathers before they are added up.
+PAIRED, GATHERED = 16 << 20, 1 << 19
 #: Added to distances that are compared, for their rounding.
 SLACK = 1e-9
 
@@ -50,7 +54,7 @@ def units(lists: pa.Array):
 
 
 def homes(found: np.ndarray, pivots: np.ndarray, reach: float):
-    """(row, cell, is home) of each vector's home and of the cells it is replicated to."""
+    """(row, cell, is home) of each vector's home and of the cells whose vectors it can have links to."""
     for at in range(0, len(found), 512):
         some = found[at : at + 512]
         away = np.sqrt(np.maximum(2 - 2 * (some @ pivots.T), 0))
@@ -60,8 +64,13 @@ def homes(found: np.ndarray, pivots: np.ndarray, reach: float):
         yield row + at, cell, cell == home[row]
 
 
+def _near(found: np.ndarray, own: np.ndarray, other: np.ndarray, reach: float) -> np.ndarray:
+    """Which vectors at home with one pivot can have links to vectors at home with another."""
+    return np.concatenate([row[cell == 1] for row, cell, _ in homes(found, np.stack([own, other]), reach)])
+
+
 def _cells(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
-    """(label, size, cell, home, id, weight, vector): a row for every cell a class takes part in."""
+    """(label, size, cell, id, weight, vector): every class with its home."""
 
     def work(batches):
         for batch in batches:
@@ -72,18 +81,18 @@ def _cells(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
                     mine = np.flatnonzero(of == label)
                     own, size = found[mine], found.shape[1]
                     known = pivots.get((label, size))
-                    parts = homes(own, known, reach) if known is not None else [
-                        (np.arange(len(mine)), np.zeros(len(mine), np.int64), np.ones(len(mine), bool))]
-                    for row, cell, home in parts:
-                        at = pa.array(rows[mine][row])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([label] * len(row), pa.string()), pa.array(np.full(len(row), size, np.int32)),
-                             pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(at),
-                             batch.column(2).take(at), pa.array([x.tobytes() for x in own[row]], pa.binary())],
-                            ["label", "size", "cell", "home", "id", "weight", "vector"])
+                    cell = np.zeros(len(mine), np.int64)
+                    for row, to, home in homes(own, known, reach) if known is not None else ():
+                        cell[row[home]] = to[home]
+                    at = pa.array(rows[mine])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([label] * len(mine), pa.string()), pa.array(np.full(len(mine), size, np.int32)),
+                         pa.array(cell.astype(np.int32)), batch.column(1).take(at),
+                         batch.column(2).take(at), pa.array([x.tobytes() for x in own], pa.binary())],
+                        ["label", "size", "cell", "id", "weight", "vector"])
 
     return in_tasks(classes.select("label", "id", "weight", "vector"), work,
-                    "label string, size int, cell int, home boolean, id long, weight long, vector binary")
+                    "label string, size int, cell int, id long, weight long, vector binary")
 
 
 def _pivots(classes: DataFrame) -> dict:
@@ -120,53 +129,120 @@ def _groups(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([a[of_a], b[of_b]]), np.concatenate([low_a[of_a], low_b[of_b]])
 
 
-def _linked(cells: DataFrame, cosine: float) -> DataFrame:
-    """(id, other, links): numbers of links (other null) and links (links null) found in the cells."""
-    sizes = cells.groupBy("label", "size", "cell").agg(F.count("*").alias("many"))
-    parts = sizes.select("label", "size", "cell", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts"))
-    dealt = cells.join(bounded(parts), ["label", "size", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
-    shape = ("label string, size int, cell int, parts int, part int, ids binary, weights binary, homes binary, vectors binary")
+class _Found:
+    """What a task has found: numbers of links of vectors, and links, added up from time to time."""
+
+    def __init__(self):
+        self.counts, self.links, self.rows = [], [], 0
+
+    def add(self, flags: np.ndarray, a: tuple, b: tuple) -> None:
+        """Links between the vectors of two blocks (ids, weights); a block with itself if they are the same."""
+        sides = [(a[0], flags @ b[1])] + ([] if a is b else [(b[0], flags.T @ a[1])])
+        for ids, many in sides:
+            some = np.flatnonzero(many)
+            self.counts.append((ids[some], many[some]))
+        node, low = _groups(flags, a[0], b[0])
+        moved = node != low
+        self.links.append((node[moved], low[moved]))
+        self.rows += len(self.counts[-1][0]) + len(node)
+
+    def batch(self) -> pa.RecordBatch:
+        ids, many = (np.concatenate(x) for x in zip(*self.counts))
+        own, at = np.unique(ids, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, at, many)
+        node, low = np.unique(np.stack([np.concatenate(x) for x in zip(*self.links)]), axis=1)
+        self.counts, self.links, self.rows = [], [], 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([own, node])), pa.array([None] * len(own) + low.tolist(), pa.int64()),
+             pa.array(total.tolist() + [None] * len(node), pa.int64())], ["id", "other", "links"])
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """The vectors of a cell in blocks, each vector in one: (label, size, cell, parts, ids, weights, vectors, no);
+    ``parts`` are the blocks of the label."""
+    by = ["label", "size"]
+    sizes = cells.groupBy(*by, "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("own"))
+    parts = sizes.join(sizes.groupBy(*by).agg(F.sum("own").cast("int").alias("parts")), by)
+    dealt = cells.join(bounded(parts), [*by, "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("own")).cast("int"))
+    shape = "label string, size int, cell int, parts int, ids binary, weights binary, vectors binary"
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        fixed = [table.column(c)[0].as_py() for c in ("label", "size", "cell", "parts", "part")]
-        body = [table.column("id").to_numpy().tobytes(), table.column("weight").to_numpy().tobytes(),
-                table.column("home").to_numpy().tobytes(), b"".join(table.column("vector").to_pylist())]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        fixed = [table.column(c)[0].as_py() for c in ("label", "size", "cell", "parts")]
+        body = [table.column("id").to_numpy().tobytes(), table.column("weight").to_numpy().tobytes(), b"".join(table.column("vector").to_pylist())]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
         names = [c.split()[0] for c in shape.split(", ")]
         return pa.table([pa.array([x], t) for x, t in zip([*fixed, *body], kinds)], names=names)
 
-    blocks = staged(dealt.groupBy("label", "size", "cell", "part").applyInArrow(pack, shape), "blocks")
-    left = blocks.select("label", "size", "cell", F.col("part").alias("line"), F.col("ids").alias("l_ids"),
-                         F.col("homes").alias("l_homes"), F.col("vectors").alias("l_vectors"))
-    right = spread_over(blocks, "line", F.col("parts")).select("label", "size", "cell", "line", "ids", "weights", "vectors")
-    pairs = left.join(right, ["label", "size", "cell", "line"])
+    packed = dealt.groupBy("label", "size", "cell", "part").applyInArrow(pack, shape)
+    return staged(packed.withColumn("no", F.monotonically_increasing_id()), "blocks")
 
-    def work(batches):
+
+def _paired(blocks: DataFrame) -> DataFrame | None:
+    """Every two blocks of a label, once; None if no label has two.
+
+    A product of partitions that asks for equal labels inside: a join by label would bring a label's
+    blocks to one task, or copies of them to several."""
+    many = blocks.where("parts > 1").select("no", "label", "size", "cell", "ids", "weights", "vectors")
+    row = many.agg(F.count("*").alias("n"), F.sum(F.length("vectors")).alias("bytes")).first()
+    if not row["n"]:
+        return None
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    parts = min(row["n"], max(-(-row["bytes"] // PAIRED), 2 * int(np.ceil(np.sqrt(cores)))))
+    many = many.repartition(parts).withColumn("named", F.xxhash64("label", "size"))
+    left, right = (many.select(*[F.col(c).alias(f"{side}_{c}") for c in many.columns]) for side in "lr")
+    # not an equality of two columns, which would be a join by label
+    same = F.col("l_named").bitwiseXOR(F.col("r_named")) == 0
+    return left.crossJoin(right).where(same & (F.col("l_no") < F.col("r_no")))
+
+
+def _linked(blocks: DataFrame, pivots: dict, cosine: float, reach: float) -> DataFrame:
+    """(id, other, links): numbers of links (other null) and links (links null) found by the tasks."""
+
+    def opened(batch: pa.RecordBatch, i: int, first: int) -> tuple:
+        label, size, cell = (batch.column(first + j)[i].as_py() for j in range(3))
+        ids, weights, vectors = (batch.column(first + j)[i].as_buffer() for j in range(3, 6))
+        return label, size, cell, np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, size)
+
+    def within(batches):
+        found = _Found()
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = [batch.column(j)[i].as_buffer() for j in range(1, 7)]
-                size = batch.column(0)[i].as_py()
-                ids, home, b_ids = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], bool), np.frombuffer(raw[3], np.int64)
-                weights = np.frombuffer(raw[4], np.int64)
-                a, b = (np.frombuffer(raw[j], np.float64).reshape(-1, size) for j in (2, 5))
-                if not home.any():
+                _, _, _, ids, weights, a = opened(batch, i, 0)
+                flags = a @ a.T >= cosine
+                np.fill_diagonal(flags, False)
+                one = (ids, weights)
+                found.add(flags, one, one)
+                if found.rows > GATHERED:
+                    yield found.batch()
+        if found.counts:
+            yield found.batch()
+
+    def between(batches):
+        found = _Found()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (label, size, cell, ids, weights, a), (b_label, b_size, b_cell, b_ids, b_weights, b) = opened(batch, i, 0), opened(batch, i, 6)
+                if (label, size) != (b_label, b_size):  # equal hashes
                     continue
-                a, ids = a[home], ids[home]
-                flags = (a @ b.T >= cosine) & (ids[:, None] != b_ids[None, :])
-                counts = flags @ weights
-                some = np.flatnonzero(counts)
-                node, low = _groups(flags, ids, b_ids)
-                moved = node != low
-                node, low = node[moved], low[moved]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[some], node])),
-                     pa.array([None] * len(some) + low.tolist(), pa.int64()),
-                     pa.array(counts[some].tolist() + [None] * len(node), pa.int64())], ["id", "other", "links"])
-
-    return in_tasks(pairs.select("size", "l_ids", "l_homes", "l_vectors", "ids", "weights", "vectors"), work,
-                    "id long, other long, links long")
+                if cell != b_cell:
+                    own, other = pivots[label, size][[cell, b_cell]]
+                    some, b_some = _near(a, own, other, reach), _near(b, other, own, reach)
+                    a, ids, weights, b, b_ids, b_weights = a[some], ids[some], weights[some], b[b_some], b_ids[b_some], b_weights[b_some]
+                if len(a) and len(b):
+                    found.add(a @ b.T >= cosine, (ids, weights), (b_ids, b_weights))
+                if found.rows > GATHERED:
+                    yield found.batch()
+        if found.counts:
+            yield found.batch()
+
+    shape, columns = "id long, other long, links long", ["label", "size", "cell", "ids", "weights", "vectors"]
+    out = in_tasks(blocks.select(*columns), within, shape)
+    pairs = _paired(blocks)
+    if pairs is None:
+        return out
+    return out.unionByName(in_tasks(pairs.select(*[f"{side}_{c}" for side in "lr" for c in columns]), between, shape))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding",
@@ -185,8 +261,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     classes = staged(
         able.groupBy("label", "vector").agg(F.min("key").alias("id"), F.count("*").alias("weight")), "vector-classes")
     reach = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    cells = staged(_cells(classes, _pivots(classes), reach), "cells")
-    found = staged(_linked(cells, cosine), "vector-links")
+    pivots = _pivots(classes)
+    found = staged(_linked(_blocks(staged(_cells(classes, pivots, reach), "cells")), pivots, cosine, reach), "vector-links")
     links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("other IS NOT NULL"), "id", "other")
     each = (
