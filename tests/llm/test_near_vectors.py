@@ -1,7 +1,5 @@
 """Near vectors: no vector is copied to other cells or blocks."""
 
-import os
-
 import numpy as np
 
 from tilth.llm import metric
@@ -23,7 +21,7 @@ def test_what_is_written_does_not_grow_with_the_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(metric, "staged", kept)
     got = {r.id: r for r in metric.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.99).collect()}
-    assert made["cells"].count() == 1200 and made["blocks"].count() > 20
+    assert "cells" not in made and made["blocks"].count() > 20
     assert sum(len(r.ids) for r in made["blocks"].select("ids").collect()) == 8 * 1200
     unit = found / np.linalg.norm(found, axis=1, keepdims=True)
     linked = (unit @ unit.T >= 0.99) & ~np.eye(1200, dtype=bool)

@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from tilth.llm.base import bounded, in_tasks, positioned
 from tilth.llm.blocks import matrix
@@ -44,13 +45,29 @@ PAIRED, GATHERED = 16 << 20, 1 << 19
 SLACK = 1e-9
 
 
-def units(lists: pa.Array):
-    """(rows, vectors of length one) of the vectors that have a direction."""
+def _directed(lists: pa.Array):
+    """(rows, vectors) of those that have a direction."""
     for rows, found in matrix(lists):
         peak = np.abs(found).max(axis=1, initial=0.0)
         good = np.isfinite(peak) & (peak > 0)
-        found = found[good] / peak[good][:, None]
-        yield rows[good], found / np.sqrt((found * found).sum(axis=1))[:, None]
+        yield rows[good], found[good]
+
+
+def _scaled(found: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length one."""
+    found = found / np.abs(found).max(axis=1, initial=0.0)[:, None]
+    return found / np.sqrt((found * found).sum(axis=1))[:, None]
+
+
+def units(lists: pa.Array):
+    """(rows, vectors of length one) of the vectors that have a direction."""
+    for rows, found in _directed(lists):
+        yield rows, _scaled(found)
+
+
+def _kind(vectors: DataFrame):
+    """The type that holds a vector's numbers as the table has them: they are scaled where they are used."""
+    return np.float32 if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else np.float64
 
 
 def homes(found: np.ndarray, pivots: np.ndarray, reach: float):
@@ -71,12 +88,13 @@ def _near(found: np.ndarray, own: np.ndarray, other: np.ndarray, reach: float) -
 
 def _cells(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
     """(label, size, cell, id, weight, vector): every class with its home."""
+    kind = _kind(classes)
 
     def work(batches):
         for batch in batches:
             labels = np.array(batch.column(0).to_pylist(), object)
-            for rows, found in units(batch.column(3)):
-                of = labels[rows]
+            for rows, raw in _directed(batch.column(3)):
+                of, found = labels[rows], _scaled(raw)
                 for label in set(of):
                     mine = np.flatnonzero(of == label)
                     own, size = found[mine], found.shape[1]
@@ -88,7 +106,7 @@ def _cells(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([label] * len(mine), pa.string()), pa.array(np.full(len(mine), size, np.int32)),
                          pa.array(cell.astype(np.int32)), batch.column(1).take(at),
-                         batch.column(2).take(at), pa.array([x.tobytes() for x in own], pa.binary())],
+                         batch.column(2).take(at), pa.array([x.tobytes() for x in raw[mine].astype(kind)], pa.binary())],
                         ["label", "size", "cell", "id", "weight", "vector"])
 
     return in_tasks(classes.select("label", "id", "weight", "vector"), work,
@@ -197,13 +215,13 @@ def _paired(blocks: DataFrame) -> DataFrame | None:
     return left.crossJoin(right).where(same & (F.col("l_no") < F.col("r_no")))
 
 
-def _linked(blocks: DataFrame, pivots: dict, cosine: float, reach: float) -> DataFrame:
+def _linked(blocks: DataFrame, pivots: dict, cosine: float, reach: float, kind) -> DataFrame:
     """(id, other, links): numbers of links (other null) and links (links null) found by the tasks."""
 
     def opened(batch: pa.RecordBatch, i: int, first: int) -> tuple:
         label, size, cell = (batch.column(first + j)[i].as_py() for j in range(3))
         ids, weights, vectors = (batch.column(first + j)[i].as_buffer() for j in range(3, 6))
-        return label, size, cell, np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, size)
+        return label, size, cell, np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64), _scaled(np.frombuffer(vectors, kind).astype(np.float64).reshape(-1, size))
 
     def within(batches):
         found = _Found()
@@ -262,7 +280,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
         able.groupBy("label", "vector").agg(F.min("key").alias("id"), F.count("*").alias("weight")), "vector-classes")
     reach = float(np.sqrt(max(2 - 2 * cosine, 0)))
     pivots = _pivots(classes)
-    found = staged(_linked(_blocks(staged(_cells(classes, pivots, reach), "cells")), pivots, cosine, reach), "vector-links")
+    found = staged(_linked(_blocks(_cells(classes, pivots, reach)), pivots, cosine, reach, _kind(classes)), "vector-links")
     links = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("other IS NOT NULL"), "id", "other")
     each = (
