@@ -1,4 +1,4 @@
-"""Forests without a limit of depth: grown to the end in tasks, and scored there."""
+"""Forests without a limit of depth, grown to the end in tasks and scored there; what passes carry."""
 
 import numpy as np
 import pytest
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from test_forest import SPEC, data, grown, rows  # noqa: F401
 from tilth import catalog
-from tilth.operators import forest, stats, trees
+from tilth.operators import boosting, forest, stats, trees
 from tilth.plans import experiments
 from tilth.sources import models
 
@@ -89,3 +89,19 @@ def test_a_task_keeps_rows_not_their_places_in_all_trees(spark, data, monkeypatc
     """What lies between passes is the binned rows alone, whatever the number of trees."""
     held = forest.HELD
     assert held <= 64 << 20 and set(forest.Rows.__dataclass_fields__) == {"place", "codes", "fold", "y"}
+
+
+def test_passes_of_boosted_trees_carry_codes_and_residuals_alone(spark, data, monkeypatch):  # noqa: F811
+    """A column that no model splits, targets, and folds where none is left out are not written with the residuals again."""
+    carried = []
+    real = boosting._errors
+    monkeypatch.setattr(boosting, "_errors", lambda state, *rest: carried.append(state.first()) or real(state, *rest))
+    found = trees.boosted_trees_categorical(data, SPEC, rounds=5, depth=2, key=["id"])
+    block = carried[0]
+    assert len(block.codes) == len(found.columns) == 4 and not len(block.y) and not len(block.fold) and len(block.left_over) == 1
+    run = experiments.cross_validate(data, SPEC, "boosted_trees", folds=3, rounds=3, least=5)
+    for r in run.metrics.collect():
+        scored = run.models[r.fold].transform(data).withColumn("held", F.col("fold") == r.fold)
+        for m in stats.regression_metrics(scored, "y", "prediction", ["held"]).collect():
+            side = "val" if m.held else "train"
+            assert [r[f"{side}_{name}"] for name in ("rows", "r2", "mae", "rmse")] == pytest.approx([m[name] for name in ("rows", "r2", "mae", "rmse")], abs=1e-9)
